@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import scoring
+from . import runs, scoring
 from .registry import ORACLES, QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES", "oracles", "scoring"]
+__all__ = ["ORACLES", "QUERIES", "oracles", "runs", "scoring"]
