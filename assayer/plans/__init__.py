@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import runs, scoring
+from . import components, runs, scoring
 from .registry import ORACLES, QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES", "oracles", "runs", "scoring"]
+__all__ = ["ORACLES", "QUERIES", "components", "oracles", "runs", "scoring"]
