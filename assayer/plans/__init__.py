@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import components, runs, scoring
+from . import components, runs, scoring, texts
 from .registry import ORACLES, QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES", "components", "oracles", "runs", "scoring"]
+__all__ = ["ORACLES", "QUERIES", "components", "oracles", "runs", "scoring", "texts"]

@@ -31,4 +31,4 @@ def snapshot(files: DataFrame, source: str) -> DataFrame:
 
 def decoded(content):
     """UTF-8 text without a leading byte-order mark; null where the bytes aren't UTF-8."""
-    return F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^﻿", "")
+    return F.regexp_replace(F.try_validate_utf8(content), r"^\x{FEFF}", "")
