@@ -134,7 +134,7 @@ FROM events GROUP BY user_id"""
 def _edit(d: Dialect) -> str:
     return f"""
 SELECT event_id AS id, user_id AS thread, CASE WHEN user_id % 2 = 0 THEN 'skeleton' ELSE 'chunk.prompt' END AS kind,
-  {d.sha("concat(event_type, CAST(event_id % 7 AS STRING))")} AS digest,
+  {d.sha(f"concat(event_type, CAST({d.div('event_id', 20)} AS STRING))")} AS digest,
   CASE WHEN event_id % 9 = 4 THEN event_id - 3 END AS based_on,
   CASE WHEN user_id % 2 = 0 AND event_id % 3 <> 0 THEN {d.sha("concat('compilation', CAST(event_id % 11 AS STRING))")} END AS compilation
 FROM events"""
