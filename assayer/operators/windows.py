@@ -118,7 +118,7 @@ def peak(
 def longest_runs(
     rows: DataFrame, key: str, seq: str, blank: str, tokens: str, limit: int, width: int = 65_536
 ) -> DataFrame:
-    """The longest stretch of blank tokens per key, and whether it reaches the limit.
+    """The longest stretch of blank tokens per key, whether it reaches the limit, and where it first does.
 
     With running totals of the tokens, a stretch up to a row is the total so far less the
     total at the last row that wasn't blank, which is a running maximum.
@@ -129,8 +129,10 @@ def longest_runs(
         summed, [key], chunk, [seq], {"_reset": ("max", F.when(~F.col(blank), F.col("_total")))}, inclusive=True
     )
     stretch = F.when(F.col(blank), F.col("_total") - F.coalesce("_reset", F.lit(0))).otherwise(0)
-    return (
-        reset.groupBy(key)
-        .agg(F.max(stretch).cast("bigint").alias("longest"))
-        .withColumn("cut", F.col("longest") >= limit)
+    over = F.when(stretch >= limit, F.col(seq))
+    return reset.groupBy(key).agg(
+        F.max(stretch).cast("bigint").alias("longest"),
+        (F.max(stretch) >= limit).alias("cut"),
+        F.min(over).alias("cut_at"),
+        F.min_by(stretch, over).cast("bigint").alias("cut_tokens"),
     )

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import catalog, components, runs, scoring, texts
+from . import catalog, components, runs, scoring, streams, texts
 from .registry import ORACLES, QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "components", "oracles", "runs", "scoring", "texts"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "components", "oracles", "runs", "scoring", "streams", "texts"]

@@ -482,4 +482,4 @@ n AS (SELECT call_id, island, sum(CASE WHEN blank THEN tokens ELSE 0 END) AS run
 SELECT call_id, CAST(max(run) AS BIGINT) AS longest, max(run) >= 15 AS cut FROM n GROUP BY call_id""",
 )
 def whitespace_runs(g: Given) -> DataFrame:
-    return windows.longest_runs(g.sql(_TOKENS), "call_id", "seq", "blank", "tokens", 15)
+    return windows.longest_runs(g.sql(_TOKENS), "call_id", "seq", "blank", "tokens", 15).select("call_id", "longest", "cut")

@@ -18,7 +18,7 @@ def to_add(batch: DataFrame, stored: DataFrame, key: str = "digest") -> DataFram
     return batch.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
 
 
-def _stored(batch: DataFrame, path: str) -> DataFrame:
+def stored(batch: DataFrame, path: str) -> DataFrame:
     """What a path holds; nothing where nothing has been written yet."""
     try:
         return batch.sparkSession.read.parquet(path)
@@ -30,7 +30,7 @@ def _stored(batch: DataFrame, path: str) -> DataFrame:
 
 def add(batch: DataFrame, path: str) -> None:
     """Append what is new of a batch to a component table, partitioned by kind."""
-    to_add(batch, _stored(batch, path)).write.mode("append").partitionBy("kind").parquet(path)
+    to_add(batch, stored(batch, path)).write.mode("append").partitionBy("kind").parquet(path)
 
 
 def conflicts(batch: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,8 +43,8 @@ def conflicts(batch: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame
 
 def append(batch: DataFrame, path: str, keys: list[str], partition_by: str = "row_type") -> None:
     """Append ledger rows; a key that is doubled or stored already fails the whole batch."""
-    stored = _stored(batch, path)
-    if (bad := conflicts(batch, stored, keys).head(1)):
+    held = stored(batch, path)
+    if (bad := conflicts(batch, held, keys).head(1)):
         raise Conflict(f"{bad[0].reason}: {bad[0].asDict()}")
     batch.write.mode("append").partitionBy(partition_by).parquet(path)
 
