@@ -46,4 +46,4 @@ def indented(values: pd.Series) -> pd.Series:
 
 def quoted(text: Column) -> Column:
     """A string as a JSON string."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("s"))), r'(?s)^\{"s":(.*)\}$', 1)
+    return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.struct(text.alias("s"))), r'(?s)^\{"s":(.*)\}$', 1))

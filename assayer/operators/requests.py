@@ -188,16 +188,18 @@ def config_grid(recipes: DataFrame, models: DataFrame, parts: DataFrame) -> Data
     whose parts are all shared has one variant; one with a part per model has a variant for each
     model that has all its parts.
     """
+    own = parts.where("model IS NOT NULL").select("part").distinct()
+    # What a recipe needs per model: a handful of named parts, whatever the number of models.
+    needs = recipes.join(own, "part", "left_semi").groupBy("recipe").agg(F.collect_set("part").alias("needed"))
+    variants = parts.where("model IS NOT NULL").join(models.where("served AND known").select("model"), "model")
     per_model = (
-        recipes.join(parts.where("model IS NOT NULL").select("part", "model", "refused"), "part")
-        .join(models.where("served AND known").select("model"), "model")
+        recipes.join(variants.select("part", "model", "refused"), "part")
         .groupBy("recipe", "model")
-        .agg(
-            F.array_join(F.sort_array(F.collect_set(F.when(F.col("refused").isNotNull(), F.col("part")))), ", ").alias("missing")
-        )
+        .agg(F.collect_set(F.when(F.col("refused").isNull(), F.col("part"))).alias("had"))
+        .join(needs, "recipe")
+        .withColumn("missing", F.array_join(F.sort_array(F.array_except("needed", "had")), ", "))
         .select("recipe", "model", F.when(F.col("missing") != "", message("the facts refuse its ", F.col("missing"))).alias("skipped"))
     )
-    own = parts.where("model IS NOT NULL").select("part").distinct()
     shared = (
         recipes.select("recipe").distinct()
         .join(recipes.join(own, "part", "left_semi").select("recipe"), "recipe", "left_anti")

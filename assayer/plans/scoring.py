@@ -340,6 +340,11 @@ WITH a AS (
   SELECT d.doc_id, CASE WHEN d.doc_id % 19 = 0 THEN NULL ELSE text END AS free, {_LINES.format("CASE WHEN d.doc_id % 19 = 0 THEN NULL ELSE text END")} AS items,
     lang, source, {_STATUS.replace('doc_id', 'd.doc_id')} AS why, d.doc_id % 8 = 3 AS nothing, CASE d.doc_id % 8 WHEN 1 THEN 1 ELSE 0 END AS pattern_id
   FROM documents d),
+u AS (SELECT doc_id, pattern_id, regexp_extract_all(free, '{_UNIT}') AS units FROM a WHERE free IS NOT NULL),
+p AS (SELECT doc_id, pattern_id, unnest(list_transform(range(1, len(units) + 1), lambda i: struct_pack(
+    nth := i, start := coalesce(list_sum(list_transform(units[1:i-1], lambda u: length(u))), 0), unit := units[i])), recursive := true) FROM u),
+f AS (SELECT doc_id, nth, start + ({_first_at()}) AS found FROM (SELECT *, {_PADDED.format('unit')} AS padded FROM p) q),
+m AS (SELECT doc_id, arg_min(found, nth) AS found FROM f WHERE found IS NOT NULL GROUP BY doc_id),
 l AS (SELECT *, list_transform(items, lambda i: {_hit(_line('i'))}) AS hits,
   CASE WHEN items IS NULL THEN NULL WHEN doc_id % 3 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['the ' || lang] END AS warning FROM a),
 v AS (
@@ -356,6 +361,9 @@ v AS (
          WHEN nothing THEN CASE WHEN len(warning) > 0 THEN 'none expected' ELSE 'none named, as expected' END
          WHEN len(warning) > 0 AND pattern_id = 0 THEN NULL ELSE 'not named' END FROM l
   UNION ALL
+  SELECT l.doc_id, 2, 'first_mention', '{{"level":"base"}}', CASE WHEN why IS NULL AND NOT nothing THEN CAST(m.found AS DOUBLE) END,
+    CASE WHEN why IS NOT NULL THEN why WHEN nothing THEN 'nothing is expected to be found' WHEN items IS NULL THEN 'no answer' WHEN m.found IS NULL THEN 'never named' END FROM l LEFT JOIN m ON m.doc_id = l.doc_id
+  UNION ALL
   SELECT doc_id, 3, 'mentions', '{{"level":"base"}}',
     CASE WHEN why IS NOT NULL THEN NULL WHEN items IS NULL THEN 0.0 WHEN nothing THEN CASE WHEN len(items) > 0 THEN 0.0 ELSE 1.0 END
          WHEN list_contains(hits, true) THEN 1.0 ELSE 0.0 END,
@@ -365,7 +373,7 @@ v AS (
 SELECT * FROM v""",
 )
 def score_views(g: Given) -> DataFrame:
-    """Views over answers as JSON documents; the offset view has its own query, `first_mention`."""
+    """Views over answers as JSON documents."""
     answer = F.to_json(
         F.struct(
             F.transform(
@@ -382,7 +390,7 @@ def score_views(g: Given) -> DataFrame:
         F.parse_json("data").alias("expected"),
     )
     rows = scoring.score_views(pairs, VIEWS, "answer", "expected", params={"level": "base"})
-    return rows.where("view <> 2").select(
+    return rows.select(
         "doc_id", "view", "metric", "params", F.round("value", 9).alias("value"), "reason"
     )
 
