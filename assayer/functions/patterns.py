@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import let, words_line
+from .text import let, words_line, words_lines
 
 COMPILED = T.StructType(
     [
@@ -25,6 +25,7 @@ COMPILED = T.StructType(
 )
 ALL, ANY = -1, -2
 NOWHERE = 2147483647
+STEM = "[^ ]*"
 
 # A pattern's symbols.
 _SYMBOL = re.compile(r"[()&|]|[^\s()&|]+")
@@ -44,9 +45,9 @@ def _phrase_regex(atoms: list[str]) -> str:
             raise Unreadable(f"{atom!r} names no word")
         found += [(w.casefold(), atom.endswith("*") and w is words[-1]) for w in words[:-1]]
         found.append((words[-1].casefold(), atom.endswith("*")))
-    regex = "".join(f" {word}[^ ]*" if stem else f" {word}" for word, stem in found)
+    regex = "".join(f" {word}{STEM}" if stem else f" {word}" for word, stem in found)
     # A final stem needs no tail: its prefix decides.
-    return regex[: -len("[^ ]*")] if found[-1][1] else regex + " "
+    return regex[: -len(STEM)] if found[-1][1] else regex + " "
 
 
 def read_pattern(text: str) -> tuple[list[str], list[int]]:
@@ -110,17 +111,14 @@ def read_pattern(text: str) -> tuple[list[str], list[int]]:
 
 @F.pandas_udf(COMPILED)
 def compile_pattern(patterns: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in patterns:
-        if text is None:
-            rows.append((None, None, None))
-            continue
-        try:
-            phrases, program = read_pattern(text)
-            rows.append((phrases, program, None))
-        except Unreadable as e:
-            rows.append((None, None, str(e)))
-    return pd.DataFrame(rows, columns=["phrases", "program", "problem"])
+    read: dict[str | None, tuple] = {None: (None, None, None)}
+    for text in patterns.unique():
+        if text is not None:
+            try:
+                read[text] = (*read_pattern(text), None)
+            except Unreadable as e:
+                read[text] = (None, None, str(e))
+    return pd.DataFrame([read[text] for text in patterns], columns=["phrases", "program", "problem"])
 
 
 def with_compiled(targets: DataFrame, pattern: str = "pattern", into: str = "compiled") -> DataFrame:
@@ -128,19 +126,21 @@ def with_compiled(targets: DataFrame, pattern: str = "pattern", into: str = "com
     return targets.withColumn(into, compile_pattern(F.col(pattern)))
 
 
-def phrase_word(line: Column, phrase: Column) -> Column:
-    """The index of the word a phrase first starts at in a words line, or NOWHERE."""
+def phrase_at(line: Column, phrase: Column) -> Column:
+    """Where in a words line a phrase first starts (from 1), or NOWHERE.
 
-    def index(parts: Column) -> Column:
-        head = F.element_at(parts, 1)
-        spaces = F.length(head) - F.length(F.replace(head, F.lit(" "), F.lit("")))
-        return F.when(F.size(parts) > 1, spaces).otherwise(F.lit(NOWHERE))
+    A phrase without a stem inside is found as plain text, which needs no regex.
+    """
+    with_stem = let(
+        F.split(line, phrase, 2),
+        lambda parts: F.when(F.size(parts) > 1, F.length(F.element_at(parts, 1)) + 1).otherwise(F.lit(NOWHERE)),
+    )
+    plain = let(F.instr(line, phrase), lambda at: F.when(at > 0, at).otherwise(F.lit(NOWHERE)))
+    return F.when(F.contains(phrase, F.lit(STEM)), with_stem).otherwise(plain)
 
-    return let(F.split(line, phrase, 2), index)
 
-
-def find_word(line: Column, compiled: Column) -> Column:
-    """The earliest word satisfying a compiled pattern in a words line, or NOWHERE.
+def find(line: Column, compiled: Column) -> Column:
+    """Where in a words line what satisfies a compiled pattern first starts, or NOWHERE.
 
     `&` is nowhere unless both sides are somewhere; both operators take the earlier side.
     """
@@ -152,7 +152,7 @@ def find_word(line: Column, compiled: Column) -> Column:
             (op == ALL) & ((a == NOWHERE) | (b == NOWHERE)), F.lit(NOWHERE)
         ).otherwise(F.least(a, b))
         return F.when(
-            op >= 0, F.concat(stack, F.array(phrase_word(line, F.get(compiled["phrases"], op))))
+            op >= 0, F.concat(stack, F.array(phrase_at(line, F.get(compiled["phrases"], op))))
         ).otherwise(F.concat(F.slice(stack, 1, depth - 2), F.array(joined)))
 
     return F.aggregate(
@@ -160,5 +160,24 @@ def find_word(line: Column, compiled: Column) -> Column:
     )
 
 
+def word_number(line: Column, at: Column) -> Column:
+    """The number (from 0) of the word at a place in a words line: the spaces before it."""
+    head = F.substr(line, F.lit(1), at - 1)
+    return F.length(head) - F.length(F.replace(head, F.lit(" "), F.lit("")))
+
+
+def find_word(line: Column, compiled: Column) -> Column:
+    """The number of the earliest word satisfying a compiled pattern, or NOWHERE."""
+    return let(
+        find(line, compiled),
+        lambda at: F.when(at == NOWHERE, F.lit(NOWHERE)).otherwise(word_number(line, at)),
+    )
+
+
 def matches(text: Column, compiled: Column) -> Column:
-    return let(words_line(text), lambda line: find_word(line, compiled)) != NOWHERE
+    return let(words_line(text), lambda line: find(line, compiled)) != NOWHERE
+
+
+def hits(texts: Column, compiled: Column) -> Column:
+    """Whether the pattern is in each text of an array."""
+    return F.transform(words_lines(texts), lambda line: find(line, compiled) != NOWHERE)

@@ -32,8 +32,7 @@ class Expected:
 
 def first_rank(items: Column, expected: Expected) -> Column:
     """The rank of the first item the pattern is in, 0 for none."""
-    hits = F.transform(items, lambda item: patterns.matches(item, expected.compiled))
-    return F.coalesce(F.array_position(hits, True), F.lit(0))
+    return F.coalesce(F.array_position(patterns.hits(items, expected.compiled), True), F.lit(0))
 
 
 def reciprocal_rank(items: Column, expected: Expected) -> Column:
@@ -48,7 +47,7 @@ def reciprocal_rank(items: Column, expected: Expected) -> Column:
             )
         )
 
-    hits = F.transform(items, lambda item: patterns.matches(item, expected.compiled))
+    hits = patterns.hits(items, expected.compiled)
     return (
         F.when(expected.nothing, scored(None, reason="nothing is expected to be found"))
         .when(items.isNull(), scored(F.lit(0.0), reason="no answer"))
@@ -59,27 +58,26 @@ def reciprocal_rank(items: Column, expected: Expected) -> Column:
 def first_mention(items: Column, expected: Expected) -> Column:
     """The code-point offset of the first mention in its item, the target held to one unit."""
 
-    def in_unit(unit: Column) -> Column:
-        word = text.let(
-            text.words_line(unit["unit"]), lambda line: patterns.find_word(line, expected.compiled)
+    def in_item(item: Column) -> Column:
+        words = F.transform(
+            text.words_lines(text.unit_texts(item)), lambda line: patterns.find_word(line, expected.compiled)
         )
-        return F.struct(
-            unit["start"].alias("start"), unit["unit"].alias("unit"), word.alias("word")
-        )
-
-    found = F.flatten(
-        F.transform(
-            items,
-            lambda item: F.filter(
-                F.transform(text.units(item), in_unit), lambda u: u["word"] != patterns.NOWHERE
+        return text.let(
+            words,
+            lambda w: text.let(
+                F.array_position(F.transform(w, lambda at: at != patterns.NOWHERE), True).cast("int"),
+                lambda nth: F.struct(item.alias("item"), nth.alias("nth"), F.get(w, nth - 1).alias("word")),
             ),
         )
-    )
+
+    found = F.filter(F.transform(items, in_item), lambda f: f["nth"] > 0)
 
     def first(hits: Column) -> Column:
         hit = F.get(hits, F.lit(0))
+        unit = F.get(text.unit_texts(hit["item"]), hit["nth"] - 1)
+        value = text.unit_start(hit["item"], hit["nth"] - 1) + text.word_offset(unit, hit["word"])
         return F.when(F.size(hits) == 0, scored(None, reason="never named")).otherwise(
-            scored(hit["start"] + text.word_offset(hit["unit"], hit["word"]), text.strip(hit["unit"]))
+            scored(value, text.strip(unit))
         )
 
     return (
@@ -91,7 +89,7 @@ def first_mention(items: Column, expected: Expected) -> Column:
 
 def mentions(items: Column, expected: Expected) -> Column:
     """1 when the pattern is in any item; with nothing expected, 1 when there is no item."""
-    hit = F.get(F.filter(items, lambda i: patterns.matches(i, expected.compiled)), F.lit(0))
+    at = F.array_position(patterns.hits(items, expected.compiled), True).cast("int")
     return (
         F.when(items.isNull(), scored(F.lit(0.0), reason="no answer"))
         .when(
@@ -101,9 +99,9 @@ def mentions(items: Column, expected: Expected) -> Column:
         .when(expected.nothing, scored(F.lit(1.0), reason="none named, as expected"))
         .otherwise(
             text.let(
-                hit,
-                lambda h: F.when(h.isNull(), scored(F.lit(0.0), reason="not named")).otherwise(
-                    scored(F.lit(1.0), h)
+                at,
+                lambda n: F.when(n == 0, scored(F.lit(0.0), reason="not named")).otherwise(
+                    scored(F.lit(1.0), F.get(items, n - 1))
                 ),
             )
         )
@@ -232,19 +230,28 @@ def score_views(
     is a run without one. Scorer params are overlaid by the view's.
     """
     keys = [c for c in pairs.columns if c not in (answer, expectation)]
-    frame = pairs
-    for i, view in enumerate(views):
-        frame = frame.withColumn(f"_picked{i}", selectors.select(F.col(expectation), view.expectation))
-        frame = decode_targets(frame, f"_picked{i}", f"_target{i}")
+    # Views often share what they select; each selection is made once.
+    targets = {s: f"_target{i}" for i, s in enumerate(dict.fromkeys(v.expectation for v in views))}
+    outputs = {k: f"_texts{i}" for i, k in enumerate(dict.fromkeys((v.output, v.split) for v in views))}
+    frame = pairs.withColumns(
+        {f"{name}p": selectors.select(F.col(expectation), s) for s, name in targets.items()}
+    )
+    for name in targets.values():
+        frame = decode_targets(frame, f"{name}p", name)
+    has_answer = F.col(answer).isNotNull()
+    frame = frame.withColumns(
+        {name: output_texts(F.col(answer), View("", output=o, split=s), has_answer) for (o, s), name in outputs.items()}
+    )
     rows = []
     for i, view in enumerate(views):
         merged = {**(params or {}), **view.params}
-        texts = output_texts(F.col(answer), view, F.col(answer).isNotNull())
         rows.append(
             F.struct(
                 F.lit(i).alias("view"),
                 F.lit(view.metric).alias("metric"),
-                score(view.metric, texts, F.col(f"_target{i}")).alias("scored"),
+                score(
+                    view.metric, F.col(outputs[view.output, view.split]), F.col(targets[view.expectation])
+                ).alias("scored"),
                 F.to_json(F.create_map(*[F.lit(x) for kv in sorted(merged.items()) for x in kv])).alias("params")
                 if merged
                 else F.lit("{}").alias("params"),

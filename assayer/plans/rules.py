@@ -81,7 +81,7 @@ UNION ALL SELECT subject, 'vllm.grammar_before_reasoning', 'without --reasoning-
 SELECT level, code, message, CAST(subject AS STRING) AS subject, {NONE} AS log_id FROM f""",
 )
 def lint_pairs(g: Given) -> DataFrame:
-    return rules.lint_pairs(g["d_pair"])
+    return rules.lint_pairs(g.spread("d_pair"))
 
 
 # --------------------------------------------------------------------------------- facts

@@ -76,7 +76,7 @@ def answers(g: Given) -> DataFrame:
             F.col("compiled"),
         ).alias("target"),
     )
-    return g["d_answer"].join(targets, "pattern_id")
+    return g.spread("d_answer").join(targets, "pattern_id")
 
 
 # ------------------------------------------------------------------------------- queries
@@ -213,7 +213,7 @@ SELECT doc_id, i.pos AS pos, i.item AS item FROM (
   SELECT doc_id, unnest(list_transform(range(0, len(items)), lambda n: struct_pack(pos := n, item := items[n + 1]))) AS i FROM a) x""",
 )
 def split_lines(g: Given) -> DataFrame:
-    return g["documents"].select(
+    return g.spread("documents").select(
         "doc_id", F.posexplode(text.lines(F.col("text"))).alias("pos", "item")
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -227,7 +227,7 @@ s AS (SELECT doc_id, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER B
 SELECT doc_id, CAST(start AS BIGINT) AS start, replace(lower(piece), 'ß', 'ss') AS word FROM s WHERE regexp_matches(piece, '^{_W}')""",
 )
 def word_tokens(g: Given) -> DataFrame:
-    return g["documents"].select("doc_id", F.inline(text.words_at(F.col("text")))).withColumn(
+    return g.spread("documents").select("doc_id", F.inline(text.words_at(F.col("text")))).withColumn(
         "start", F.col("start").cast("bigint")
     )
 
@@ -243,7 +243,7 @@ SELECT * FROM u WHERE unit <> ''""",
 )
 def text_units(g: Given) -> DataFrame:
     return (
-        g["documents"]
+        g.spread("documents")
         .select("doc_id", F.inline(text.units(F.col("text"))))
         .where("unit <> ''")
         .withColumn("start", F.col("start").cast("bigint"))
@@ -384,7 +384,7 @@ def score_views(g: Given) -> DataFrame:
         ),
         {"ignoreNullFields": "false"},
     )
-    pairs = g["documents"].join(g["d_expectation"], "doc_id").select(
+    pairs = g.spread("documents").join(g["d_expectation"], "doc_id").select(
         "doc_id",
         F.parse_json(F.when(F.col("doc_id") % 19 != 0, answer)).alias("answer"),
         F.parse_json("data").alias("expected"),

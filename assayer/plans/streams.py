@@ -80,5 +80,5 @@ l AS (SELECT doc_id, seq, list_transform(string_split(raw, chr(10)), lambda s, i
 SELECT doc_id, CAST(seq AS BIGINT) AS seq, array_to_string(ls, chr(10)) AS payload, CASE WHEN array_to_string(ls, chr(10)) LIKE '{"error"%' THEN 'rejected' WHEN array_to_string(ls, chr(10)) = '{"ok":1}' THEN NULL ELSE 'not a JSON object' END AS problem FROM l""",
 )
 def sse_payloads(g: Given) -> DataFrame:
-    rows = events.payload_rows(g["d_sse"], "stream", ["doc_id"])
+    rows = events.payload_rows(g.spread("d_sse"), "stream", ["doc_id"])
     return rows.withColumn("seq", F.col("seq").cast("bigint"))

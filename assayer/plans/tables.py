@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import prepare
+from ..session import prepare, spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -224,6 +224,10 @@ class Given:
                 self._frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._frames[name]
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row: dealt out to every core where it is small."""
+        return spread(self[name])
+
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over the tables and views it names."""
         words = set(re.findall(r"(?<=FROM )\w+|(?<=JOIN )\w+", text))

@@ -44,7 +44,7 @@ def _one(name: str, op: str) -> None:
     @query(name, f"SELECT doc_id, sha256({_sql([op])}) AS hex, length({_sql([op])}) AS n FROM d_messy")
     def run(g: Given) -> DataFrame:
         cleaned = text.CLEANUP[op](F.col("text"))
-        return g["d_messy"].select("doc_id", cleaned.alias("t")).select(
+        return g.spread("d_messy").select("doc_id", cleaned.alias("t")).select(
             "doc_id", F.sha2("t", 256).alias("hex"), F.length("t").cast("bigint").alias("n")
         )
 
@@ -67,7 +67,7 @@ def clean_pipeline(g: Given) -> DataFrame:
     lists = [F.array(*[F.lit(o) for o in ops]).cast("array<string>") for ops in _LISTS]
     ops = F.when(F.col("doc_id") % 3 == 0, lists[0]).when(F.col("doc_id") % 3 == 1, lists[1]).otherwise(lists[2])
     cleaned = text.clean_by(F.col("text"), F.col("ops"), longest=3)
-    return g["d_messy"].withColumn("ops", ops).select("doc_id", F.sha2(cleaned, 256).alias("hex"))
+    return g.spread("d_messy").withColumn("ops", ops).select("doc_id", F.sha2(cleaned, 256).alias("hex"))
 
 
 def _file(d: Dialect) -> str:
@@ -141,7 +141,7 @@ SELECT c.digest, sha256({_sql(_CLEANUP)}) AS vignette_hex, CASE WHEN appendix IS
   sha256(text) <> hex AS drifted FROM d_case c JOIN documents d ON d.doc_id = c.doc_id""",
 )
 def prepare_cases(g: Given) -> DataFrame:
-    docs = g["documents"]
+    docs = g.spread("documents")
     name = lambda kind: F.concat(F.lit(kind), F.col("doc_id").cast("string"))
     files = docs.select("source", name("v").alias("source_id"), F.encode("text", "UTF-8").alias("content"))
     appendices = docs.select(name("appendix:").alias("digest"), F.concat(F.lit("note "), "lang").alias("text"))
@@ -227,7 +227,7 @@ SELECT o_orderkey, kind, CASE kind
   WHEN 'skeleton' THEN concat('generation skeleton ', substr(digest, 8, 6)) ELSE concat(kind, ' ', substr(digest, 8, 6)) END AS description FROM d_described""",
 )
 def describe_components(g: Given) -> DataFrame:
-    rows = g["d_described"].withColumn("v", F.parse_json("doc"))
+    rows = g.spread("d_described").withColumn("v", F.parse_json("doc"))
     return rows.select(
         "o_orderkey", "kind", describe.describe(F.col("kind"), F.col("v"), F.col("digest"), F.col("doc")).alias("description")
     )

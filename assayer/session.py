@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results: they are set on any session the library is given.
 SEMANTICS = {
@@ -13,6 +13,10 @@ SEMANTICS = {
 }
 
 
+# Spark's default size of a scan's splits.
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings that results depend on; leave resources to the cluster."""
     for key, value in SEMANTICS.items():
@@ -44,6 +48,19 @@ def local(cores: str = "8", **conf: str) -> SparkSession:
     return spark
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Give every core a share of a small input before work that is heavy per row.
+
+    A file of one row group is read by one task, however many cores there are. Where the
+    optimizer's size estimate is below what the cores would read one split each of, the rows
+    are dealt out; anything larger has splits enough and is left as it is, without a shuffle.
+    """
+    spark = frame.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.repartition(cores) if size < cores * SPLIT_BYTES else frame
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: the cluster's, or one of our own where none is set.
 
