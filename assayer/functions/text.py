@@ -105,7 +105,7 @@ def _words(text: Column, keep: str = "") -> Column:
 
 def words_line(text: Column) -> Column:
     """The text's folded words, one space around each: ' an acute mi '. Blank for no words."""
-    return F.concat(F.lit(" "), F.ltrim(let(F.concat(text, F.lit(" ")), _words)))
+    return F.concat(F.lit(" "), F.ltrim(let(F.concat(text, F.lit(" ")), lambda t: _words(t))))
 
 
 _MARK = "\x01"
