@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -271,21 +271,23 @@ def clean(text: Column, ops: Iterable[str]) -> Column:
     return text
 
 
-def clean_by(text: Column, ops: Column, longest: int = 8) -> Column:
-    """Apply each row's own ordered list of ops, at most `longest` of them.
+def clean_by(rows: DataFrame, text: str, ops: str, longest: int = 4) -> DataFrame:
+    """Apply each row's own ordered list of ops to a column, at most `longest` of them.
 
     Position by position, one expression picks the row's op; an unknown name or a longer
-    list is an error, never skipped.
+    list is an error, never skipped. Each position is a step of its own, so what it reads is
+    computed once.
     """
+    t = F.col(text)
     for i in range(longest):
-        op = F.get(ops, F.lit(i))
-        step = F.when(op.isNull(), text)
+        op = F.get(F.col(ops), F.lit(i))
+        step = F.when(op.isNull(), t)
         for name, make in CLEANUP.items():
-            arg = F.when(op == name, text) if name == "unicode.nfc@1" else text
-            step = step.when(op == name, make(arg))
-        text = step.otherwise(F.raise_error(F.concat(F.lit("no cleanup op "), op)))
-    return F.when(F.size(ops) <= longest, text).otherwise(
-        F.raise_error(F.lit(f"more than {longest} cleanup ops"))
+            step = step.when(op == name, make(F.when(op == name, t)))
+        rows = rows.withColumn(text, step.otherwise(F.raise_error(F.concat(F.lit("no cleanup op "), op))))
+    return rows.withColumn(
+        text,
+        F.when(F.size(ops) <= longest, t).otherwise(F.raise_error(F.lit(f"more than {longest} cleanup ops"))),
     )
 
 

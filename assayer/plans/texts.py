@@ -66,8 +66,8 @@ def clean_pipeline(g: Given) -> DataFrame:
     """Each trial's own list of ops, in its order."""
     lists = [F.array(*[F.lit(o) for o in ops]).cast("array<string>") for ops in _LISTS]
     ops = F.when(F.col("doc_id") % 3 == 0, lists[0]).when(F.col("doc_id") % 3 == 1, lists[1]).otherwise(lists[2])
-    cleaned = text.clean_by(F.col("text"), F.col("ops"), longest=3)
-    return g.spread("d_messy").withColumn("ops", ops).select("doc_id", F.sha2(cleaned, 256).alias("hex"))
+    rows = g.spread("d_messy").withColumn("ops", ops)
+    return text.clean_by(rows, "text", "ops", longest=3).select("doc_id", F.sha2("text", 256).alias("hex"))
 
 
 def _file(d: Dialect) -> str:
