@@ -164,7 +164,7 @@ class AssembleCalls(StatefulProcessor):
     """Holds a call's chunks until its finish reason and everything before it have come.
 
     The answer is put together in order of `seq` and emitted once. A call is also emitted, with
-    an error, when its blank tokens reach the limit or it has been silent for the timeout.
+    an error, when its blank tokens reach the limit or no chunk of it has come in the timeout.
     """
 
     def __init__(self, whitespace_limit: int | None = 100, timeout_ms: int = 3_600_000) -> None:
@@ -175,22 +175,26 @@ class AssembleCalls(StatefulProcessor):
         self.pieces = handle.getMapState("pieces", "seq LONG", "chunk STRING")
         self.done = handle.getValueState("done", "done BOOLEAN")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if self.done.exists():
             return
+        latest = 0
         for frame in rows:
             for seq, chunk in zip(frame["seq"], frame["chunk"]):
                 self.pieces.updateValue((int(seq),), (chunk,))
+            latest = max(latest, int(frame["at"].max().timestamp() * 1000))
         for timer in list(self.handle.listTimers()):
+            latest = max(latest, timer - self.timeout_ms)
             self.handle.deleteTimer(timer)
         row = self._whole(key[0])
         if row is None:
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.timeout_ms)
+            self.handle.registerTimer(latest + self.timeout_ms)
             return
         yield self._emit(row)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        yield self._emit(self._whole(key[0], "stopped: no more chunks came"))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.done.exists():
+            yield self._emit(self._whole(key[0], "stopped: no more chunks came"))
 
     def _emit(self, row) -> pd.DataFrame:
         self.pieces.clear()
@@ -224,11 +228,17 @@ class AssembleCalls(StatefulProcessor):
         pass
 
 
-def assemble_stream(chunks: DataFrame, whitespace_limit: int | None = 100, timeout_ms: int = 3_600_000) -> DataFrame:
-    """The live form of `assemble`: call_id, seq (from 0), chunk in; finished calls out."""
-    return chunks.groupBy("call_id").transformWithStateInPandas(
+def assemble_stream(
+    chunks: DataFrame, whitespace_limit: int | None = 100, timeout_ms: int = 3_600_000, delay: str = "1 hour"
+) -> DataFrame:
+    """The live form of `assemble`: call_id, seq (from 0), chunk, at in; finished calls out.
+
+    Time is the chunks' own: a call none of whose chunks is within the timeout of the watermark
+    is given up, so what is held is bounded by the calls under way.
+    """
+    return chunks.withWatermark("at", delay).groupBy("call_id").transformWithStateInPandas(
         statefulProcessor=AssembleCalls(whitespace_limit, timeout_ms),
         outputStructType=ASSEMBLED,
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="EventTime",
     )

@@ -60,10 +60,12 @@ def chunk(text, finish=None, ids=1):
 
 def test_calls_are_assembled_as_they_stream(spark, tmp_path):
     source = tmp_path / "in"
-    schema = "call_id string, seq bigint, chunk string"
+    schema = "call_id string, seq bigint, chunk string, at timestamp"
 
-    def batch(*rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(source))
+    def batch(*rows, hour=0):
+        df = spark.createDataFrame(rows, "call_id string, seq bigint, chunk string")
+        at = F.to_timestamp(F.lit(f"2024-01-01 {hour:02}:00:00"))
+        df.withColumn("at", at).coalesce(1).write.mode("append").json(str(source))
 
     def step():
         stream = spark.readStream.schema(schema).json(str(source))
@@ -82,6 +84,12 @@ def test_calls_are_assembled_as_they_stream(spark, tmp_path):
     got = step()
     assert (got["a"].content, got["a"].finish_reason, got["a"].n_chunks) == ("hello!", "stop", 3)
     assert got["w"].error == "stopped: nothing but whitespace for 11 tokens"
+    batch(("lost", 0, chunk("half")))
+    step()
+    batch(("late", 0, chunk("z", "stop")), hour=9)
+    got = step()
+    assert (got["lost"].content, got["lost"].error) == ("half", "stopped: no more chunks came")
+    assert sorted(got) == ["a", "b", "late", "lost", "w"]
 
 
 def test_rows_land_once(spark, tmp_path):
