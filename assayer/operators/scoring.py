@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import ENGINE_VERSION
 from ..functions import aggregates, jsontext, patterns, selectors, text
 
 def scored(value: Column | None, answer: Column | None = None, reason: str | Column | None = None) -> Column:
@@ -116,8 +117,16 @@ METRICS: dict[str, Metric] = {
 }
 
 
-def expected_items(data: Column, selector: str) -> Column:
-    return selectors.select(data, selector)
+# A metric whose results change gets another version; the name stays.
+METRIC_VERSIONS = {"reciprocal_rank": "1", "first_mention": "1", "mentions": "1"}
+
+
+def stamped(scores: DataFrame, metric: str = "metric") -> DataFrame:
+    """Scores with the versions of what computed them, so that results can be told apart later."""
+    versions = F.create_map(*[F.lit(x) for kv in sorted(METRIC_VERSIONS.items()) for x in kv])
+    return scores.withColumns(
+        {"engine_version": F.lit(ENGINE_VERSION), "metric_version": F.try_element_at(versions, F.col(metric))}
+    )
 
 
 def target_parts(picked: Column) -> Column:

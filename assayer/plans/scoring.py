@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import ENGINE_VERSION
 from ..functions import patterns, selectors, text
 from ..operators import scoring
 from .registry import query
@@ -129,6 +130,16 @@ def score_label_summary(g: Given) -> DataFrame:
     return scoring.summarise(g["d_score"], ["condition", "view_pos"], digits=6)
 
 
+@query(
+    "stamped_scores",
+    f"""
+SELECT case_id, CASE view_pos WHEN 0 THEN 'reciprocal_rank' ELSE 'mentions' END AS metric, value, '{ENGINE_VERSION}' AS engine_version, '1' AS metric_version FROM d_score""",
+)
+def stamped_scores(g: Given) -> DataFrame:
+    metric = F.when(F.col("view_pos") == 0, "reciprocal_rank").otherwise("mentions")
+    return scoring.stamped(g["d_score"].select("case_id", metric.alias("metric"), "value"))
+
+
 @query(
     "pattern_match",
     f"""

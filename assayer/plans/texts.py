@@ -266,4 +266,5 @@ r AS (SELECT page_id, unnest(range(1, least(len(urls), 5) + 1)) AS rank, urls, n
 SELECT page_id, rank, concat(names[rank], ' & co') AS title, concat('https://site.example/', urls[rank]) AS url, concat('About ', names[rank]) AS snippet FROM r""",
 )
 def page_links(g: Given) -> DataFrame:
-    return pages.results(g["d_result_page"], "results", ["page_id"], first=5)
+    found = pages.results(g["d_result_page"], "results", ["page_id"], first=5)
+    return found.withColumn("rank", F.col("rank").cast("bigint"))
