@@ -12,12 +12,13 @@ from .findings import finding, message, union
 def closure(roots: DataFrame, refs: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Every digest reached from the roots (column `digest`), each once.
 
-    Semi-naive: a step follows only what the last one found. Each step's new digests are
+    Semi-naive: a step follows only what the last one found, so references are filtered by the
+    frontier before anything is made distinct. Each step's new digests are
     checkpointed to the shared folder, so plans don't grow with depth and a lost executor
     costs no earlier step. The number of steps is the depth of the graph.
     """
     checkpoint_dir(roots.sparkSession)
-    edges = refs.select(F.col(src).alias("_src"), F.col(dst).alias("digest")).distinct()
+    edges = refs.select(F.col(src).alias("_src"), F.col(dst).alias("digest"))
     frontier = roots.select("digest").distinct().checkpoint()
     seen = frontier
     while not frontier.isEmpty():
