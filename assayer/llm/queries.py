@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op1_curve_packing
+from .rules import op4_certified_rules
+from .sharding import op3_matrix_shards
 from .tokens import op5_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_curve_packing": op1_curve_packing,
-    "op5_token_counts": op5_token_counts,
+    f.__name__: f for f in (op1_curve_packing, op3_matrix_shards, op4_certified_rules, op5_token_counts)
 }
 ORACLES: dict[str, str] = {}
