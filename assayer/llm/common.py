@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +77,14 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def worker_state(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: functions arrive anew with each task, modules stay."""
+    home = sys.modules.setdefault("_assayer_worker", types.ModuleType("_assayer_worker"))
+    if not hasattr(home, name):
+        setattr(home, name, make())
+    return getattr(home, name)
+
+
 def task() -> int:
     from pyspark import TaskContext
 
@@ -85,64 +96,69 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.large_binary()).to_pylist()]
 
 
-def ranges(bounds: list[int], size: int) -> Iterator[tuple[int, int]]:
-    yield from zip([0, *bounds], [*bounds, size], strict=True)
+def shrunk(values: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers in [0, 2**31) as compressed bytes; `rising` ones as their differences."""
+    values = np.diff(values, prepend=0) if rising else values
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def grown(data: bytes, rising: bool = False) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    values = np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)
+    return np.cumsum(values) if rising else values
 
 
 ENCODED = "block long, doc_id long, n_bytes long, seq binary, freq binary, words array<binary>, totals array<long>"
+Book = dict[bytes, int]
 
 
-def encode(docs: DataFrame, units: Callable[[bytes], list[bytes] | dict], counted: bool, block_bytes: int = BLOCK_BYTES, train: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, number: Callable[[bytes, Book], tuple[np.ndarray, np.ndarray | None]], block_bytes: int = BLOCK_BYTES, train: Column | None = None) -> DataFrame:
     """Documents as numbers into a dictionary of their block: one row per document, one per block.
 
-    `units` gives a text's units: a list in order, or with `counted` a dict of counts. A document's
-    row has the units' places in its block's dictionary (`seq`, int32) and, if counted, how often
-    (`freq`, int32). A block's row has its dictionary (`words`) and how often each unit occurs in the
-    documents for which the boolean column `train` holds (`totals`). What belongs to a unit of the
-    whole corpus is then joined to at most one row per block and unit instead of every occurrence.
+    `number` gives a text's units by their places in the block's dictionary, to which it adds new ones:
+    all places in order, or the rising distinct places and how often each occurs. A document's row has both
+    shrunk (`seq`, `freq`). A block's row has its dictionary (`words`) and how often each unit occurs in the
+    documents for which `train` holds (`totals`). What belongs to a unit of the whole corpus is then joined
+    to one row per block and unit instead of every occurrence, so no unit is a hot key.
     """
     chosen = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    chosen.append((F.col(train) if train else F.lit(True)).alias("train"))
+    chosen.append((F.lit(True) if train is None else train).alias("train"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, book, totals = 0, 0, {}, []
         kinds = dict(block=pa.int64(), doc_id=pa.int64(), n_bytes=pa.int64(), seq=pa.binary(), freq=pa.binary(), words=pa.list_(pa.binary()), totals=pa.list_(pa.int64()))
+        blocks, held, book = 0, 0, {}
+        totals = np.zeros(1024, np.int64)
 
         def rows(**columns):
             size = len(columns["block"])
             return pa.RecordBatch.from_arrays([pa.array(columns.get(k, [None] * size), t) for k, t in kinds.items()], names=list(kinds))
 
-        def label() -> int:
-            return (task() << 24) | number
-
         def dictionary():
-            counts = np.zeros(len(book), np.int64)
-            for part in totals:
-                np.add.at(counts, part[0], part[1])
-            return rows(block=[label()], words=[list(book)], totals=[counts])
+            return rows(block=[label], words=[list(book)], totals=[totals[: len(book)]])
 
+        label = task() << 24
         for batch in batches:
             out = {k: [] for k in ("block", "doc_id", "n_bytes", "seq", "freq")}
-            ids, train_rows = batch.column("doc_id").to_pylist(), batch.column("train").to_pylist()
-            for doc, text, learn in zip(ids, texts_of(batch), train_rows, strict=True):
+            ids, learn = batch.column("doc_id").to_pylist(), batch.column("train").to_pylist()
+            for doc, text, counts in zip(ids, texts_of(batch), learn, strict=True):
                 if held and held + len(text) > block_bytes:
                     if out["block"]:
                         yield rows(**out)
                         out = {k: [] for k in out}
                     yield dictionary()
-                    number, held, book, totals = number + 1, 0, {}, []
+                    blocks, held, book = blocks + 1, 0, {}
+                    label, totals = (task() << 24) | blocks, np.zeros(1024, np.int64)
                 held += len(text)
-                found = units(text)
-                seq = np.fromiter((book.setdefault(w, len(book)) for w in found), np.int32, len(found))
-                freq = np.fromiter(found.values(), np.int32, len(found)) if counted else None
-                if learn:
-                    totals.append((seq, 1 if freq is None else freq))
-                    if len(totals) > 1024:
-                        counts = np.zeros(len(book), np.int64)
-                        for part in totals:
-                            np.add.at(counts, part[0], part[1])
-                        totals = [(np.arange(len(book)), counts)]
-                for k, v in (("block", label()), ("doc_id", doc), ("n_bytes", len(text)), ("seq", seq.tobytes()), ("freq", None if freq is None else freq.tobytes())):
+                seq, freq = number(text, book)
+                if len(totals) < len(book):
+                    totals = np.concatenate([totals, np.zeros(len(book), np.int64)])
+                if counts and freq is None:
+                    np.add.at(totals, seq, 1)
+                elif counts:
+                    totals[seq] += freq
+                packed = shrunk(seq, rising=freq is not None), None if freq is None else shrunk(freq)
+                for k, v in zip(out, (label, doc, len(text), *packed), strict=True):
                     out[k].append(v)
             if out["block"]:
                 yield rows(**out)

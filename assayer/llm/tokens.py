@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, encode, entries
+from .common import BLOCK_BYTES, documents, encode, entries, grown, shrunk
 
 FILE = "byte_bpe_50k.json"
 # The pre-tokens of the byte-level tokenizer, and its only special string.
@@ -27,33 +27,48 @@ SPECIAL = "<|endoftext|>"
 RUNS = regex.compile(r"\s | \s|^ | $", regex.V1)
 
 
-def pre_tokens(text: str, memo: dict[str, list[bytes]] | None = None) -> Counter:
-    """How often each pre-token occurs in a text, the special string being one of its own.
+class Splitter:
+    """Numbers a text's pre-tokens by their places in a dictionary; the special string is one of its own.
 
-    A single space before anything that isn't white space always begins a pre-token, so texts without
-    runs of white space are split there and each distinct word is matched once.
+    A single space before anything that isn't white space always begins a pre-token, so texts without runs
+    of white space are split there, and each distinct word of the dictionary's block is matched once.
     """
-    found: Counter = Counter()
-    memo = {} if memo is None else memo
-    for n, part in enumerate(text.split(SPECIAL)):
-        if n:
-            found[SPECIAL.encode()] += 1
-        if not part:
-            continue
-        if RUNS.search(part):
-            found.update(x.encode() for x in PRE_TOKEN.findall(part))
-            continue
-        first, *rest = part.split(" ")
-        found.update(x.encode() for x in PRE_TOKEN.findall(first))
-        for word, times in Counter(rest).items():
-            pieces = memo.get(word)
-            if pieces is None:
-                if len(memo) > 200_000:
-                    memo.clear()
-                pieces = memo[word] = [x.encode() for x in PRE_TOKEN.findall(" " + word)]
-            for piece in pieces:
-                found[piece] += times
-    return found
+
+    def __init__(self) -> None:
+        self.book: dict[bytes, int] | None = None
+        self.known: dict[str, list[int]] = {}
+
+    def match(self, text: str) -> list[int]:
+        book = self.book
+        return [book.setdefault(x.encode(), len(book)) for x in PRE_TOKEN.findall(text)]
+
+    def __call__(self, text: bytes, book: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        if book is not self.book:
+            self.book, self.known = book, {}
+        places: list[int] = []
+        times: list[int] = []
+        for n, part in enumerate(text.decode("utf-8", "replace").split(SPECIAL)):
+            if n:
+                places.append(book.setdefault(SPECIAL.encode(), len(book)))
+                times.append(1)
+            if RUNS.search(part):
+                found = self.match(part)
+                places += found
+                times += [1] * len(found)
+                continue
+            first, *rest = part.split(" ")
+            found = self.match(first)
+            places += found
+            times += [1] * len(found)
+            for word, count in Counter(rest).items():
+                found = self.known.get(word)
+                if found is None:
+                    found = self.known[word] = self.match(" " + word)
+                for place in found:
+                    places.append(place)
+                    times.append(count)
+        distinct, which = np.unique(np.array(places, np.int64), return_inverse=True)
+        return distinct, np.bincount(which, np.array(times, np.int64), len(distinct)).astype(np.int64)
 
 
 def _pieces(path: str | None, file: str):
@@ -74,19 +89,14 @@ def _pieces(path: str | None, file: str):
     return count
 
 
-def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, block_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of (doc_id, text).
 
     `path` is the tokenizer's file on the executors (None: the public one's). Null text is empty and has
     no tokens; a null or repeated doc_id gives a row for each of its rows; other columns are left out; an
     empty table gives an empty result.
     """
-    memo: dict[str, list[bytes]] = {}
-
-    def units(text: bytes) -> Counter:
-        return pre_tokens(text.decode("utf-8", "replace"), memo)
-
-    encoded = encode(docs, units, counted=True, block_bytes=block_bytes)
+    encoded = encode(docs, Splitter(), block_bytes)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -104,15 +114,27 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, bl
             numbers = np.array([found[w] for w in distinct], np.int32)[coded.indices.to_numpy()]
             if len(numbers):
                 last = (batch.column("word")[len(numbers) - 1].as_py(), int(numbers[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("pos"), pa.array(numbers)], names=["block", "pos", "n"])
+            yield by_block(batch.column("block").to_numpy(), batch.column("pos").to_numpy(), numbers)
+
+    def by_block(block: np.ndarray, pos: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+        """What a batch knows of each block in one row."""
+        order = np.lexsort((pos, block))
+        block, pos, numbers = block[order], pos[order], numbers[order]
+        blocks, starts = np.unique(block, return_index=True)
+        parts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True))
+        columns = [pa.array(blocks), pa.array([shrunk(pos[a:b], rising=True) for a, b in parts], pa.binary()), pa.array([shrunk(numbers[a:b]) for a, b in parts], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "pos", "n"])
 
     by_word = entries(encoded).select("word", "block", "pos").repartition("word").sortWithinPartitions("word")
-    counted = by_word.mapInArrow(pieces, "block long, pos int, n int")
+    counted = by_word.mapInArrow(pieces, "block long, pos binary, n binary")
 
     def total(docs: pa.Table, book: pa.Table) -> pa.Table:
-        numbers = np.zeros(book.num_rows, np.int64)
-        numbers[book.column("pos").to_numpy()] = book.column("n").to_numpy()
-        tokens = [int(numbers[np.frombuffer(s, np.int32)] @ np.frombuffer(f, np.int32)) for s, f in zip(docs.column("seq").to_pylist(), docs.column("freq").to_pylist(), strict=True)]
+        pairs = [(grown(p, rising=True), grown(n)) for p, n in zip(book.column("pos").to_pylist(), book.column("n").to_pylist(), strict=True)]
+        numbers = np.zeros(1 + max((int(p[-1]) for p, _ in pairs), default=0), np.int64)
+        for p, n in pairs:
+            numbers[p] = n
+        packed = zip(docs.column("seq").to_pylist(), docs.column("freq").to_pylist(), strict=True)
+        tokens = [int(numbers[grown(s, rising=True)] @ grown(f)) for s, f in packed]
         return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": docs.column("n_bytes"), "n_tokens": pa.array(tokens, pa.int64())})
 
     rows = encoded.filter(F.col("words").isNull()).select("block", "doc_id", "n_bytes", "seq", "freq")
