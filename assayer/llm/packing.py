@@ -11,19 +11,22 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, kept, task
+from .common import documents, kept, task, worker_state
 
 FILE = "word_bpe_49k.json"
 END = 1
+# A sign that makes one id by itself, and whose id nothing else makes.
+BAR = "|"
 DIMENSIONS, BITS = 4, 12
 # Words whose ids a worker keeps; beyond it starts anew.
-MEMO = 500_000
+MEMO = 1_500_000
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -64,29 +67,31 @@ def directions(vocabulary: int, coordinates: int = 256) -> np.ndarray:
     return (rng.standard_normal((coordinates, DIMENSIONS))[place] * sign[:, None]).astype(np.float32)
 
 
-class Ids(dict):
+class Ids:
     """The ids of words as bytes of little-endian 16-bit numbers, encoded on first sight."""
 
     def __init__(self, tokenizer) -> None:
-        super().__init__()
         self.tokenizer = tokenizer
-
-    def learn(self, found: set[str]) -> None:
-        todo = [w for w in found if w not in self]
-        if len(self) + len(todo) > MEMO:
-            self.clear()
-            todo = list(found)
-        step = 2048
-        for at in range(0, len(todo), step):
-            part = todo[at : at + step]
-            # One text of many words is encoded at a time: white space separates words in any text.
-            enc = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
-            ids = np.array(enc.ids, np.uint16)
-            starts = np.cumsum([0] + [len(w) + 1 for w in part])
-            begins = np.fromiter((a for a, _ in enc.offsets), np.int64, len(enc.offsets))
-            cuts = np.searchsorted(begins, starts)
-            for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self[w] = ids[a:b].tobytes()
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, texts: list[list[str]]) -> None:
+        new: set[str] = set()
+        for words in texts:
+            new.update(filterfalse(self.known.__contains__, words))
+        if len(self.known) + len(new) > MEMO:
+            self.known.clear()
+            new = set().union(*texts)
+        for w in [w for w in new if BAR in w]:
+            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint16).tobytes()
+        plain = [w for w in new if BAR not in w]
+        between, mark = f"\n{BAR}\n", self.tokenizer.encode(BAR, add_special_tokens=False).ids
+        for at in range(0, len(plain), 1024):
+            # Many words are encoded as one text, with a bar, which none of them has, between any two.
+            part = plain[at : at + 1024]
+            ids = np.array(self.tokenizer.encode(between.join(part), add_special_tokens=False).ids, np.uint16)
+            cuts = (np.flatnonzero(ids == mark[0]) * 2).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *(c + 2 for c in cuts)], [*cuts, len(raw)], strict=True)), strict=True))
 
 
 def _tokenizer(path: str | None):
@@ -116,20 +121,20 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, key, ids): a document's ids with its end (16 bits each) and its place on the curve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
-        book, towards, end = Ids(tokenizer), directions(1 << 16), np.array([END], np.uint16).tobytes()
+        book = worker_state(f"ids of {path}", lambda: Ids(_tokenizer(path)))
+        towards, end = directions(1 << 16), np.array([END], np.uint16).tobytes()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for at in range(0, len(texts), 512):
                 part = [x or "" for x in texts[at : at + 512]]
                 split = [x.split() if _plain(x) else None for x in part]
-                book.learn(set().union(*(s for s in split if s)))
+                book.learn([s for s in split if s])
                 ids = []
                 for text, found in zip(part, split, strict=True):
                     if found is None:
-                        own = np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+                        own = np.array(book.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
                     else:
-                        own = b"".join(map(book.__getitem__, found))
+                        own = b"".join(map(book.known.__getitem__, found))
                     ids.append(own + end)
                 flat = np.frombuffer(b"".join(ids), np.uint16)
                 sizes = np.fromiter((len(x) // 2 for x in ids), np.int64, len(ids))
