@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .hmm import op9_hidden_markov
+from .language import op6_character_language
 from .packing import op1_curve_packing
 from .rules import op4_certified_rules
 from .sharding import op3_matrix_shards
 from .tokens import op5_token_counts
+from .weak_labels import op2_weak_label_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_curve_packing, op3_matrix_shards, op4_certified_rules, op5_token_counts)
+    f.__name__: f
+    for f in (
+        op1_curve_packing,
+        op2_weak_label_quality,
+        op3_matrix_shards,
+        op4_certified_rules,
+        op5_token_counts,
+        op6_character_language,
+        op9_hidden_markov,
+    )
 }
 ORACLES: dict[str, str] = {}
