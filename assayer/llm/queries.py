@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op10_benchmark_leaks
 from .hmm import op9_hidden_markov
 from .language import op6_character_language
 from .packing import op1_curve_packing
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_token_counts,
         op6_character_language,
         op9_hidden_markov,
+        op10_benchmark_leaks,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -30,6 +30,10 @@ JUNK, TOXIC = ("symbols", "capitals", "doubled", "varied", "marks"), ("words", "
 ABSTAIN, GOOD, BAD = 0, 1, 2
 # For each junk heuristic the share up to which it votes good and from which it votes bad.
 SHARES = ((0.01, 0.06), (0.15, 0.4), (0.02, 0.2), (-0.4, -0.2), (0.02, 0.1))
+# Steps of the same shares that are features of the scorer.
+STEPS = ((0.01, 0.03, 0.06, 0.12, 0.25), (0.1, 0.15, 0.25, 0.4, 0.6), (0.02, 0.05, 0.1, 0.2, 0.4), (-0.4, -0.3, -0.2, -0.1), (0.02, 0.05, 0.1, 0.3, 0.6))
+# A feature is used if so many sample rows have it and its log odds are so large.
+LEAST, TOLD = 8, 2.5
 MEMO = 400_000
 
 
@@ -68,7 +72,7 @@ def shares(text: str, lower: list[str], numbers: np.ndarray) -> list[float]:
     n = max(len(lower), 1)
     doubled = int((numbers[1:] == numbers[:-1]).sum())
     capitals = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    marks = text.count("!") + text.count("|")
+    marks = text.count("!!") + text.count("|") + sum(text.count(3 * c) for c in SYMBOLS)
     return [sum(map(text.count, SYMBOLS)) / chars, capitals / chars, doubled / n, -len(np.unique(numbers)) / n if n >= 50 else -1.0, marks / n]
 
 
@@ -86,6 +90,11 @@ def read(batch: pa.RecordBatch) -> Iterator[tuple[int, list[float], np.ndarray,
             yield at + i, shares(text, words, numbers), found[found > 0], len(words)
 
 
+def hits_in(hashes: np.ndarray, listed: np.ndarray) -> int:
+    """How many of a text's units are listed as toxic."""
+    return int(np.isin(hashes, listed).sum()) if len(listed) else 0
+
+
 def toxic_units(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(unit, whole): hashes of words and beginnings that labelled toxic texts have and others hardly ever do."""
     marked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic IS NOT NULL").orderBy(F.xxhash64("doc_id")).limit(LABELLED)
@@ -122,7 +131,7 @@ def votes(docs: DataFrame, listed: np.ndarray) -> DataFrame:
             out = np.zeros((batch.num_rows, 2), np.int64)
             for i, found, hashes, n in read(batch):
                 junk = [BAD if x >= bad else GOOD if x <= good else ABSTAIN for x, (good, bad) in zip(found, SHARES, strict=True)]
-                hits = int(np.isin(hashes, listed).sum()) if len(listed) else 0
+                hits = hits_in(hashes, listed)
                 # Whole words and beginnings are hashed alike: one hit may be a beginning, several are a word with its own.
                 toxic = [BAD if hits >= 2 else GOOD, BAD if hits else GOOD, BAD if hits > 0.004 * n else GOOD if not hits else ABSTAIN]
                 for j, kinds in enumerate((junk, toxic)):
@@ -153,14 +162,22 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, heuristics: int, round
     return bad, table
 
 
-def features(found: list[float], hashes: np.ndarray) -> np.ndarray:
-    """Places of a text's hashed features: its units and, in steps, its shares."""
-    own = [xxhash.xxh3_64_intdigest(f"{name}:{int(min(max(x * s, -20), 40))}") for name, x, s in zip(JUNK, found, (100, 20, 20, 20, 50), strict=True)]
+def features(found: list[float], hashes: np.ndarray, hits: int) -> np.ndarray:
+    """Places of a text's hashed features: its units, and every step that its shares and its listed units reach."""
+    own = [_step(name, step) for name, x, steps in zip(JUNK, found, STEPS, strict=True) for step in steps if x >= step]
+    own += [_step("listed", step) for step in (1, 2, 3, 5) if hits >= step]
     return np.unique(np.concatenate([hashes, np.array(own, np.uint64)]) % np.uint64(FEATURES)).astype(np.int64)
 
 
-def fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer; features that few rows have or that tell nothing stay at 0."""
+def _step(name: str, step: float) -> int:
+    return xxhash.xxh3_64_intdigest(f"{name} {step}")
+
+
+def fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = 400, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer; features that few rows have or that tell little stay at 0.
+
+    Both classes weigh the same. The squared weights are penalised, so a feature of a few rows stays weak.
+    """
     weights, bias = np.zeros(FEATURES), 0.0
     if not len(target):
         return weights, -10.0
@@ -169,21 +186,22 @@ def fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = 300) -> tuple[
     bad = np.bincount(place, target[row], FEATURES)
     good = np.bincount(place, 1 - target[row], FEATURES)
     odds = np.log((bad + 0.5) / (target.sum() + 1)) - np.log((good + 0.5) / ((1 - target).sum() + 1))
-    told = (bad + good >= 8) & (np.abs(odds) >= 2.5)
+    told = (bad + good >= LEAST) & (np.abs(odds) >= TOLD)
     use = told[place]
     place, row = place[use], row[use]
     names, place = np.unique(place, return_inverse=True)
-    w, speed = np.zeros(len(names)), np.zeros(len(names))
-    speed_bias = 0.0
-    scale = 1 / np.sqrt(np.bincount(place, minlength=len(names)))
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[place], len(target)) + bias, -30, 30)))
-        error = p - target
-        speed = 0.9 * speed - 0.15 * (np.bincount(place, error[row], len(names)) * scale / np.sqrt(len(target)) * 4 + 0.001 * w)
-        speed_bias = 0.9 * speed_bias - 0.15 * error.mean() * 4
-        w, bias = w + speed, bias + speed_bias
-    weights[names] = w
-    return weights, float(bias)
+    share = max(target.mean(), 1e-6)
+    weight = np.where(target >= 0.5, 0.5 / share, 0.5 / max(1 - share, 1e-6))
+    w = np.zeros(len(names) + 1)
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, rounds + 1):  # Adam over the whole sample
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[place], len(target)) + w[-1], -30, 30)))
+        error = (p - target) * weight
+        slope = np.append(np.bincount(place, error[row], len(names)) + penalty * w[:-1], error.sum())
+        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+        w -= 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+    weights[names] = w[:-1]
+    return weights, float(w[-1])
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -215,22 +233,22 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [features(s, h) for _, s, h, _ in read(batch)]
+                found = [features(s, h, hits_in(h, listed)) for _, s, h, _ in read(batch)]
                 yield pa.RecordBatch.from_arrays([batch.column("bad"), pa.array(found, pa.list_(pa.int64()))], names=["bad", "features"])
 
         # The sample's size is bounded: SAMPLE rows of each class.
         chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
         rows = chosen.select("text", "bad").mapInArrow(run, "bad double, features array<long>").toArrow()
         weights, bias = fit([np.array(x) for x in rows.column("features").to_pylist()], rows.column("bad").to_numpy())
-    sent = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
+    sent = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias, listed))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = sent.value
+        weights, bias, listed = sent.value
         for batch in batches:
             out = np.ones(batch.num_rows)
             for i, s, h, n in read(batch):
                 if n:
-                    out[i] = 1 / (1 + np.exp(-np.clip(weights[features(s, h)].sum(dtype=np.float64) + bias, -50, 50)))
+                    out[i] = 1 / (1 + np.exp(-np.clip(weights[features(s, h, hits_in(h, listed))].sum(dtype=np.float64) + bias, -50, 50)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out)], names=["row", "bad"])
 
     rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
