@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op10_benchmark_leaks
 from .hmm import op9_hidden_markov
 from .language import op6_character_language
+from .near_dup import op7_lsh_forest
 from .packing import op1_curve_packing
 from .rules import op4_certified_rules
 from .sharding import op3_matrix_shards
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_certified_rules,
         op5_token_counts,
         op6_character_language,
+        op7_lsh_forest,
         op9_hidden_markov,
         op10_benchmark_leaks,
     )
