@@ -24,6 +24,9 @@ NOT_WORD = r"[\x20\x09-\x0D]+"
 # end or after so many bytes of text.
 BLOCK_BYTES = 64 * 1024 * 1024
 
+BASE = 0x9E3779B97F4A7C15
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -33,11 +36,17 @@ def kept(frame: DataFrame) -> DataFrame:
     """Write a frame to the shared checkpoint folder and reread it: lineage ends here.
 
     Executors can be lost afterwards without anything above being computed again. The files stay
-    until the owner of spark.checkpoint.dir clears it, since results are read lazily from them.
+    until the owner of spark.checkpoint.dir clears it, since results are read lazily from them. What the
+    write itself shuffled is dropped when it is done, where Spark can do so.
     """
     spark = frame.sparkSession
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -71,12 +80,26 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    base = np.uint64(0x9E3779B97F4A7C15)
+    base = np.uint64(BASE)
     for j in range(k):
         out = out * base + mix(h[j : j + n] + np.uint64(j + 1))
     return mix(out)
 
 
+def long_windows(h: np.ndarray, k: int, base: int = BASE) -> np.ndarray:
+    """As `rolling`, in time that doesn't depend on k: differences of a running sum over powers of an odd base."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    powers = np.full(len(h), base, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    inverse = np.full(n, pow(base, -1, 1 << 64), np.uint64)
+    inverse[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h) * powers, dtype=np.uint64)])
+    return mix((sums[k:] - sums[:n]) * np.cumprod(inverse, dtype=np.uint64))
+
+
 def worker_state(name: str, make: Callable[[], object]) -> object:
     """What a Python worker keeps between tasks: functions arrive anew with each task, modules stay."""
     home = sys.modules.setdefault("_assayer_worker", types.ModuleType("_assayer_worker"))

@@ -13,6 +13,7 @@ from .near_dup import op7_lsh_forest
 from .packing import op1_curve_packing
 from .rules import op4_certified_rules
 from .sharding import op3_matrix_shards
+from .substrings import op8_prefix_suffixes
 from .tokens import op5_token_counts
 from .weak_labels import op2_weak_label_quality
 
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_token_counts,
         op6_character_language,
         op7_lsh_forest,
+        op8_prefix_suffixes,
         op9_hidden_markov,
         op10_benchmark_leaks,
     )
