@@ -8,6 +8,7 @@ scorer alone judges every document.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,10 @@ from .common import documents, kept, worker_state
 
 # Labelled rows from which the list of toxic words is taken, and the list's longest length.
 LABELLED, LISTED = 100_000, 5_000
+# A unit is listed if its being in toxic texts only has a chance below exp(-CHANCE).
+CHANCE = 8.0
 # Rows of each posterior class that train the scorer; the scorer's hashed features.
-SAMPLE, FEATURES = 10_000, 1 << 18
+SAMPLE, FEATURES = 4_000, 1 << 18
 # Lengths of the word beginnings that stand beside whole words.
 BEGINNINGS = (4, 5, 6)
 EDGES = ".,;:!?|%$&*#()[]\"'"
@@ -120,7 +123,10 @@ def toxic_units(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return counted.filter("false").select("unit")
     odds = F.ln((F.col("toxic") + 0.5) / (total.toxic + 1)) - F.ln((F.col("clean") + 0.5) / (total.clean + 1))
     rare = F.col("clean") * 500 <= F.lit(total.clean)
-    return counted.filter((F.col("unit") != 0) & rare & (odds >= 3.5) & (F.col("toxic") >= 20 * F.col("clean"))).orderBy(F.desc(odds), "unit").limit(LISTED).select("unit")
+    # How unlikely it is that so many of the labelled texts that have the unit are toxic by chance.
+    chance = F.col("toxic") * math.log(max(total.toxic + total.clean, 2) / total.toxic)
+    told = (odds >= 3.5) & (chance >= CHANCE) & (F.col("toxic") >= 20 * F.col("clean"))
+    return counted.filter((F.col("unit") != 0) & rare & told).orderBy(F.desc(odds), "unit").limit(LISTED).select("unit")
 
 
 def votes(docs: DataFrame, listed: np.ndarray) -> DataFrame:
@@ -182,9 +188,9 @@ def fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = 400, penalty:
     if not len(target):
         return weights, -10.0
     place = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows])
     bad = np.bincount(place, target[row], FEATURES)
-    good = np.bincount(place, 1 - target[row], FEATURES)
+    good = np.bincount(place, minlength=FEATURES) - bad
     odds = np.log((bad + 0.5) / (target.sum() + 1)) - np.log((good + 0.5) / ((1 - target).sum() + 1))
     told = (bad + good >= LEAST) & (np.abs(odds) >= TOLD)
     use = told[place]
@@ -234,12 +240,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = [features(s, h, hits_in(h, listed)) for _, s, h, _ in read(batch)]
-                yield pa.RecordBatch.from_arrays([batch.column("bad"), pa.array(found, pa.list_(pa.int64()))], names=["bad", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column("bad"), pa.array([x.astype(np.int32).tobytes() for x in found], pa.binary())], names=["bad", "features"])
 
         # The sample's size is bounded: SAMPLE rows of each class.
         chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-        rows = chosen.select("text", "bad").mapInArrow(run, "bad double, features array<long>").toArrow()
-        weights, bias = fit([np.array(x) for x in rows.column("features").to_pylist()], rows.column("bad").to_numpy())
+        rows = chosen.select("text", "bad").mapInArrow(run, "bad double, features binary").toArrow()
+        weights, bias = fit([np.frombuffer(x, np.int32) for x in rows.column("features").to_pylist()], rows.column("bad").to_numpy())
     sent = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias, listed))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
