@@ -26,7 +26,7 @@ def test_stages(spark, tmp_path):
         if i % 25 == 4 and i > 50:
             text = rows[i - 50][1].replace(" ", " also ", 1)
         rows.append((i, text, "en", f"s{i % 2}", len(text)))
-        marks.append((i, int(i % 20 != 1), int(i % 8 == 0)))
+        marks.append((i, int("$$$" not in text), int("vileword" in text)))
     documents = spark.createDataFrame(rows, DOCUMENT)
     documents.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -41,7 +41,7 @@ def test_stages(spark, tmp_path):
             assert docs.columns == DOCUMENT.names
     ids = lambda found: {r.doc_id for r in found}
     before, after = seen["quality"]
-    assert ids(before) - ids(after) == {i for i in range(400) if i % 8 == 0 or i % 20 == 1}
+    assert ids(before) - ids(after) == {i for i, good, toxic in marks if toxic or not good}
     before, after = seen["near_duplicates"]
     _, of = brute_components([tuple(r) for r in before], 5)
     assert ids(after) == {i for i, c in of.items() if i == c} != ids(before)
