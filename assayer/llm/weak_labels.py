@@ -9,7 +9,10 @@ scorer alone judges every document.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import filterfalse, islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ SHARES = ((0.01, 0.06), (0.15, 0.4), (0.02, 0.2), (-0.4, -0.2), (0.02, 0.1))
 STEPS = ((0.01, 0.03, 0.06, 0.12, 0.25), (0.1, 0.15, 0.25, 0.4, 0.6), (0.02, 0.05, 0.1, 0.2, 0.4), (-0.4, -0.3, -0.2, -0.1), (0.02, 0.05, 0.1, 0.3, 0.6))
 # A feature is used if so many sample rows have it and its log odds are so large.
 LEAST, TOLD = 8, 2.5
-MEMO = 400_000
+MEMO = 800_000
 
 
 def units(word: str) -> list[str]:
@@ -51,12 +54,15 @@ class Vocabulary:
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
         self.hashes = np.zeros((0, 1 + len(BEGINNINGS)), np.uint64)
+        self.generation = 0
 
-    def learn(self, texts: list[list[str]]) -> None:
-        found = set().union(*texts)
-        new = [w for w in found if w not in self.known]
+    def learn(self, texts: list[set[str]]) -> None:
+        new: set[str] = set()
+        for found in texts:
+            new.update(filterfalse(self.known.__contains__, found))
         if len(self.known) + len(new) > MEMO:
-            self.known, self.hashes, new = {}, self.hashes[:0], list(found)
+            self.known, self.hashes, new = {}, self.hashes[:0], set().union(*texts)
+            self.generation += 1
         if not new:
             return
         rows = np.zeros((len(new), 1 + len(BEGINNINGS)), np.uint64)
@@ -69,52 +75,75 @@ class Vocabulary:
         self.hashes = np.concatenate([self.hashes, rows])
 
 
-def shares(text: str, lower: list[str], numbers: np.ndarray) -> list[float]:
+class Told:
+    """What is told of each word of a vocabulary by its units, worked out once a word."""
+
+    def __init__(self, vocabulary: Vocabulary, tell: Callable[[np.ndarray], np.ndarray]) -> None:
+        self.vocabulary, self.tell = vocabulary, tell
+        self.generation, self.values = -1, np.zeros(0)
+
+    def sum(self, numbers: np.ndarray) -> float:
+        if self.generation != self.vocabulary.generation:
+            self.generation, self.values = self.vocabulary.generation, np.zeros(0)
+        done, size = len(self.values), len(self.vocabulary.hashes)
+        if done < size:
+            self.values = np.concatenate([self.values, self.tell(self.vocabulary.hashes[done:size])])
+        return float(self.values[numbers].sum())
+
+
+def shares(text: str, words: list[str], distinct: int) -> list[float]:
     """What the junk heuristics look at: how much of the text is symbols, capitals, doubled words; how varied it is; marks."""
     chars = max(len(text) - text.count(" ") - text.count("\n"), 1)
-    n = max(len(lower), 1)
-    doubled = int((numbers[1:] == numbers[:-1]).sum())
+    n = max(len(words), 1)
+    doubled = sum(map(eq, words, islice(words, 1, None)))
     capitals = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     marks = text.count("!!") + text.count("|") + sum(text.count(3 * c) for c in SYMBOLS)
-    return [sum(map(text.count, SYMBOLS)) / chars, capitals / chars, doubled / n, -len(np.unique(numbers)) / n if n >= 50 else -1.0, marks / n]
+    return [sum(map(text.count, SYMBOLS)) / chars, capitals / chars, doubled / n, -distinct / n if n >= 50 else -1.0, marks / n]
+
+
+def vocabulary() -> Vocabulary:
+    return worker_state("weak_label_words", Vocabulary)
 
 
 def read(batch: pa.RecordBatch) -> Iterator[tuple[int, list[float], np.ndarray, int]]:
-    """For each text its place, shares, distinct unit hashes and number of words."""
-    vocabulary = worker_state("weak_label_words", Vocabulary)
+    """For each text its place, shares, the numbers of its distinct words and how many words it has."""
+    book = vocabulary()
     texts = batch.column("text").to_pylist()
     for at in range(0, len(texts), 256):
         part = [x or "" for x in texts[at : at + 256]]
         split = [x.lower().split() for x in part]
-        vocabulary.learn(split)
-        for i, (text, words) in enumerate(zip(part, split, strict=True)):
-            numbers = np.fromiter(map(vocabulary.known.__getitem__, words), np.int64, len(words))
-            found = np.unique(vocabulary.hashes[np.unique(numbers)])
-            yield at + i, shares(text, words, numbers), found[found > 0], len(words)
+        distinct = [set(x) for x in split]
+        book.learn(distinct)
+        for i, (text, words, found) in enumerate(zip(part, split, distinct, strict=True)):
+            numbers = np.fromiter(map(book.known.__getitem__, found), np.int64, len(found))
+            yield at + i, shares(text, words, len(found)), numbers, len(words)
 
 
-def hits_in(hashes: np.ndarray, listed: np.ndarray) -> int:
-    """How many of a text's units are listed as toxic."""
-    return int(np.isin(hashes, listed).sum()) if len(listed) else 0
+def listed_units(listed: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """How many of each word's units are listed as toxic."""
+    return lambda hashes: np.isin(hashes, listed).sum(axis=1).astype(float) if len(listed) else np.zeros(len(hashes))
 
 
 def toxic_units(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(unit, whole): hashes of words and beginnings that labelled toxic texts have and others hardly ever do."""
+    """(unit): hashes of words and beginnings that labelled toxic texts have and others hardly ever do."""
     marked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic IS NOT NULL").orderBy(F.xxhash64("doc_id")).limit(LABELLED)
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(marked, "doc_id").select("text", "toxic")
+    # The labelled rows are LABELLED at most, so the texts need not move to meet them.
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "doc_id").select("text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flags = batch.column("toxic").to_pylist()
-            counts: dict[int, list[int]] = {}
-            seen = [0, 0]
-            for i, _, found, _ in read(batch):
-                toxic = int(flags[i] == 1)
-                seen[toxic] += 1
-                for h in found.tolist():
-                    counts.setdefault(h, [0, 0])[toxic] += 1
-            rows = np.array([(0, *seen), *((h - (1 << 63), *n) for h, n in counts.items())], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, j]) for j in range(3)], names=["unit", "clean", "toxic"])
+            flags = batch.column("toxic").to_numpy(zero_copy_only=False) == 1
+            found = [np.unique(vocabulary().hashes[numbers]) for _, _, numbers, _ in read(batch)]
+            if not found:
+                continue
+            sizes = [len(x) for x in found]
+            names, which = np.unique(np.concatenate(found), return_inverse=True)
+            toxic = np.bincount(which, np.repeat(flags, sizes), len(names)).astype(np.int64)
+            clean = np.bincount(which, minlength=len(names)) - toxic
+            # Unit 0, what a word has not, counts the texts.
+            names = np.append(names[names > 0], np.uint64(0))
+            toxic, clean = (np.append(x[-len(names) + 1 :] if len(names) > 1 else x[:0], n) for x, n in ((toxic, flags.sum()), (clean, (~flags).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(clean), pa.array(toxic)], names=["unit", "clean", "toxic"])
 
     counted = chosen.mapInArrow(run, "unit long, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counted = kept(counted.filter("unit = 0 OR toxic >= 3"))
@@ -133,11 +162,12 @@ def votes(docs: DataFrame, listed: np.ndarray) -> DataFrame:
     """(doc_id, junk, toxic): the heuristics' votes, one digit of base 3 each. `listed` has LISTED hashes at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = Told(vocabulary(), listed_units(listed))
         for batch in batches:
             out = np.zeros((batch.num_rows, 2), np.int64)
-            for i, found, hashes, n in read(batch):
+            for i, found, numbers, n in read(batch):
                 junk = [BAD if x >= bad else GOOD if x <= good else ABSTAIN for x, (good, bad) in zip(found, SHARES, strict=True)]
-                hits = hits_in(hashes, listed)
+                hits = told.sum(numbers)
                 # Whole words and beginnings are hashed alike: one hit may be a beginning, several are a word with its own.
                 toxic = [BAD if hits >= 2 else GOOD, BAD if hits else GOOD, BAD if hits > 0.004 * n else GOOD if not hits else ABSTAIN]
                 for j, kinds in enumerate((junk, toxic)):
@@ -168,13 +198,19 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, heuristics: int, round
     return bad, table
 
 
-def features(found: list[float], hashes: np.ndarray, hits: int) -> np.ndarray:
-    """Places of a text's hashed features: its units, and every step that its shares and its listed units reach."""
+def steps_of(found: list[float], hits: float) -> np.ndarray:
+    """Places of a text's hashed features that aren't words: every step that its shares and its listed units reach."""
     own = [_step(name, step) for name, x, steps in zip(JUNK, found, STEPS, strict=True) for step in steps if x >= step]
     own += [_step("listed", step) for step in (1, 2, 3, 5) if hits >= step]
-    return np.unique(np.concatenate([hashes, np.array(own, np.uint64)]) % np.uint64(FEATURES)).astype(np.int64)
+    return (np.array(own, np.uint64) % np.uint64(FEATURES)).astype(np.int64)
+
+
+def features(found: list[float], hashes: np.ndarray, hits: float) -> np.ndarray:
+    """Places of all of a text's hashed features, a unit once for each distinct word that has it."""
+    return np.concatenate([(hashes[hashes > 0] % np.uint64(FEATURES)).astype(np.int64), steps_of(found, hits)])
 
 
+@cache
 def _step(name: str, step: float) -> int:
     return xxhash.xxh3_64_intdigest(f"{name} {step}")
 
@@ -218,7 +254,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     or empty text has no words: it is bad, score 1. Repeated rows and null ids are judged each; an empty table
     gives an empty result.
     """
-    listed = np.array([r[0] + (1 << 63) for r in toxic_units(docs, labels).collect()], np.uint64)
+    listed = np.array([r[0] for r in toxic_units(docs, labels).collect()], np.int64).view(np.uint64)
     voted = kept(votes(docs, listed))
     post = {}
     for facet, kinds in (("junk", JUNK), ("toxic", TOXIC)):
@@ -238,8 +274,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
         sample = kept(halves[0].unionByName(halves[1]).dropDuplicates(["doc_id"]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            told = Told(vocabulary(), listed_units(listed))
             for batch in batches:
-                found = [features(s, h, hits_in(h, listed)) for _, s, h, _ in read(batch)]
+                found = [features(s, vocabulary().hashes[x], told.sum(x)) for _, s, x, _ in read(batch)]
                 yield pa.RecordBatch.from_arrays([batch.column("bad"), pa.array([x.astype(np.int32).tobytes() for x in found], pa.binary())], names=["bad", "features"])
 
         # The sample's size is bounded: SAMPLE rows of each class.
@@ -250,11 +287,14 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, listed = sent.value
+        weight = lambda hashes: (weights[(hashes % np.uint64(FEATURES)).astype(np.int64)] * (hashes > 0)).sum(axis=1, dtype=np.float64)
+        words, told = Told(vocabulary(), weight), Told(vocabulary(), listed_units(listed))
         for batch in batches:
             out = np.ones(batch.num_rows)
-            for i, s, h, n in read(batch):
+            for i, s, numbers, n in read(batch):
                 if n:
-                    out[i] = 1 / (1 + np.exp(-np.clip(weights[features(s, h, hits_in(h, listed))].sum(dtype=np.float64) + bias, -50, 50)))
+                    log = words.sum(numbers) + weights[steps_of(s, told.sum(numbers))].sum(dtype=np.float64) + bias
+                    out[i] = 1 / (1 + np.exp(-np.clip(log, -50, 50)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out)], names=["row", "bad"])
 
     rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
