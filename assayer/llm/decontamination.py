@@ -9,6 +9,7 @@ within the radius is verified by the weighted Jaccard similarity of the shingles
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +33,16 @@ class Hashes:
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
 
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.lower().split()
-        known = self.known
-        for w in words:
-            if w not in known:
-                if len(known) >= MEMO:
-                    known.clear()
-                    return self(text) if len(words) < MEMO else np.array([self.of(x) for x in words], np.uint64)
-                known[w] = self.of(w)
-        found = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        return found[found > 0]
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.lower().split() for t in texts]
+        new: set[str] = set()
+        for words in split:
+            new.update(filterfalse(self.known.__contains__, words))
+        if len(self.known) + len(new) > MEMO:
+            self.known, new = {}, set().union(*split)
+        self.known.update((w, self.of(w)) for w in new)
+        found = [np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)) for words in split]
+        return [h[h > 0] for h in found]
 
     @staticmethod
     def of(word: str) -> int:
@@ -69,9 +69,8 @@ class Items:
     """A bounded part of the benchmark, ready to be searched for."""
 
     def __init__(self, rows: list[tuple[int, str]], radius: int) -> None:
-        hashed = Hashes()
-        found = [(i, hashed(t or "")) for i, t in rows]
-        found = [(i, h) for i, h in found if len(h)]
+        hashed = Hashes()([t or "" for _, t in rows])
+        found = [(i, h) for (i, _), h in zip(rows, hashed, strict=True) if len(h)]
         self.radius = radius
         self.ids = [i for i, _ in found]
         self.sizes = np.array([len(h) for _, h in found], np.int64)
@@ -84,7 +83,25 @@ class Items:
         for block in blocks(self.prints, radius):
             order = np.argsort(block, kind="stable")
             self.keys.append((block[order], order))
-        self.short = sorted({int(n) for n in self.sizes if n < SHINGLE})
+        self.lengths = sorted({min(int(n), SHINGLE) for n in self.sizes})
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[names >> np.uint64(42)] = True
+
+    def hits(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """For each text the places where a shingle of some item begins."""
+        h = np.concatenate(texts)
+        text = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+        found = []
+        for k in self.lengths:
+            own = rolling(h, k)
+            at = np.flatnonzero(self.seen[own >> np.uint64(42)])
+            at = at[text[at] == text[at + k - 1]]
+            near = np.minimum(np.searchsorted(self.names, own[at]), len(self.names) - 1)
+            found.append(at[self.names[near] == own[at]])
+        places = np.unique(np.concatenate(found))
+        starts = np.cumsum([0, *(len(x) for x in texts)])
+        cuts = np.searchsorted(places, starts)
+        return [places[a:b] - start for a, b, start in zip(cuts[:-1], cuts[1:], starts[:-1], strict=True)]
 
     def weight(self, shingles: np.ndarray) -> np.ndarray:
         """Weights; a shingle of no item weighs as one of a single item."""
@@ -93,49 +110,43 @@ class Items:
         at = np.minimum(np.searchsorted(self.names, shingles), len(self.names) - 1)
         return np.where(self.names[at] == shingles, self.weights[at], np.log1p(len(self.ids)))
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, distance) of all fingerprints within the radius."""
-        windows, items = [], []
-        for (keys, order), block in zip(self.keys, blocks(prints, self.radius), strict=True):
-            low, high = np.searchsorted(keys, block, "left"), np.searchsorted(keys, block, "right")
+    def near(self, prints: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, distance) of all windows and items of the same length within the radius."""
+        keys = []
+        for (sorted_keys, order), block in zip(self.keys, blocks(prints, self.radius), strict=True):
+            low, high = np.searchsorted(sorted_keys, block, "left"), np.searchsorted(sorted_keys, block, "right")
             counts = high - low
-            windows.append(np.repeat(np.arange(len(prints)), counts))
-            within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            items.append(order[np.repeat(low, counts) + within])
-        pairs = np.unique(np.stack([np.concatenate(windows), np.concatenate(items)], axis=1), axis=0)
-        distance = np.bitwise_count(prints[pairs[:, 0]] ^ self.prints[pairs[:, 1]])
+            window = np.repeat(np.arange(len(prints)), counts)
+            item = order[np.repeat(low, counts) + np.arange(len(window)) - np.repeat(np.cumsum(counts) - counts, counts)]
+            same = self.sizes[item] == sizes[window]
+            keys.append(window[same] * len(self.ids) + item[same])
+        keys = np.unique(np.concatenate(keys))
+        window, item = keys // len(self.ids), keys % len(self.ids)
+        distance = np.bitwise_count(prints[window] ^ self.prints[item])
         close = distance <= self.radius
-        return pairs[close, 0], pairs[close, 1], distance[close]
+        return window[close], item[close], distance[close]
 
-    def search(self, h: np.ndarray) -> list[dict]:
+    def search(self, h: np.ndarray, hits: np.ndarray) -> list[dict]:
         """The best window of each item that a text's words have in it."""
-        hits = []
-        for k in [*self.short, SHINGLE]:
-            found = rolling(h, k)
-            hits.append(np.flatnonzero(np.isin(found, self.names)) if len(found) else np.empty(0, np.int64))
-        hits = np.unique(np.concatenate(hits))
         best: dict[int, dict] = {}
         largest = int(self.sizes.max())
         # Places further apart than the longest item are looked at apart.
-        for part in np.split(hits, np.flatnonzero(np.diff(hits) > largest) + 1) if len(hits) else []:
+        for part in np.split(hits, np.flatnonzero(np.diff(hits) > largest) + 1):
             a, b = max(0, int(part[0]) - largest), min(len(h), int(part[-1]) + largest + SHINGLE)
             sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(h[a:b]), axis=0, dtype=np.int32)])
             touched = np.zeros(b - a + 1, np.int64)
             touched[part - a + 1] = 1
             touched = np.cumsum(touched)
-            for size in np.unique(self.sizes).tolist():
-                starts = np.arange(b - a - size + 1)
-                starts = starts[touched[starts + size] > touched[starts]]
-                if not len(starts):
-                    continue
-                window, item, distance = self.near(fingerprints(sums[starts + size] - sums[starts]))
-                for w, i, d in zip(window.tolist(), item.tolist(), distance.tolist(), strict=True):
-                    if self.sizes[i] != size:
-                        continue
-                    at = a + int(starts[w])
-                    alike = self.similarity(h[at : at + size], i)
+            for sizes in np.array_split(np.unique(self.sizes), max(1, (b - a) // 4096)):
+                starts = [np.arange(max(b - a - n + 1, 0)) for n in sizes.tolist()]
+                starts = [x[touched[x + n] > touched[x]] for x, n in zip(starts, sizes.tolist(), strict=True)]
+                size = np.repeat(sizes, [len(x) for x in starts])
+                start = np.concatenate(starts)
+                for w, i, d in zip(*(x.tolist() for x in self.near(fingerprints(sums[start + size] - sums[start]), size)), strict=True):
+                    at = a + int(start[w])
+                    alike = self.similarity(h[at : at + int(size[w])], i)
                     if alike >= SIMILARITY and (i not in best or alike > best[i]["similarity"]):
-                        best[i] = {"item_id": self.ids[i], "start": at, "n_words": size, "similarity": alike, "distance": d}
+                        best[i] = {"item_id": self.ids[i], "start": at, "n_words": int(size[w]), "similarity": alike, "distance": d}
         return [best[i] for i in sorted(best)]
 
     def similarity(self, words: np.ndarray, item: int) -> float:
@@ -169,8 +180,12 @@ def find(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
             part, hashed = Items([tuple(r) for r in rows], radius), worker_state("item_words", Hashes)
             for batch in batches:
                 out = batch.column("matches").to_pylist()
-                if part.ids:
-                    out = [old + part.search(hashed(t or "")) for old, t in zip(out, batch.column("text").to_pylist(), strict=True)]
+                texts = batch.column("text").to_pylist()
+                for at in range(0, len(texts) if part.ids else 0, 256):
+                    found = hashed([t or "" for t in texts[at : at + 256]])
+                    for i, (h, hits) in enumerate(zip(found, part.hits(found), strict=True)):
+                        if len(hits):
+                            out[at + i] = out[at + i] + part.search(h, hits)
                 yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(out, batch.schema.field("matches").type)], names=["row", "text", "matches"])
 
         found = found.mapInArrow(run, schema)

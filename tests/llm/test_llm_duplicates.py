@@ -148,6 +148,9 @@ def test_similarity_is_exact():
     own, other = (set(zip(*[w[i:] for i in range(5)], strict=False)) for w in (words, near))
     weight = collections.Counter()
     weight.update(own)
-    best = part.search(Hashes()(" ".join(["before"] * 30 + near + ["after"] * 30)))
+    texts = Hashes()(["", " ".join(["before"] * 30 + near + ["after"] * 30)])
+    none, hits = part.hits(texts)
+    best = part.search(texts[1], hits)
+    assert not len(none)
     one = np.log1p(2)
     assert len(best) == 1 and best[0]["similarity"] == pytest.approx(len(own & other) * one / (len(own | other) * one))
