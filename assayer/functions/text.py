@@ -271,13 +271,14 @@ def clean(text: Column, ops: Iterable[str]) -> Column:
     return text
 
 
-def clean_by(rows: DataFrame, text: str, ops: str, longest: int = 4) -> DataFrame:
-    """Apply each row's own ordered list of ops to a column, at most `longest` of them.
+def clean_by(rows: DataFrame, text: str, ops: str) -> DataFrame:
+    """Apply each row's own ordered list of ops to a column, however long the lists are.
 
-    Position by position, one expression picks the row's op; an unknown name or a longer
-    list is an error, never skipped. Each position is a step of its own, so what it reads is
-    computed once.
+    The longest list is looked up first. Position by position, one expression picks the row's op;
+    an unknown name is an error, never skipped. Each position is a step of its own, so what it reads
+    is computed once.
     """
+    longest = rows.agg(F.max(F.size(ops))).first()[0] or 0
     t = F.col(text)
     for i in range(longest):
         op = F.get(F.col(ops), F.lit(i))
@@ -285,10 +286,7 @@ def clean_by(rows: DataFrame, text: str, ops: str, longest: int = 4) -> DataFram
         for name, make in CLEANUP.items():
             step = step.when(op == name, make(F.when(op == name, t)))
         rows = rows.withColumn(text, step.otherwise(F.raise_error(F.concat(F.lit("no cleanup op "), op))))
-    return rows.withColumn(
-        text,
-        F.when(F.size(ops) <= longest, t).otherwise(F.raise_error(F.lit(f"more than {longest} cleanup ops"))),
-    )
+    return rows
 
 
 def join_appendices(texts: Column, before: str = "\n\n", between: str = "\n\n", after: str = "") -> Column:

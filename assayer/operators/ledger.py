@@ -143,7 +143,7 @@ def out_of_order(runs: DataFrame, items: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------- other execution
 
 
-def over_concurrency(runs: DataFrame, calls: DataFrame, width: int = 60_000_000) -> DataFrame:
+def over_concurrency(runs: DataFrame, calls: DataFrame, width: int = windows.SECOND) -> DataFrame:
     peaks = windows.peak(calls, "run", "started_us", "finished_us", width)
     over = peaks.join(runs.select("run", "concurrency"), "run").where("peak > concurrency")
     return finding(
@@ -236,10 +236,13 @@ def case_drift(calls: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def model_attestation(runs: DataFrame, calls: DataFrame) -> DataFrame:
-    """Each other model name an item's calls returned, and a missing name, once per item."""
+    """Each other model name an item's calls returned, and a missing name, once per item.
+
+    A call without a response (`has_response`) attests nothing and is no finding here.
+    """
     declared = F.col("declared_model")
     wrong = (
-        calls.join(runs.select("run", "declared_model"), "run")
+        calls.where("has_response").join(runs.select("run", "declared_model"), "run")
         .where(~F.col("returned_model").eqNullSafe(declared))
         .select(*ITEM, "returned_model", "declared_model")
         .distinct()
@@ -341,9 +344,14 @@ def tool_code(declared: DataFrame, recorded: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- tool rounds
 
 
-def round_mismatches(called: DataFrame, ran: DataFrame) -> DataFrame:
-    """Rounds whose tools aren't the calls the response before made: (item, round, id, name) each."""
+def round_mismatches(called: DataFrame, ran: DataFrame, answer_tool: str | Column | None = None) -> DataFrame:
+    """Rounds whose tools aren't the calls the response before made: (item, round, id, name) each.
+
+    Calls of the answer tool are the answer: they aren't run.
+    """
     keys = ["item", "round", "id", "name"]
+    if answer_tool is not None:
+        called = called.where(~F.col("name").eqNullSafe(F.lit(answer_tool) if isinstance(answer_tool, str) else answer_tool))
     c = called.select(*keys).distinct().withColumn("was_called", F.lit(1))
     r = ran.select(*keys).distinct().withColumn("was_run", F.lit(1))
     return (
@@ -357,26 +365,31 @@ def round_mismatches(called: DataFrame, ran: DataFrame) -> DataFrame:
     )
 
 
-def unanswered(pending: DataFrame, answer_tool: str, max_rounds: int) -> DataFrame:
-    """Tools an item's last response still calls; more rounds than allowed is an error."""
-    last = pending.groupBy("item").agg(F.max("round").alias("rounds"))
+def unanswered(turns: DataFrame, pending: DataFrame) -> DataFrame:
+    """Tools an item's last response still calls; more rounds than allowed is an error.
+
+    `turns` has each response of an item: item, round (from 0, the first one), answer_tool and
+    max_rounds of its skeleton; the last one counts, whether it calls tools or not. `pending` has
+    the tools a response calls: item, round, name. The answer tool's calls are the answer, not pending.
+    """
+    last = turns.groupBy("item", "answer_tool", "max_rounds").agg(F.max("round").alias("rounds"))
     names = (
         pending.join(last, "item")
-        .where((F.col("round") == F.col("rounds")) & (F.col("name") != answer_tool))
-        .groupBy("item", "rounds")
+        .where((F.col("round") == F.col("rounds")) & ~F.col("name").eqNullSafe(F.col("answer_tool")))
+        .groupBy("item", "rounds", "max_rounds")
         .agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("names"))
     )
     return union(
         finding(
             names,
             "tools.unanswered",
-            message("the last response still calls ", F.col("names"), " after ", F.col("rounds"), f" of {max_rounds} rounds"),
+            message("the last response still calls ", F.col("names"), " after ", F.col("rounds"), " of ", F.col("max_rounds"), " rounds"),
             F.col("item"),
         ),
         finding(
-            last.where(F.col("rounds") > max_rounds),
+            last.where(F.col("rounds") > F.col("max_rounds")),
             "tools.rounds",
-            f"more than {max_rounds} rounds",
+            message("more than ", F.col("max_rounds"), " rounds"),
             F.col("item"),
             level="error",
         ),
@@ -501,54 +514,41 @@ def call_times(calls: DataFrame, version: Column, readable: int) -> DataFrame:
 
 # --------------------------------------------------------------------------------- seals
 
-FLAT_LIMIT = 64 * 1024 * 1024
+SEAL_VERSION = "tree@1"
 
 
-def seals(rows: DataFrame, started: DataFrame, flat_limit: int = FLAT_LIMIT) -> DataFrame:
+def seals(rows: DataFrame, started: DataFrame) -> DataFrame:
     """The seal of every log from its canonical rows (log_id, canonical) and started row.
 
-    `flat@1` hashes a log's sorted rows as one document. That document is one value, so it is
-    only built for logs within `flat_limit` bytes, measured first. Any larger log gets
-    `tree@1`: row digests hashed by the first eight hex digits, those by the first four, and
-    those into the root. However many rows a log has, no node there joins more than 65,536
-    digests but the lowest, whose share is rows / 2^32. Equal rows are one leaf and a count.
+    There is one form, whatever a log's size: row digests are hashed by their first eight hex
+    digits, those by the first four, and those into the root. However many rows a log has, no
+    node joins more than 65,536 digests but the lowest, whose share is rows / 2^32. Equal rows
+    are one leaf and a count. Every level is dealt out by log and prefix, so a large log is
+    spread over tasks. The version is kept with the seal.
     """
-    sizes = rows.groupBy("log_id").agg(F.sum(F.octet_length("canonical") + 1).alias("bytes"))
-    sized = rows.join(sizes, "log_id")
-    flat = (
-        sized.where(F.col("bytes") <= flat_limit)
-        .groupBy("log_id")
-        .agg(F.array_join(F.sort_array(F.collect_list("canonical")), ",").alias("body"))
-        .select("log_id", F.lit("flat@1").alias("version"), "body")
-    )
 
     def level(nodes: DataFrame, digits: int) -> DataFrame:
-        prefix = F.substring("node", 1, digits).alias("prefix")
+        by = nodes.withColumn("prefix", F.substring("node", 1, digits)).repartition("log_id", "prefix")
         return (
-            nodes.groupBy("log_id", prefix)
+            by.groupBy("log_id", "prefix")
             .agg(F.sha2(F.array_join(F.sort_array(F.collect_list("node")), ","), 256).alias("hex"))
             .select("log_id", F.concat("prefix", F.lit(":"), "hex").alias("node"))
         )
 
     leaves = (
-        sized.where(F.col("bytes") > flat_limit)
-        .groupBy("log_id", F.sha2("canonical", 256).alias("leaf"))
+        rows.select("log_id", F.sha2("canonical", 256).alias("leaf"))
+        .repartition("log_id", "leaf")
+        .groupBy("log_id", "leaf")
         .agg(F.count("*").alias("n"))
         .select("log_id", F.concat("leaf", F.lit(":"), F.col("n").cast("string")).alias("node"))
     )
     roots = level(level(level(leaves, 8), 4), 0)
-    tree = roots.select(
-        "log_id",
-        F.lit("tree@1").alias("version"),
-        F.concat(F.lit('"'), F.regexp_extract("node", "([0-9a-f]{64})$", 1), F.lit('"')).alias("body"),
-    )
+    tree = roots.select("log_id", F.concat(F.lit('"'), F.regexp_extract("node", "([0-9a-f]{64})$", 1), F.lit('"')).alias("body"))
     document = F.concat(
         F.lit('{"items":['), F.coalesce("body", F.lit("")), F.lit('],"started":'), F.col("started"), F.lit("}")
     )
-    return started.join(flat.unionByName(tree), "log_id", "left").select(
-        "log_id",
-        F.coalesce("version", F.lit("flat@1")).alias("version"),
-        F.concat(F.lit("sha256:"), F.sha2(document, 256)).alias("seal"),
+    return started.join(tree, "log_id", "left").select(
+        "log_id", F.lit(SEAL_VERSION).alias("version"), F.concat(F.lit("sha256:"), F.sha2(document, 256)).alias("seal")
     )
 
 

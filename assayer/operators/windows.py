@@ -4,7 +4,8 @@ A window over one group runs in one task, and one run of a ledger may hold a thi
 rows. Each group is therefore cut into chunks along its order: the running value is taken
 within a chunk, the chunks' totals are accumulated over the chunks, and the two are put
 together. Chunks are a function of the row's own order key, so a recomputed partition
-always lands in the same one.
+always lands in the same one. Rows are dealt out by group and chunk before a window or an
+aggregate over both: without that, rows that a join has hashed by group would stay together.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def running(
 
     `chunk` must not decrease along `order`. A running value over no rows is null.
     """
-    part = rows.withColumn("_chunk", chunk)
+    part = rows.withColumn("_chunk", chunk).repartition(*keys, "_chunk")
     end = Window.currentRow if inclusive else -1
     inner = (
         Window.partitionBy(*keys, "_chunk")
@@ -85,12 +86,15 @@ def previous(
     )
 
 
-def peak(
-    spans: DataFrame, key: str, start: str, end: str, width: int = 60_000_000
-) -> DataFrame:
+# Spans of time, in the unit of the spans: chunks, and chunks' totals within one longer span.
+SECOND, CHUNKS_AT_ONCE = 1_000_000, 3600
+
+
+def peak(spans: DataFrame, key: str, start: str, end: str, width: int = SECOND) -> DataFrame:
     """How many spans overlap at most, per key; a span ending as another starts doesn't overlap it.
 
-    Starts and ends are counted along time within chunks of `width` and then over the chunks.
+    Starts and ends are counted along time within chunks of `width`, the chunks' totals within
+    every CHUNKS_AT_ONCE chunks, and theirs over the whole time.
     """
     steps = spans.select(
         key,
@@ -103,16 +107,14 @@ def peak(
     ).withColumn("chunk", F.floor(F.col("at") / width))
     inner = Window.partitionBy(key, "chunk").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
     chunks = (
-        steps.withColumn("level", F.sum("step").over(inner))
+        steps.repartition(key, "chunk")
+        .withColumn("level", F.sum("step").over(inner))
         .groupBy(key, "chunk")
         .agg(F.sum("step").alias("total"), F.max("level").alias("top"))
     )
-    outer = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        chunks.withColumn("base", F.coalesce(F.sum("total").over(outer), F.lit(0)))
-        .groupBy(key)
-        .agg(F.greatest(F.max(F.col("base") + F.col("top")), F.lit(0)).alias("peak"))
-    )
+    based = running(chunks, [key], F.floor(F.col("chunk") / CHUNKS_AT_ONCE), ["chunk"], {"base": ("sum", F.col("total"))})
+    top = F.coalesce("base", F.lit(0)) + F.col("top")
+    return based.groupBy(key).agg(F.greatest(F.max(top), F.lit(0)).alias("peak"))
 
 
 def longest_runs(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger, windows
 from ..operators.findings import summary, union
+from ..sources import store
 from .registry import query
 from .tables import Dialect, Given, register_view
 
@@ -127,7 +128,7 @@ F_SQL = {
 WITH {_KEYED}
 SELECT 'warning' AS level, 'run.incomplete' AS code, concat(CAST(count(*) AS STRING), ' items missing') AS message, {NO_SUBJECT}, CAST(p.run AS STRING) AS log_id
 FROM placed p JOIN d_run r ON r.run = p.run AND r.finished_us IS NOT NULL
-WHERE NOT EXISTS (SELECT 1 FROM d_call c WHERE c.run = p.run AND c.case_id = p.case_id AND c.replicate = p.replicate) GROUP BY p.run""",
+WHERE NOT EXISTS (SELECT 1 FROM d_made c WHERE c.run = p.run AND c.case_id = p.case_id AND c.replicate = p.replicate) GROUP BY p.run""",
     "order_violations": f"""
 WITH {_KEYED},
 seen AS (SELECT c.run, c.started_us, max(c.started_us) OVER (PARTITION BY c.run ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest
@@ -152,7 +153,7 @@ FROM d_call c JOIN d_pin p ON p.case_id = c.case_id WHERE vignette_hex IS DISTIN
     "model_attestation": f"""
 SELECT DISTINCT 'warning' AS level, 'attestation.model' AS code, CASE WHEN returned_model IS NULL THEN concat('engine returned no model name, declared ''', declared_model, '''')
   ELSE concat('engine returned model ''', returned_model, ''', declared ''', declared_model, '''') END AS message, {_item('c.')} AS subject, CAST(c.run AS STRING) AS log_id
-FROM d_call c JOIN d_run r ON r.run = c.run WHERE returned_model IS DISTINCT FROM declared_model""",
+FROM d_call c JOIN d_run r ON r.run = c.run WHERE has_response AND returned_model IS DISTINCT FROM declared_model""",
     "canary_phase": f"""
 WITH b AS (SELECT run, min(started_us) AS first, max(finished_us) AS last FROM d_call GROUP BY run),
 n AS (SELECT c.run, count(*) FILTER (phase = 'start' AND finished_us > first) AS early, count(*) FILTER (phase = 'end' AND started_us < last) AS late FROM d_canary c JOIN b ON b.run = c.run GROUP BY c.run)
@@ -169,7 +170,7 @@ def _runs(g: Given) -> DataFrame:
 
 
 FINDERS = {
-    "run_incomplete": lambda g: ledger.incomplete(g["d_run"], g["d_call"]),
+    "run_incomplete": lambda g: ledger.incomplete(g["d_run"], g["d_made"]),
     "order_violations": lambda g: ledger.out_of_order(g["d_run"], g["d_call"]),
     "concurrency_exceeded": lambda g: ledger.over_concurrency(g["d_run"], g["d_call"]),
     "retries_exceeded": lambda g: ledger.over_retries(g["d_run"], g["d_call"]),
@@ -214,9 +215,9 @@ def stray_items(g: Given) -> DataFrame:
     return ledger.strays(g["d_run"], g["d_call_raw"])
 
 
-@query("missing_items", f"WITH {_KEYED} SELECT p.run, p.case_id, p.replicate FROM placed p JOIN d_run r ON r.run = p.run AND r.finished_us IS NOT NULL ANTI JOIN d_call c ON c.run = p.run AND c.case_id = p.case_id AND c.replicate = p.replicate")
+@query("missing_items", f"WITH {_KEYED} SELECT p.run, p.case_id, p.replicate FROM placed p JOIN d_run r ON r.run = p.run AND r.finished_us IS NOT NULL ANTI JOIN d_made c ON c.run = p.run AND c.case_id = p.case_id AND c.replicate = p.replicate")
 def missing_items(g: Given) -> DataFrame:
-    return ledger.missing_items(g["d_run"], g["d_call"])
+    return ledger.missing_items(g["d_run"], g["d_made"])
 
 
 @query(
@@ -298,30 +299,35 @@ def code_mismatch(g: Given) -> DataFrame:
 
 
 _CALLED = "SELECT l_orderkey AS item, l_linenumber AS round, l_partkey AS id, l_returnflag AS name FROM lineitem"
-_RAN = "SELECT l_orderkey AS item, l_linenumber AS round, CASE WHEN l_partkey % 31 = 0 THEN l_partkey + 1 ELSE l_partkey END AS id, l_returnflag AS name FROM lineitem WHERE l_partkey % 29 <> 0"
+_RAN = "SELECT l_orderkey AS item, l_linenumber AS round, CASE WHEN l_partkey % 31 = 0 THEN l_partkey + 1 ELSE l_partkey END AS id, l_returnflag AS name FROM lineitem WHERE l_partkey % 29 <> 0 AND l_returnflag <> 'R'"
+# Every fourth item is answered after its last tools; skeletons allow 5 or 4 rounds and have an answer tool or none.
+_SKELETON = "CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE 'R' END AS answer_tool, 5 - l_orderkey % 2 AS max_rounds"
+_TURNS = f"""
+SELECT DISTINCT l_orderkey AS item, l_linenumber AS round, {_SKELETON} FROM lineitem
+UNION ALL SELECT l_orderkey, max(l_linenumber) + 1, {_SKELETON} FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY l_orderkey"""
 
 
 @query(
     "round_mismatch",
     f"""
-WITH c AS (SELECT DISTINCT * FROM ({_CALLED}) x), r AS (SELECT DISTINCT * FROM ({_RAN}) x)
+WITH c AS (SELECT DISTINCT * FROM ({_CALLED}) x WHERE name <> 'R'), r AS (SELECT DISTINCT * FROM ({_RAN}) x)
 SELECT coalesce(c.item, r.item) AS item, coalesce(c.round, r.round) AS round, count(*) FILTER (r.item IS NULL) AS not_run, count(*) FILTER (c.item IS NULL) AS not_called
 FROM c FULL JOIN r ON r.item = c.item AND r.round = c.round AND r.id = c.id AND r.name = c.name WHERE c.item IS NULL OR r.item IS NULL GROUP BY 1, 2""",
 )
 def round_mismatch(g: Given) -> DataFrame:
-    return ledger.round_mismatches(g.sql(_CALLED), g.sql(_RAN))
+    return ledger.round_mismatches(g.sql(_CALLED), g.sql(_RAN), "R")
 
 
 @query(
     "tools_unanswered",
     f"""
-WITH p AS ({_CALLED}), l AS (SELECT item, max(round) AS rounds FROM p GROUP BY item)
-SELECT 'warning' AS level, 'tools.unanswered' AS code, concat('the last response still calls ', string_agg(DISTINCT name, ', ' ORDER BY name), ' after ', CAST(rounds AS STRING), ' of 5 rounds') AS message, CAST(p.item AS STRING) AS subject, CAST(NULL AS STRING) AS log_id
-FROM p JOIN l ON l.item = p.item AND l.rounds = p.round WHERE name <> 'R' GROUP BY p.item, rounds
-UNION ALL SELECT 'error', 'tools.rounds', 'more than 5 rounds', CAST(item AS STRING), NULL FROM l WHERE rounds > 5""",
+WITH p AS ({_CALLED}), t AS ({_TURNS}), l AS (SELECT item, answer_tool, max_rounds, max(round) AS rounds FROM t GROUP BY item, answer_tool, max_rounds)
+SELECT 'warning' AS level, 'tools.unanswered' AS code, concat('the last response still calls ', string_agg(DISTINCT name, ', ' ORDER BY name), ' after ', CAST(rounds AS STRING), ' of ', CAST(max_rounds AS STRING), ' rounds') AS message, CAST(p.item AS STRING) AS subject, CAST(NULL AS STRING) AS log_id
+FROM p JOIN l ON l.item = p.item AND l.rounds = p.round WHERE name IS DISTINCT FROM answer_tool GROUP BY p.item, rounds, max_rounds
+UNION ALL SELECT 'error', 'tools.rounds', concat('more than ', CAST(max_rounds AS STRING), ' rounds'), CAST(item AS STRING), NULL FROM l WHERE rounds > max_rounds""",
 )
 def tools_unanswered(g: Given) -> DataFrame:
-    return ledger.unanswered(g.sql(_CALLED), "R", 5)
+    return ledger.unanswered(g.sql(_TURNS), g.sql(_CALLED))
 
 
 # -------------------------------------------------------------------------------- scores
@@ -410,28 +416,21 @@ def call_times(g: Given) -> DataFrame:
     return ledger.call_times(calls, F.col("v"), 1)
 
 
-# The bound is small here so that run 0, which has a third of all rows, takes the tree.
-SEAL_LIMIT = 256 * 1024
-
-_SEAL_SQL = f"""
-WITH z AS (SELECT log_id, sum(strlen(canonical) + 1) AS bytes FROM {{rows}} r GROUP BY log_id),
-flat AS (SELECT r.log_id, 'flat@1' AS version, string_agg(canonical, ',' ORDER BY canonical COLLATE "C") AS body FROM {{rows}} r JOIN z ON z.log_id = r.log_id WHERE bytes <= {SEAL_LIMIT} GROUP BY r.log_id),
-n0 AS (SELECT r.log_id, concat(sha256(canonical), ':', CAST(count(*) AS STRING)) AS node FROM {{rows}} r JOIN z ON z.log_id = r.log_id WHERE bytes > {SEAL_LIMIT} GROUP BY r.log_id, sha256(canonical)),
+_SEAL_SQL = """
+WITH n0 AS (SELECT log_id, concat(sha256(canonical), ':', CAST(count(*) AS STRING)) AS node FROM {rows} r GROUP BY log_id, sha256(canonical)),
 n1 AS (SELECT log_id, concat(left(node, 8), ':', sha256(string_agg(node, ',' ORDER BY node))) AS node FROM n0 GROUP BY log_id, left(node, 8)),
 n2 AS (SELECT log_id, concat(left(node, 4), ':', sha256(string_agg(node, ',' ORDER BY node))) AS node FROM n1 GROUP BY log_id, left(node, 4)),
-tree AS (SELECT log_id, 'tree@1' AS version, concat('"', sha256(string_agg(node, ',' ORDER BY node)), '"') AS body FROM n2 GROUP BY log_id),
-b AS (SELECT * FROM flat UNION ALL SELECT * FROM tree)
-SELECT s.log_id, version, concat('sha256:', sha256(concat('{{{{"items":[', body, '],"started":', started, '}}}}'))) AS seal FROM d_started s JOIN b ON b.log_id = s.log_id"""
-_SEAL_SQL = _SEAL_SQL.replace(' COLLATE "C"', "")
+b AS (SELECT log_id, concat('"', sha256(string_agg(node, ',' ORDER BY node)), '"') AS body FROM n2 GROUP BY log_id)
+SELECT s.log_id, 'tree@1' AS version, concat('sha256:', sha256(concat('{"items":[', coalesce(body, ''), '],"started":', started, '}'))) AS seal FROM d_started s LEFT JOIN b ON b.log_id = s.log_id"""
 
 
 def _seal_sql(rows: str) -> str:
-    return _SEAL_SQL.replace("{rows}", rows).replace("{{", "{").replace("}}", "}")
+    return _SEAL_SQL.replace("{rows}", rows)
 
 
 @query("run_seal", _seal_sql("d_row"))
 def run_seal(g: Given) -> DataFrame:
-    return ledger.seals(g["d_row"], g["d_started"], SEAL_LIMIT)
+    return ledger.seals(g["d_row"], g["d_started"])
 
 
 @query(
@@ -443,12 +442,12 @@ FROM d_call WHERE event_id % 640 = 9""",
 def seal_mismatch(g: Given) -> DataFrame:
     """Some rows change after the logs were sealed; those logs no longer match their seals."""
     rows = g["d_row"]
-    finished = ledger.seals(rows, g["d_started"], SEAL_LIMIT).select("log_id", "seal")
+    finished = ledger.seals(rows, g["d_started"]).select("log_id", "seal")
     changed = rows.withColumn(
         "canonical",
         F.when(F.col("event_id") % 640 == 9, F.replace("canonical", F.lit('"v":1'), F.lit('"v": 1'))).otherwise(F.col("canonical")),
     )
-    return ledger.seal_mismatches(finished, ledger.seals(changed, g["d_started"], SEAL_LIMIT))
+    return ledger.seal_mismatches(finished, ledger.seals(changed, g["d_started"]))
 
 
 @query(
@@ -459,12 +458,7 @@ SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY part, line) - 1 A
 )
 def run_log(g: Given) -> DataFrame:
     """Logs read back: the started row first, then the item rows in canonical order."""
-    rows = g["d_started"].select("log_id", F.concat(F.lit("0"), F.lit("started "), "started").alias("line")).unionByName(
-        g["d_row"].select("log_id", F.concat(F.lit("1"), "canonical").alias("line"))
-    )
-    # The first 31 characters of a row end with its case, so chunks stay small as a run grows.
-    placed = windows.numbered(rows, ["log_id"], F.substring("line", 1, 31), ["line"], "position")
-    return placed.select("log_id", "position", F.substr("line", F.lit(2)).alias("line"))
+    return store.read_log(g["d_started"].select("log_id", "started"), g["d_row"].select("log_id", "canonical"))
 
 
 # ------------------------------------------------------------------------------ whitespace

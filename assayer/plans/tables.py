@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import prepare, spread
+from ..session import dealt, prepare
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -37,7 +37,8 @@ def _call(d: Dialect) -> str:
 SELECT event_id, run, case_id, replicate, started_us,
   started_us + CAST(floor(value * 100) AS BIGINT) * 600000 AS finished_us,
   1 + event_id % 3 AS attempts,
-  CASE WHEN event_id % 77 = 0 THEN NULL WHEN event_id % 50 = 0 THEN 'other'
+  event_id % 59 <> 7 AS has_response,
+  CASE WHEN event_id % 77 = 0 OR event_id % 59 = 7 THEN NULL WHEN event_id % 50 = 0 THEN 'other'
        ELSE concat('model-', CAST(run AS STRING)) END AS returned_model,
   CASE WHEN event_id % 31 = 0 THEN NULL ELSE {d.sha('event_type')} END AS token_hex,
   {d.sha("concat('vignette-', CAST(case_id AS STRING), CASE WHEN event_id % 41 = 0 THEN '!' ELSE '' END)")} AS vignette_hex
@@ -48,11 +49,16 @@ FROM (
     {d.us('ts')} + CASE WHEN event_id % 23 = 0 THEN 3600000000 ELSE 0 END AS started_us
   FROM (
     SELECT *, {d.div('block', 3)} * 2 + block % 3 - 1 AS idx
-    FROM (SELECT *, {d.div('event_id', 8)} AS block FROM events WHERE event_id % 17 <> 5) b
+    FROM (SELECT *, {d.div('event_id', 8)} AS block FROM events) b
   ) i
 ) c"""
 
 
+# Calls of which some were lost, for the checks that look for missing items.
+def _made(d: Dialect) -> str:
+    return "SELECT * FROM d_call WHERE event_id % 17 <> 5"
+
+
 def _run(d: Dialect) -> str:
     return """
 SELECT run, concat('model-', CAST(run AS STRING)) AS declared_model, 2 AS concurrency, 1 AS retries,
@@ -182,6 +188,7 @@ FROM conversations c JOIN (SELECT conv_id, max(turn) AS last_turn FROM conversat
 
 VIEWS = {
     "d_call": _call,
+    "d_made": _made,
     "d_run": _run,
     "d_answer": _answer,
     "d_target": _target,
@@ -225,8 +232,8 @@ class Given:
         return self._frames[name]
 
     def spread(self, name: str) -> DataFrame:
-        """A table for work that is heavy per row: dealt out to every core where it is small."""
-        return spread(self[name])
+        """A table for work that is heavy per row, dealt out if the session says so."""
+        return dealt(self[name])
 
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over the tables and views it names."""

@@ -13,8 +13,9 @@ SEMANTICS = {
 }
 
 
-# Spark's default size of a scan's splits.
-SPLIT_BYTES = 128 * 1024 * 1024
+# Into how many partitions heavy inputs are dealt; unset, they stay as they are read. Set it where the
+# input files have fewer row groups than there are cores.
+DEAL = "assayer.input.partitions"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -35,6 +36,7 @@ def local(cores: str = "8", **conf: str) -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
+        .config(DEAL, cores)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config(
             "spark.sql.streaming.stateStore.providerClass",
@@ -48,17 +50,10 @@ def local(cores: str = "8", **conf: str) -> SparkSession:
     return spark
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """Give every core a share of a small input before work that is heavy per row.
-
-    A file of one row group is read by one task, however many cores there are. Where the
-    optimizer's size estimate is below what the cores would read one split each of, the rows
-    are dealt out; anything larger has splits enough and is left as it is, without a shuffle.
-    """
-    spark = frame.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return frame.repartition(cores) if size < cores * SPLIT_BYTES else frame
+def dealt(frame: DataFrame) -> DataFrame:
+    """The rows dealt out to as many partitions as the session asks for; as they are if it doesn't."""
+    partitions = frame.sparkSession.conf.get(DEAL, None)
+    return frame if partitions is None else frame.repartition(int(partitions))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

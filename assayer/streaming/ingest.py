@@ -10,13 +10,12 @@ from ..sources.store import stored
 
 
 def append_once(
-    rows: DataFrame, path: str, checkpoint: str, keys: list[str], at: str = "at", delay: str = "1 hour", partition_by: str = "run"
+    rows: DataFrame, path: str, checkpoint: str, keys: list[str], partition_by: str = "run"
 ) -> StreamingQuery:
-    """Append a stream of rows, each key once.
+    """Append a stream of rows, each key once, however late a row is.
 
-    Repeats within the watermark are dropped from state; against what an earlier run of the
-    stream has written, a batch is compared by key before it is appended, so a replayed batch or
-    a rerun adds nothing. Only the partitions a batch touches are read for that.
+    No watermark stands before the ledger, so no row is lost. A batch's repeats are dropped, and by key
+    what the ledger has already, so a replayed batch or a rerun adds nothing.
     """
 
     def write(batch: DataFrame, _: int) -> None:
@@ -27,9 +26,7 @@ def append_once(
         new.write.mode("append").partitionBy(partition_by).parquet(path)
 
     return (
-        rows.withWatermark(at, delay)
-        .dropDuplicatesWithinWatermark(keys)
-        .writeStream.foreachBatch(write)
+        rows.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,22 +110,112 @@ def test_longest_blank_stretch(spark):
 # --------------------------------------------------------------------------------- seals
 
 
-def seal(spark, rows, limit=1 << 20):
+def seal(spark, rows):
     df = spark.createDataFrame([(1, r) for r in rows], "log_id int, canonical string")
     started = spark.createDataFrame([(1, '{"s":1}')], "log_id int, started string")
-    return ledger.seals(df.repartition(3), started, limit).first()
+    return ledger.seals(df.repartition(3), started).first()
 
 
-def test_seals_hash_the_sorted_rows(spark):
-    rows = [json.dumps({"n": n, "t": "å" if n % 2 else "z"}, ensure_ascii=False) for n in range(40)]
-    document = '{"items":[' + ",".join(sorted(rows, key=str.encode)) + '],"started":{"s":1}}'
+def tree(rows):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    nodes = sorted(f"{sha(r)}:{rows.count(r)}" for r in set(rows))
+    for digits in (8, 4, 0):
+        prefixes = sorted({n[:digits] for n in nodes})
+        nodes = sorted(p + ":" + sha(",".join(n for n in nodes if n[:digits] == p)) for p in prefixes)
+    return nodes[0][1:]
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 400])
+def test_seals_of_every_size_are_trees(spark, n):
+    rows = [json.dumps({"n": i % 300, "t": "å" if i % 2 else "z"}, ensure_ascii=False) for i in range(n)]
+    body = f'"{tree(rows)}"' if rows else ""
+    document = '{"items":[' + body + '],"started":{"s":1}}'
     found = seal(spark, rows)
-    assert (found.version, found.seal) == ("flat@1", "sha256:" + hashlib.sha256(document.encode()).hexdigest())
-    tree = seal(spark, rows, limit=10)
-    assert tree.version == "tree@1"
-    assert seal(spark, list(reversed(rows)), limit=10).seal == tree.seal
-    assert seal(spark, [*rows, rows[0]], limit=10).seal != tree.seal
-    assert seal(spark, [*rows[1:], rows[0] + " "], limit=10).seal != tree.seal
+    assert (found.version, found.seal) == ("tree@1", "sha256:" + hashlib.sha256(document.encode()).hexdigest())
+    if rows:
+        assert seal(spark, list(reversed(rows))).seal == found.seal
+        assert seal(spark, [*rows, rows[0]]).seal != found.seal
+        assert seal(spark, [*rows[1:], rows[0] + " "]).seal != found.seal
+
+
+# ---------------------------------------------------------------------- plans of hot runs
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_run_is_spread_over_tasks(spark):
+    """With no table broadcast, every window over a run's chunks has rows dealt out by run and chunk."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run = run_of(spark, "shuffled@1", 3, cases=9)
+        calls = calls_of(spark, *[(i, i + 3) for i in range(2)])
+        for frame, key in (
+            (ledger.out_of_order(run, calls), r"hashpartitioning\(run#\d+, _chunk#\d+"),
+            (ledger.schedule(run), r"hashpartitioning\(run#\d+, _chunk#\d+"),
+            (ledger.over_concurrency(run, calls), r"hashpartitioning\(run#\d+, chunk#\d+"),
+        ):
+            assert re.search(key, plan_of(frame)), plan_of(frame)
+        rows = spark.createDataFrame([(1, "a"), (1, "b")], "log_id int, canonical string")
+        started = spark.createDataFrame([(1, "{}")], "log_id int, started string")
+        assert len(re.findall(r"hashpartitioning\(log_id#\d+, (?:prefix|leaf)#\d+", plan_of(ledger.seals(rows, started)))) == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_logs_read_back_in_order(spark, partitions):
+    from assayer.sources import store
+
+    items = [(k, f"row {i:03d}") for k in "ab" for i in range(50 if k == "a" else 3)] * 2
+    found = store.read_log(
+        spark.createDataFrame([("a", "A"), ("b", "B")], "log_id string, started string"),
+        spark.createDataFrame(items, "log_id string, canonical string").repartition(5),
+    ).orderBy("log_id", "position").collect()
+    for log in "ab":
+        lines = [r.line for r in found if r.log_id == log]
+        assert lines == [f"started {log.upper()}", *sorted(t for k, t in items if k == log)]
+        assert [r.position for r in found if r.log_id == log] == list(range(len(lines)))
+
+
+# ------------------------------------------------------------------------- rounds, models
+
+
+def test_last_turns_decide_what_is_unanswered(spark):
+    turns = spark.createDataFrame(
+        [("answered", 0, "done", 2), ("answered", 1, "done", 2), ("open", 0, "done", 2), ("open", 1, "done", 2), ("long", 3, None, 2)],
+        "item string, round int, answer_tool string, max_rounds int",
+    )
+    pending = spark.createDataFrame(
+        [("answered", 0, "look"), ("open", 1, "look"), ("open", 1, "ask"), ("open", 1, "done"), ("long", 3, "done")],
+        "item string, round int, name string",
+    )
+    found = sorted((r.subject, r.code, r.message) for r in ledger.unanswered(turns, pending).collect())
+    assert found == [
+        ("long", "tools.rounds", "more than 2 rounds"),
+        ("long", "tools.unanswered", "the last response still calls done after 3 of 2 rounds"),
+        ("open", "tools.unanswered", "the last response still calls ask, look after 1 of 2 rounds"),
+    ]
+
+
+def test_the_answer_is_not_a_tool_to_run(spark):
+    called = spark.createDataFrame([("x", 0, "1", "look"), ("x", 0, "2", "done"), ("y", 0, "3", "look")], "item string, round int, id string, name string")
+    ran = called.where("id = '1'")
+    found = ledger.round_mismatches(called, ran, "done").collect()
+    assert [(r.item, r.not_run, r.not_called) for r in found] == [("y", 1, 0)]
+
+
+def test_failed_calls_attest_no_model(spark):
+    runs = spark.createDataFrame([(1, "m")], "run int, declared_model string")
+    calls = spark.createDataFrame(
+        [(1, 0, 0, "m", True), (1, 0, 1, None, False), (1, 0, 2, None, True), (1, 0, 3, "n", True)],
+        "run int, case_id bigint, replicate bigint, returned_model string, has_response boolean",
+    )
+    assert sorted(messages(ledger.model_attestation(runs, calls))) == [
+        ("attestation.model", "engine returned model 'n', declared 'm'"),
+        ("attestation.model", "engine returned no model name, declared 'm'"),
+    ]
 
 
 # --------------------------------------------------------------------------------- graph

@@ -111,11 +111,16 @@ def test_rows_land_once(spark, tmp_path):
     assert step("cp") == [(1, 1), (1, 2), (2, 1)]
     # A rerun from nothing finds every key written.
     assert step("other") == [(1, 1), (1, 2), (2, 1)]
+    # However far behind the newest row, a new key lands.
+    batch((3, 1, "2024-01-02 00:00:00", "started"))
+    step("cp")
+    batch((3, 2, "2023-06-01 00:00:00", "started"))
+    assert step("cp") == [(1, 1), (1, 2), (2, 1), (3, 1), (3, 2)]
 
     progress = ingest.progress(spark.readStream.schema(schema).parquet(source))
     query = progress.writeStream.format("memory").queryName("progress").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert sorted(tuple(r) for r in spark.table("progress").collect()) == [(1, 3, 1, 0), (2, 0, 1, 0)]
+    assert sorted(tuple(r) for r in spark.table("progress").collect()) == [(1, 3, 1, 0), (2, 0, 1, 0), (3, 2, 0, 0)]
 
 
 # ------------------------------------------------------------------------ sources, stores
