@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import filterfalse, islice
+from itertools import islice, repeat
 from operator import eq
 
 import numpy as np
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, kept, worker_state
+from .common import BASE, documents, hashes, kept, mix, worker_state
 
 # Labelled rows from which the list of toxic words is taken, and the list's longest length.
 LABELLED, LISTED = 100_000, 5_000
@@ -43,9 +43,20 @@ LEAST, TOLD = 8, 2.5
 MEMO = 800_000
 
 
-def units(word: str) -> list[str]:
-    """A word and its beginnings, each with a mark of its kind."""
-    return [f"w{word}", *(f"{n}{word[:n]}" for n in BEGINNINGS if len(word) > n)]
+def units(words: list[str]) -> np.ndarray:
+    """A row per word: hashes of the word and of its beginnings, 0 where it has none; punctuation around it doesn't count."""
+    bare = [w.strip(EDGES) for w in words]
+    sizes = np.fromiter(map(len, bare), np.int64, len(bare))
+    out = np.zeros((len(bare), 1 + len(BEGINNINGS)), np.uint64)
+    out[:, 0] = np.where(sizes > 0, hashes([b.encode("utf-8", "replace") for b in bare]) | np.uint64(1), np.uint64(0))
+    longest = max(BEGINNINGS)
+    heads = np.array([b[:longest] for b in bare], f"U{longest}").view(np.uint32).reshape(-1, longest).astype(np.uint64)
+    for column, n in enumerate(BEGINNINGS, start=1):
+        sums = np.full(len(bare), n, np.uint64)
+        for j in range(n):
+            sums = sums * np.uint64(BASE) + heads[:, j]
+        out[:, column] = np.where(sizes > n, mix(sums) | np.uint64(1), np.uint64(0))
+    return out
 
 
 class Vocabulary:
@@ -56,23 +67,19 @@ class Vocabulary:
         self.hashes = np.zeros((0, 1 + len(BEGINNINGS)), np.uint64)
         self.generation = 0
 
-    def learn(self, texts: list[set[str]]) -> None:
-        new: set[str] = set()
-        for found in texts:
-            new.update(filterfalse(self.known.__contains__, found))
+    def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of each text's words, which are learned if they are new."""
+        found = [np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words)) for words in texts]
+        new = dict.fromkeys(words[i] for words, x in zip(texts, found, strict=True) for i in np.flatnonzero(x < 0).tolist())
+        if not new:
+            return found
         if len(self.known) + len(new) > MEMO:
-            self.known, self.hashes, new = {}, self.hashes[:0], set().union(*texts)
+            self.known, self.hashes = {}, self.hashes[:0]
             self.generation += 1
-        if not new:
-            return
-        rows = np.zeros((len(new), 1 + len(BEGINNINGS)), np.uint64)
-        for i, w in enumerate(new):
-            bare = w.strip(EDGES)
-            if bare:
-                own = units(bare)
-                rows[i, : len(own)] = [xxhash.xxh3_64_intdigest(x) | 1 for x in own]
+            new = dict.fromkeys(w for words in texts for w in words)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.hashes = np.concatenate([self.hashes, rows])
+        self.hashes = np.concatenate([self.hashes, units(list(new))])
+        return [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) if (x < 0).any() or len(new) == len(self.known) else x for words, x in zip(texts, found, strict=True)]
 
 
 class Told:
@@ -112,11 +119,9 @@ def read(batch: pa.RecordBatch) -> Iterator[tuple[int, list[float], np.ndarray,
     for at in range(0, len(texts), 256):
         part = [x or "" for x in texts[at : at + 256]]
         split = [x.lower().split() for x in part]
-        distinct = [set(x) for x in split]
-        book.learn(distinct)
-        for i, (text, words, found) in enumerate(zip(part, split, distinct, strict=True)):
-            numbers = np.fromiter(map(book.known.__getitem__, found), np.int64, len(found))
-            yield at + i, shares(text, words, len(found)), numbers, len(words)
+        distinct = [list(set(x)) for x in split]
+        for i, (text, words, numbers) in enumerate(zip(part, split, book.numbers(distinct), strict=True)):
+            yield at + i, shares(text, words, len(numbers)), numbers, len(words)
 
 
 def listed_units(listed: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
@@ -205,9 +210,9 @@ def steps_of(found: list[float], hits: float) -> np.ndarray:
     return (np.array(own, np.uint64) % np.uint64(FEATURES)).astype(np.int64)
 
 
-def features(found: list[float], hashes: np.ndarray, hits: float) -> np.ndarray:
+def features(found: list[float], own: np.ndarray, hits: float) -> np.ndarray:
     """Places of all of a text's hashed features, a unit once for each distinct word that has it."""
-    return np.concatenate([(hashes[hashes > 0] % np.uint64(FEATURES)).astype(np.int64), steps_of(found, hits)])
+    return np.concatenate([(own[own > 0] % np.uint64(FEATURES)).astype(np.int64), steps_of(found, hits)])
 
 
 @cache
