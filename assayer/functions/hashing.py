@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import jsontext
+
 DIGEST = r"^sha256:[0-9a-f]{64}$"
 
 
@@ -43,4 +45,4 @@ def canonical(fields: dict[str, Column], defaults: dict[str, object] | None = No
         if defaults and name in defaults:
             value = F.when(value != F.lit(defaults[name]), value)
         columns.append(value.alias(name))
-    return F.to_json(F.struct(*columns))
+    return jsontext.lowered(F.to_json(F.struct(*columns)))

@@ -44,6 +44,21 @@ def indented(values: pd.Series) -> pd.Series:
     )
 
 
+# Control characters whose escapes have a letter, which Spark writes in capitals.
+_LETTERED = ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F")
+
+
+def lowered(json_text: Column) -> Column:
+    """JSON as Spark writes it with its control characters' escapes in lower case, as other writers have them.
+
+    An escape begins at a backslash that isn't itself escaped.
+    """
+    found = json_text
+    for digits in _LETTERED:
+        found = F.regexp_replace(found, rf"(?<!\\)((?:\\\\)*)\\u00{digits}", rf"$1\\u00{digits.lower()}")
+    return F.when(json_text.contains("\\u00"), found).otherwise(json_text)
+
+
 def quoted(text: Column) -> Column:
     """A string as a JSON string."""
-    return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.struct(text.alias("s"))), r'(?s)^\{"s":(.*)\}$', 1))
+    return F.when(text.isNotNull(), F.regexp_extract(lowered(F.to_json(F.struct(text.alias("s")))), r'(?s)^\{"s":(.*)\}$', 1))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ENGINE_VERSION
-from ..functions import aggregates, jsontext, patterns, selectors, text
+from ..functions import aggregates, jsontext, patterns, responses, selectors, text
+
 
 def scored(value: Column | None, answer: Column | None = None, reason: str | Column | None = None) -> Column:
     """A view's score, what in the answer it rests on, and why it is what it is."""
@@ -229,38 +230,43 @@ def output_texts(answer: Column, view: View, has_answer: Column) -> Column:
     return F.when(has_answer, texts)
 
 
-def score_views(
-    pairs: DataFrame, views: list[View], answer: str, expectation: str, params: Mapping[str, str] | None = None
-) -> DataFrame:
-    """Every view of every (answer, expectation) row, one output row per view.
+def _targets(views: list[View]) -> dict[str, str]:
+    """A column for each distinct expectation selector; views often share what they select."""
+    return {s: f"_target{i}" for i, s in enumerate(dict.fromkeys(v.expectation for v in views))}
+
+
+def decoded_expectations(expectations: DataFrame, views: list[View], expectation: str) -> DataFrame:
+    """Expectations with what each view looks for, decoded and compiled once, in place of the document."""
+    frame = expectations.withColumns({f"{name}p": selectors.select(F.col(expectation), s) for s, name in _targets(views).items()})
+    for name in _targets(views).values():
+        frame = decode_targets(frame, f"{name}p", name).drop(f"{name}p")
+    return frame.drop(expectation)
 
-    The views of a row are scored in one pass over it and exploded at the end, so the
-    answers are read once and nothing is shuffled. Both columns are VARIANT; a null answer
-    is a run without one. Scorer params are overlaid by the view's.
+
+def score_decoded(pairs: DataFrame, views: list[View], answer: str, params: Mapping[str, str] | None = None) -> DataFrame:
+    """Every view of every row of answers (VARIANT) with decoded expectations, one output row per view.
+
+    The views of a row are scored in one pass over it and exploded at the end, so the answers
+    are read once and nothing is shuffled. A null answer is a run without one; a row whose
+    expectation is missing has no target. Scorer params are overlaid by the view's.
     """
-    keys = [c for c in pairs.columns if c not in (answer, expectation)]
-    # Views often share what they select; each selection is made once.
-    targets = {s: f"_target{i}" for i, s in enumerate(dict.fromkeys(v.expectation for v in views))}
+    targets = _targets(views)
+    keys = [c for c in pairs.columns if c != answer and c not in targets.values()]
     outputs = {k: f"_texts{i}" for i, k in enumerate(dict.fromkeys((v.output, v.split) for v in views))}
-    frame = pairs.withColumns(
-        {f"{name}p": selectors.select(F.col(expectation), s) for s, name in targets.items()}
-    )
-    for name in targets.values():
-        frame = decode_targets(frame, f"{name}p", name)
     has_answer = F.col(answer).isNotNull()
-    frame = frame.withColumns(
+    frame = pairs.withColumns(
         {name: output_texts(F.col(answer), View("", output=o, split=s), has_answer) for (o, s), name in outputs.items()}
     )
     rows = []
     for i, view in enumerate(views):
         merged = {**(params or {}), **view.params}
+        target = F.col(targets[view.expectation])
+        scores = score(view.metric, F.col(outputs[view.output, view.split]), target)
         rows.append(
             F.struct(
                 F.lit(i).alias("view"),
                 F.lit(view.metric).alias("metric"),
-                score(
-                    view.metric, F.col(outputs[view.output, view.split]), F.col(targets[view.expectation])
-                ).alias("scored"),
+                F.when(target.isNull(), scored(None, reason="no target")).otherwise(scores).alias("scored"),
                 F.to_json(F.create_map(*[F.lit(x) for kv in sorted(merged.items()) for x in kv])).alias("params")
                 if merged
                 else F.lit("{}").alias("params"),
@@ -271,6 +277,42 @@ def score_views(
     )
 
 
+def score_views(
+    pairs: DataFrame, views: list[View], answer: str, expectation: str, params: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Every view of every (answer, expectation) row, both VARIANT, one output row per view.
+
+    Where expectations are a table of their own, decode them before they are joined.
+    """
+    return score_decoded(decoded_expectations(pairs, views, expectation), views, answer, params)
+
+
+def score_runs(
+    items: DataFrame, expectations: DataFrame, views: list[View], params: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Score items of runs from their responses: answer by contract, expectation by case, every view, versions.
+
+    `items`: run, case_id, replicate, response (JSON text, null if the call failed), contract,
+    answer_tool; `expectations`: case_id, expectation (JSON text), one per case. Patterns are
+    compiled on the expectations, before they meet the answers. An item without an expectation
+    is unscored, for the reason that there is no target.
+    """
+    read = responses.answer(F.try_parse_json("response"), F.col("contract"), F.col("answer_tool"))
+    answers = items.select("run", "case_id", "replicate", read.alias("_answer"))
+    expected = expectations.select("case_id", F.try_parse_json("expectation").alias("_expectation"))
+    pairs = answers.join(decoded_expectations(expected, views, "_expectation"), "case_id", "left")
+    return stamped(score_decoded(pairs, views, "_answer", params))
+
+
+def summarise_runs(scores: DataFrame, runs: DataFrame, views: list[View], digits: int | None = None) -> DataFrame:
+    """Summaries by run and view over the grid of both: a run without scores has a row for each view too."""
+    named = F.array(*[F.struct(F.lit(i).alias("view"), F.lit(v.metric).alias("metric")) for i, v in enumerate(views)])
+    grid = runs.select("run", F.inline(named))
+    counted = summarise(scores, ["run", "view"], digits=digits)
+    empty = {c: F.coalesce(F.col(c), F.lit(0).cast(t)) for c, t in counted.dtypes if c not in ("run", "view")}
+    return grid.join(counted, ["run", "view"], "left").withColumns(empty)
+
+
 def unknown_metrics(views: DataFrame, metric: str = "metric") -> DataFrame:
     """Views naming a metric no function is registered for."""
     return views.where(~F.col(metric).isin(*METRICS))

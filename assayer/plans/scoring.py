@@ -9,7 +9,7 @@ from .. import ENGINE_VERSION
 from ..functions import patterns, selectors, text
 from ..operators import scoring
 from .registry import query
-from .tables import PATTERNS, Given, register_view
+from .tables import PATTERNS, Dialect, Given, register_view
 
 # ---------------------------------------------------------------- oracle building blocks
 
@@ -489,3 +489,68 @@ def poolable_groups(g: Given) -> DataFrame:
 
 
 assert list(PATTERNS) == [0, 1, 2, 3, 4]
+
+
+# ------------------------------------------------------------------------- runs to scores
+
+
+def _response(d: Dialect) -> str:
+    """What the calls answered: two lines, or nothing where the call failed."""
+    return """
+SELECT c.run, c.case_id, c.replicate, e.event_type AS line1,
+  CASE c.event_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'signup' END AS line2, 'text' AS contract,
+  CAST(NULL AS STRING) AS answer_tool,
+  CASE WHEN c.has_response THEN concat('{"choices":[{"message":{"content":"', e.event_type, chr(92), 'n',
+    CASE c.event_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'signup' END, '"}}]}') END AS response
+FROM d_call c JOIN events e ON e.event_id = c.event_id WHERE c.run % 6 <> 5"""
+
+
+def _run_expectation(d: Dialect) -> str:
+    return """
+SELECT DISTINCT case_id, CASE case_id % 4 WHEN 0 THEN '"click"' WHEN 1 THEN '"view | signup"' WHEN 2 THEN 'false' ELSE '{"pattern":"purchase"}' END AS expectation
+FROM d_call WHERE case_id % 7 <> 3"""
+
+
+register_view("d_response", _response)
+register_view("d_run_expectation", _run_expectation)
+
+RUN_VIEWS = [scoring.View("reciprocal_rank", "$", "$", "lines@1"), scoring.View("mentions", "$", "$", "lines@1")]
+
+
+def _hits(line: str) -> str:
+    return f"CASE r.case_id % 4 WHEN 0 THEN {line} = 'click' WHEN 1 THEN {line} IN ('view', 'signup') WHEN 3 THEN {line} = 'purchase' ELSE FALSE END"
+
+
+_RUN_SCORES = f"""
+SELECT run, case_id, replicate, 0 AS view, 'reciprocal_rank' AS metric,
+  CAST(CASE WHEN expectation IS NULL OR expectation = 'false' THEN NULL WHEN NOT has THEN 0.0 WHEN h1 THEN 1.0 WHEN h2 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS value,
+  CASE WHEN expectation IS NULL OR NOT has THEN NULL WHEN h1 THEN concat('1. ', line1) WHEN h2 THEN concat('2. ', line2) END AS answer,
+  CASE WHEN expectation IS NULL THEN 'no target' WHEN expectation = 'false' THEN 'nothing is expected to be found' WHEN NOT has THEN 'no answer' WHEN NOT h1 AND NOT h2 THEN 'not listed' END AS reason
+FROM (SELECT r.*, e.expectation, r.response IS NOT NULL AS has, {_hits('r.line1')} AS h1, {_hits('r.line2')} AS h2 FROM d_response r LEFT JOIN d_run_expectation e ON e.case_id = r.case_id) i
+UNION ALL SELECT run, case_id, replicate, 1, 'mentions',
+  CAST(CASE WHEN expectation IS NULL THEN NULL WHEN expectation <> 'false' AND has AND (h1 OR h2) THEN 1.0 ELSE 0.0 END AS DOUBLE),
+  CASE WHEN expectation IS NULL OR NOT has THEN NULL WHEN expectation = 'false' OR h1 THEN line1 WHEN h2 THEN line2 END,
+  CASE WHEN expectation IS NULL THEN 'no target' WHEN NOT has THEN 'no answer' WHEN expectation = 'false' THEN 'none expected' WHEN NOT h1 AND NOT h2 THEN 'not named' END
+FROM (SELECT r.*, e.expectation, r.response IS NOT NULL AS has, {_hits('r.line1')} AS h1, {_hits('r.line2')} AS h2 FROM d_response r LEFT JOIN d_run_expectation e ON e.case_id = r.case_id) i"""
+
+
+@query("score_runs", f"SELECT *, '{{}}' AS params, '0.1.0' AS engine_version, '1' AS metric_version FROM ({_RUN_SCORES}) s")
+def score_runs(g: Given) -> DataFrame:
+    """Runs to scores: response, answer, expectation, views, score items."""
+    items = g["d_response"].select("run", "case_id", "replicate", "response", "contract", "answer_tool")
+    return scoring.score_runs(items, g["d_run_expectation"], RUN_VIEWS)
+
+
+@query(
+    "score_run_summary",
+    f"""
+WITH s AS (SELECT run, view, round(avg(value), 6) AS mean, round(CASE WHEN count(value) > 1 THEN stddev_samp(value) / sqrt(count(value)) ELSE 0 END, 6) AS stderr,
+  round(coalesce(stddev_samp(value), 0), 6) AS std, round(coalesce(var_samp(value), 0), 6) AS var, count(value) AS n, count(*) - count(value) AS n_unscored
+  FROM ({_RUN_SCORES}) x GROUP BY run, view)
+SELECT r.run, v.view, v.metric, coalesce(mean, 0) AS mean, coalesce(stderr, 0) AS stderr, coalesce(std, 0) AS std, coalesce(var, 0) AS var,
+  coalesce(n, 0) AS n, coalesce(n_unscored, 0) AS n_unscored
+FROM d_run r CROSS JOIN (SELECT 0 AS view, 'reciprocal_rank' AS metric UNION ALL SELECT 1, 'mentions') v LEFT JOIN s ON s.run = r.run AND s.view = v.view""",
+)
+def score_run_summary(g: Given) -> DataFrame:
+    """The same, summed up by run and view; runs without scores have a row for each view."""
+    return scoring.summarise_runs(score_runs(g), g["d_run"], RUN_VIEWS, digits=6)

@@ -9,12 +9,10 @@ from ..functions import hashing
 
 
 def folder(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
-    """The text files of a folder: id (file name without suffix) and content."""
+    """The text files of a folder: id (file name as it is, without suffix) and content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
-        F.url_decode(F.substr(name, F.lit(1), F.length(name) - len(suffix))).alias("source_id"), "content"
-    )
+    return files.select(F.substr(name, F.lit(1), F.length(name) - len(suffix)).alias("source_id"), "content")
 
 
 def listing(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:

@@ -33,6 +33,12 @@ HEADLINE = [
     "render_requests",
     "assemble_chunks",
     "lint_pairs",
+    "score_runs",
+    "score_run_summary",
+    "score_views",
+    "proposal",
+    "schedule_shuffled",
+    "whitespace_runs",
 ]
 
 
