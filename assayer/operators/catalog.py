@@ -350,7 +350,9 @@ def gift_plan(threads: DataFrame, edits: DataFrame, entries: DataFrame, person:
 
 # --------------------------------------------------------------------------------- rules
 
+# Fixed value.
 LANGUAGE = r"^[a-z]{2,3}(-[A-Za-z0-9]{1,8})*\z"
+# Fixed value.
 TEXT_FIELDS = ["description", "tag", "language"]
 PERSON_FIELDS = ["owner", "collaborator"]
 REMOVABLE_FIELDS = ["name", "tag", "collaborator", "deleted"]
@@ -391,6 +393,7 @@ def label_positions(labels: DataFrame, scorers: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value.
 LANGUAGE_KINDS = [
     "chunk.instructions", "chunk.few_shot", "chunk.prompt", "chunk.output", "chunk.toolset",
     "chunk.translations", "skeleton",

@@ -3,6 +3,8 @@
 Calls come as one row each: run, case_id, replicate, started_us, finished_us, attempts,
 returned_model, token_hex, vignette_hex. Runs come as one row each with their trial's grid
 (`n_cases` x `n_seeds`), execution and stage times.
+
+Fixed values: the findings' codes, levels and messages, which others look for.
 """
 
 from __future__ import annotations

@@ -14,29 +14,38 @@ from ..sources.texts import decoded
 def prepare_cases(
     cases: DataFrame, files: DataFrame, appendices: DataFrame, cleanup: Sequence[str], layout: dict[str, str] | None = None
 ) -> DataFrame:
-    """Cases with the text of their vignette and appendices, and whether the source drifted.
+    """Every case with the text of its vignette and appendices, whether the source drifted, and any problem.
 
     `cases`: digest, source, source_id, hex, appendices (ordered array of digests);
     `files`: source, source_id, content; `appendices`: digest, text.
-    A case holds few appendices, so they are joined per reference and put back in order.
+    A case holds few appendices, so they are joined per reference and put back in order. A case
+    whose file isn't there or doesn't decode, or that refers to an appendix that isn't there, stays
+    with null in that text's place and says so in `problem`.
     """
-    read = cases.join(files, ["source", "source_id"])
+    read = cases.join(files, ["source", "source_id"], "left")
     observed = hashing.fingerprint(F.col("content"))
     placed = (
         cases.select("digest", F.posexplode("appendices").alias("pos", "appendix"))
-        .join(appendices.select(F.col("digest").alias("appendix"), "text"), "appendix")
+        .join(appendices.select(F.col("digest").alias("appendix"), "text"), "appendix", "left")
         .groupBy("digest")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("placed"))
-        .select("digest", F.transform("placed", lambda p: p["text"]).alias("texts"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("placed"), F.count_if(F.col("text").isNull()).alias("missing"))
+        .select("digest", F.transform("placed", lambda p: p["text"]).alias("texts"), "missing")
     )
     texts = F.coalesce("texts", F.array().cast("array<string>"))
+    missing = F.coalesce("missing", F.lit(0))
+    problem = (
+        F.when(F.col("content").isNull(), F.lit("its source has no such file"))
+        .when(decoded(F.col("content")).isNull(), F.lit("its file isn't UTF-8"))
+        .when(missing > 0, F.concat(missing.cast("string"), F.lit(" of its appendices are missing")))
+    )
     return read.join(placed, "digest", "left").select(
         "digest",
         text.clean(decoded(F.col("content")), cleanup).alias("vignette"),
-        text.join_appendices(texts, **(layout or {})).alias("appendices"),
+        F.when(missing == 0, text.join_appendices(texts, **(layout or {}))).alias("appendices"),
         observed.alias("fingerprint"),
         (observed != F.col("hex")).alias("drifted"),
-        decoded(F.col("content")).isNull().alias("undecodable"),
+        (F.col("content").isNotNull() & decoded(F.col("content")).isNull()).alias("undecodable"),
+        problem.alias("problem"),
     )
 
 

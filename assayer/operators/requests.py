@@ -24,8 +24,14 @@ def fill(segments: Column, fills: Column) -> Column:
     )
 
 
+def unfilled(messages: Column, fills: Column) -> Column:
+    """The slots of messages that have no fill, by name."""
+    slots = F.flatten(F.transform(messages, lambda m: F.transform(F.filter(m["segments"], lambda s: s["text"].isNull()), lambda s: s["slot"])))
+    return F.sort_array(F.array_distinct(F.filter(slots, lambda s: F.try_element_at(fills, s).isNull())))
+
+
 def render(rows: DataFrame) -> DataFrame:
-    """The request body of every row.
+    """The request body of every row, and `problem` instead where a slot has no fill.
 
     Rows have `messages` (array<struct<role,segments>>), `fills`, `model`, `body` (map of name to
     JSON text), `greedy`, `seed` and `return_token_ids`. The skeleton's own settings come after
@@ -55,7 +61,10 @@ def render(rows: DataFrame) -> DataFrame:
         ),
     )
     keep = [c for c in rows.columns if c not in ("messages", "fills", "body")]
-    return rows.select(*keep, F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")).alias("request"))
+    lacking = unfilled(F.col("messages"), F.col("fills"))
+    problem = F.when(F.size(lacking) > 0, F.concat(F.lit("no fill for "), F.array_join(lacking, ", ")))
+    body = F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+    return rows.select(*keep, F.when(problem.isNull(), body).alias("request"), problem.alias("problem"))
 
 
 # Settings greedy sampling leaves out.

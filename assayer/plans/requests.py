@@ -38,13 +38,13 @@ def config_grid(g: Given) -> DataFrame:
 @query(
     "render_requests",
     """
-SELECT run, c.case_id AS case_id, s.replicate AS replicate, concat('{"model":"', declared_model, '","messages":[{"role":"system","content":"Diagnose."},{"role":"user","content":"Case ', d.lang, '/', d.source, '\\nEnd"}],"temperature":', CASE WHEN run % 2 = 0 THEN '0' ELSE '0.7' END,
-  CASE WHEN run % 2 = 0 THEN '' ELSE concat(',"seed":', CAST(100 + s.replicate AS STRING)) END, ',"return_token_ids":true}') AS request
+SELECT run, c.case_id AS case_id, s.replicate AS replicate, CASE WHEN c.case_id % 53 = 9 THEN 'no fill for vignette' END AS problem, CASE WHEN c.case_id % 53 <> 9 THEN concat('{"model":"', declared_model, '","messages":[{"role":"system","content":"Diagnose."},{"role":"user","content":"Case ', d.lang, '/', d.source, '\\nEnd"}],"temperature":', CASE WHEN run % 2 = 0 THEN '0' ELSE '0.7' END,
+  CASE WHEN run % 2 = 0 THEN '' ELSE concat(',"seed":', CAST(100 + s.replicate AS STRING)) END, ',"return_token_ids":true}') END AS request
 FROM d_run, LATERAL (SELECT unnest(range(0, n_cases)) AS case_id) c, LATERAL (SELECT unnest(range(0, n_seeds)) AS replicate) s JOIN documents d ON d.doc_id = c.case_id""",
 )
 def render_requests(g: Given) -> DataFrame:
     """The whole trial grid as request bodies, ready for a batch service."""
-    cases = g["documents"].select(F.col("doc_id").alias("case_id"), F.concat("lang", F.lit("/"), "source").alias("vignette"))
+    cases = g["documents"].select(F.col("doc_id").alias("case_id"), F.when(F.col("doc_id") % 53 != 9, F.concat("lang", F.lit("/"), "source")).alias("vignette"))
     runs = g["d_run"].select("run", "declared_model")
     segment = lambda text=None, slot=None: F.struct(
         F.lit(text).cast("string").alias("text"), F.lit(slot).cast("string").alias("slot")
@@ -71,7 +71,7 @@ def render_requests(g: Given) -> DataFrame:
             F.lit(True).alias("return_token_ids"),
         )
     )
-    return requests.render(rows).select("run", "case_id", "replicate", "request")
+    return requests.render(rows).select("run", "case_id", "replicate", "request", "problem")
 
 
 _SKELETON = """

@@ -141,17 +141,21 @@ _CLEANUP = ["newlines.lf@1", "strip@1", "blank_lines.collapse@1"]
 @query(
     "prepare_cases",
     f"""
-SELECT c.digest, sha256({_sql(_CLEANUP)}) AS vignette_hex, CASE WHEN appendix IS NULL THEN '' ELSE concat(chr(10), chr(10), 'note ', d.lang) END AS appendices,
-  sha256(text) <> hex AS drifted FROM d_case c JOIN documents d ON d.doc_id = c.doc_id""",
+SELECT c.digest, CASE WHEN c.doc_id % 37 <> 5 THEN sha256({_sql(_CLEANUP)}) END AS vignette_hex,
+  CASE WHEN appendix IS NULL THEN '' WHEN c.doc_id % 44 <> 8 THEN concat(chr(10), chr(10), 'note ', d.lang) END AS appendices,
+  CASE WHEN c.doc_id % 37 <> 5 THEN sha256(text) <> hex END AS drifted,
+  CASE WHEN c.doc_id % 37 = 5 THEN 'its source has no such file' WHEN c.doc_id % 44 = 8 THEN '1 of its appendices are missing' END AS problem
+FROM d_case c JOIN documents d ON d.doc_id = c.doc_id""",
 )
 def prepare_cases(g: Given) -> DataFrame:
+    """Some cases' files and appendices are missing, which is what their problems say."""
     docs = g.spread("documents")
     name = lambda kind: F.concat(F.lit(kind), F.col("doc_id").cast("string"))
-    files = docs.select("source", name("v").alias("source_id"), F.encode("text", "UTF-8").alias("content"))
-    appendices = docs.select(name("appendix:").alias("digest"), F.concat(F.lit("note "), "lang").alias("text"))
+    files = docs.where("doc_id % 37 <> 5").select("source", name("v").alias("source_id"), F.encode("text", "UTF-8").alias("content"))
+    appendices = docs.where("doc_id % 44 <> 8").select(name("appendix:").alias("digest"), F.concat(F.lit("note "), "lang").alias("text"))
     cases = g["d_case"].withColumn("appendices", F.array_compact(F.array("appendix")))
     prepared = prepare.prepare_cases(cases, files, appendices, _CLEANUP)
-    return prepared.select("digest", F.sha2("vignette", 256).alias("vignette_hex"), "appendices", "drifted")
+    return prepared.select("digest", F.sha2("vignette", 256).alias("vignette_hex"), "appendices", "drifted", "problem")
 
 
 @query(
