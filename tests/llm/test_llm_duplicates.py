@@ -39,6 +39,7 @@ def test_components_equal_brute_force(spark, docs, rows, k):
     rng = random.Random(8)
     more = []
     original = prose(rng, 120).split()
+    more.append((160, " ".join(original), "en", "s", 1))
     for i in range(60):  # a star: copies are near the original, less so each other
         near = list(original)
         for place in rng.sample(range(len(near)), 1 if k == 5 else 4):
