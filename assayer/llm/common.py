@@ -101,11 +101,15 @@ def long_windows(h: np.ndarray, k: int, base: int = BASE) -> np.ndarray:
 
 
 def worker_state(name: str, make: Callable[[], object]) -> object:
-    """What a Python worker keeps between tasks: functions arrive anew with each task, modules stay."""
+    """What a Python worker keeps between tasks: functions arrive anew with each task, modules stay.
+
+    A worker keeps one thing at a time: another name's takes the place of what an earlier job left.
+    """
     home = sys.modules.setdefault("_assayer_worker", types.ModuleType("_assayer_worker"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    if getattr(home, "name", None) != name:
+        home.kept = None
+        home.name, home.kept = name, make()
+    return home.kept
 
 
 def task() -> int:

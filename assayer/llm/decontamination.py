@@ -23,7 +23,7 @@ SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 9
 # Items that are sent to every task at once; a larger benchmark takes more passes over the documents.
 ITEMS_AT_ONCE = 20_000
 EDGES = b".,;:!?|%$&*#()[]\"'"
-MEMO = 1_000_000
+MEMO = 600_000
 BITS = np.arange(64, dtype=np.uint64)
 
 

@@ -26,7 +26,7 @@ END = 1
 BAR = "|"
 DIMENSIONS, BITS = 4, 12
 # Words whose ids a worker keeps; beyond it starts anew.
-MEMO = 1_500_000
+MEMO = 1_200_000
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
