@@ -187,11 +187,11 @@ def head_recipes(g: Given) -> DataFrame:
 
 # ----------------------------------------------------------------------------- languages
 
-# Recipes are orders, their text parts lineitems' parts; skeletons are customers.
-_PARTS = "SELECT l_orderkey AS recipe, l_partkey % 400 AS digest FROM lineitem"
+# Recipes are orders, their text parts lineitems' parts, five of which share a text; skeletons are customers.
+_PARTS = "SELECT l_orderkey AS recipe, l_partkey - l_partkey % 5 AS digest FROM lineitem"
 _COMPILED = "SELECT o_custkey AS skeleton, o_orderkey AS recipe FROM orders"
 _LANGUAGES = """
-SELECT p_partkey AS id, p_partkey % 400 AS digest, CASE WHEN p_partkey % 400 < 150 THEN 'sv' WHEN p_size % 2 = 0 THEN 'en' ELSE 'de' END AS value FROM part WHERE p_partkey % 400 < 390"""
+SELECT p_partkey AS id, p_partkey - p_partkey % 5 AS digest, CASE WHEN p_partkey % 10 < 7 THEN 'sv' WHEN p_size % 2 = 0 THEN 'en' ELSE 'de' END AS value FROM part WHERE p_partkey % 400 < 390"""
 
 
 @query(
