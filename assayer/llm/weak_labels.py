@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import BASE, documents, hashes, kept, mix, worker_state
 
 # Labelled rows from which the list of toxic words is taken, and the list's longest length.
-LABELLED, LISTED = 100_000, 5_000
+LABELLED, LISTED = 20_000, 5_000
 # A unit is listed if its being in toxic texts only has a chance below exp(-CHANCE).
 CHANCE = 8.0
 # Rows of each posterior class that train the scorer; the scorer's hashed features.
@@ -31,7 +31,7 @@ SAMPLE, FEATURES = 4_000, 1 << 18
 # Lengths of the word beginnings that stand beside whole words.
 BEGINNINGS = (4, 5, 6)
 EDGES = ".,;:!?|%$&*#()[]\"'"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS, CAPITALS = b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 JUNK, TOXIC = ("symbols", "capitals", "doubled", "varied", "marks"), ("words", "beginnings", "dense")
 ABSTAIN, GOOD, BAD = 0, 1, 2
 # For each junk heuristic the share up to which it votes good and from which it votes bad.
@@ -103,9 +103,10 @@ def shares(text: str, words: list[str], distinct: int) -> list[float]:
     chars = max(len(text) - text.count(" ") - text.count("\n"), 1)
     n = max(len(words), 1)
     doubled = sum(map(eq, words, islice(words, 1, None)))
-    capitals = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    marks = text.count("!!") + text.count("|") + sum(text.count(3 * c) for c in SYMBOLS)
-    return [sum(map(text.count, SYMBOLS)) / chars, capitals / chars, doubled / n, -distinct / n if n >= 50 else -1.0, marks / n]
+    raw = text.encode("utf-8", "replace")
+    symbols, capitals = (len(raw) - len(raw.translate(None, signs)) for signs in (SYMBOLS, CAPITALS))
+    marks = text.count("!!") + text.count("|") + (sum(text.count(3 * c) for c in SYMBOLS.decode()) if symbols else 0)
+    return [symbols / chars, capitals / chars, doubled / n, -distinct / n if n >= 50 else -1.0, marks / n]
 
 
 def vocabulary() -> Vocabulary:
