@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import BASE, documents, hashes, kept, mix, worker_state
 
 # Labelled rows from which the list of toxic words is taken, and the list's longest length.
-LABELLED, LISTED = 20_000, 5_000
+LABELLED, LISTED = 100_000, 5_000
 # A unit is listed if its being in toxic texts only has a chance below exp(-CHANCE).
 CHANCE = 8.0
 # Rows of each posterior class that train the scorer; the scorer's hashed features.
@@ -40,7 +40,7 @@ SHARES = ((0.01, 0.06), (0.15, 0.4), (0.02, 0.2), (-0.4, -0.2), (0.02, 0.1))
 STEPS = ((0.01, 0.03, 0.06, 0.12, 0.25), (0.1, 0.15, 0.25, 0.4, 0.6), (0.02, 0.05, 0.1, 0.2, 0.4), (-0.4, -0.3, -0.2, -0.1), (0.02, 0.05, 0.1, 0.3, 0.6))
 # A feature is used if so many sample rows have it and its log odds are so large.
 LEAST, TOLD = 8, 2.5
-MEMO = 600_000
+MEMO = 800_000
 
 
 def units(words: list[str]) -> np.ndarray:
