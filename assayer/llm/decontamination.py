@@ -1,9 +1,9 @@
-"""Benchmark decontamination: windows as long as an item, compared by SimHash and then exactly.
+"""Benchmark decontamination: windows as long as an item, compared exactly by their weighted shingles.
 
-Only a window that shares a shingle with some item can reach the similarity asked for, so only windows
-around such places are fingerprinted. Fingerprints of windows and items are cut into one more block than the
-radius has bits: any two within the radius agree in a block at least. What they bring together and lies
-within the radius is verified by the weighted Jaccard similarity of the shingles.
+A window can reach the similarity asked for only if it holds that share of the item's own weight. So the items
+whose weight a text's shingles make up so far are looked for in it, and the weighted Jaccard similarities of all
+their windows follow from two running sums: nothing is left out by chance. SimHash fingerprints tell how far
+the best window is from its item; they leave windows out only if a radius is asked for.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import documents, kept, rolling, worker_state
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 9
+SHINGLE, SIMILARITY = 5, 0.8
+# What sums of weights may be off by.
+ROUNDING = 1e-9
 # Items that are sent to every task at once; a larger benchmark takes more passes over the documents.
 ITEMS_AT_ONCE = 20_000
 EDGES = b".,;:!?|%$&*#()[]\"'"
@@ -68,7 +70,7 @@ def blocks(prints: np.ndarray, radius: int) -> list[np.ndarray]:
 class Items:
     """A bounded part of the benchmark, ready to be searched for."""
 
-    def __init__(self, rows: list[tuple[int, str]], radius: int) -> None:
+    def __init__(self, rows: list[tuple[int, str]], radius: int | None = None) -> None:
         hashed = Hashes()([t or "" for _, t in rows])
         found = [(i, h) for (i, _), h in zip(rows, hashed, strict=True) if len(h)]
         self.radius = radius
@@ -79,10 +81,12 @@ class Items:
         names, counts = np.unique(np.concatenate(self.shingles or [np.empty(0, np.uint64)]), return_counts=True)
         self.names, self.weights = names, np.log1p(len(found) / np.maximum(counts, 1))
         self.prints = np.array([fingerprints(signs(h).sum(axis=0)[None])[0] for _, h in found], np.uint64)
-        self.keys = []
-        for block in blocks(self.prints, radius):
-            order = np.argsort(block, kind="stable")
-            self.keys.append((block[order], order))
+        self.totals = np.array([self.weight(x).sum() for x in self.shingles])
+        # The items of each shingle, side by side.
+        self.places = [np.searchsorted(names, x) for x in self.shingles]
+        place = np.concatenate([*self.places, np.empty(0, np.int64)]).astype(np.int64)
+        self.holders = np.repeat(np.arange(len(found)), [len(x) for x in self.places])[np.argsort(place, kind="stable")]
+        self.edges = np.cumsum([0, *counts.tolist()])
         self.lengths = sorted({min(int(n), SHINGLE) for n in self.sizes})
         self.seen = np.zeros(1 << 22, bool)
         self.seen[names >> np.uint64(42)] = True
@@ -110,21 +114,13 @@ class Items:
         at = np.minimum(np.searchsorted(self.names, shingles), len(self.names) - 1)
         return np.where(self.names[at] == shingles, self.weights[at], np.log1p(len(self.ids)))
 
-    def near(self, prints: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, distance) of all windows and items of the same length within the radius."""
-        keys = []
-        for (sorted_keys, order), block in zip(self.keys, blocks(prints, self.radius), strict=True):
-            low, high = np.searchsorted(sorted_keys, block, "left"), np.searchsorted(sorted_keys, block, "right")
-            counts = high - low
-            window = np.repeat(np.arange(len(prints)), counts)
-            item = order[np.repeat(low, counts) + np.arange(len(window)) - np.repeat(np.cumsum(counts) - counts, counts)]
-            same = self.sizes[item] == sizes[window]
-            keys.append(window[same] * len(self.ids) + item[same])
-        keys = np.unique(np.concatenate(keys))
-        window, item = keys // len(self.ids), keys % len(self.ids)
-        distance = np.bitwise_count(prints[window] ^ self.prints[item])
-        close = distance <= self.radius
-        return window[close], item[close], distance[close]
+    def possible(self, place: np.ndarray) -> np.ndarray:
+        """The items of which these shingles, named by their places, make up the share of weight that a match needs."""
+        place = np.unique(place)
+        low, counts = self.edges[place], self.edges[place + 1] - self.edges[place]
+        at = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        shared = np.bincount(self.holders[at], np.repeat(self.weights[place], counts), len(self.ids))
+        return np.flatnonzero(shared >= (SIMILARITY - ROUNDING) * self.totals)
 
     def search(self, h: np.ndarray, hits: np.ndarray) -> list[dict]:
         """The best window of each item that a text's words have in it."""
@@ -133,22 +129,61 @@ class Items:
         # Places further apart than the longest item are looked at apart.
         for part in np.split(hits, np.flatnonzero(np.diff(hits) > largest) + 1):
             a, b = max(0, int(part[0]) - largest), min(len(h), int(part[-1]) + largest + SHINGLE)
-            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(h[a:b]), axis=0, dtype=np.int32)])
-            touched = np.zeros(b - a + 1, np.int64)
-            touched[part - a + 1] = 1
-            touched = np.cumsum(touched)
-            for sizes in np.array_split(np.unique(self.sizes), max(1, (b - a) // 4096)):
-                starts = [np.arange(max(b - a - n + 1, 0)) for n in sizes.tolist()]
-                starts = [x[touched[x + n] > touched[x]] for x, n in zip(starts, sizes.tolist(), strict=True)]
-                size = np.repeat(sizes, [len(x) for x in starts])
-                start = np.concatenate(starts)
-                for w, i, d in zip(*(x.tolist() for x in self.near(fingerprints(sums[start + size] - sums[start]), size)), strict=True):
-                    at = a + int(start[w])
-                    alike = self.similarity(h[at : at + int(size[w])], i)
-                    if alike >= SIMILARITY and (i not in best or alike > best[i]["similarity"]):
-                        best[i] = {"item_id": self.ids[i], "start": at, "n_words": int(size[w]), "similarity": alike, "distance": d}
+            for k in self.lengths:
+                own = rolling(h[a:b], k)
+                near = np.minimum(np.searchsorted(self.names, own), len(self.names) - 1)
+                known = np.flatnonzero(self.names[near] == own)
+                known = known[np.argsort(near[known], kind="stable")]
+                place = near[known]
+                items = [i for i in self.possible(place).tolist() if min(SHINGLE, self.sizes[i]) == k]
+                if not items:
+                    continue
+                weight = self.weight(own)
+                # Where each shingle was before: a window counts it once.
+                order = np.argsort(own, kind="stable")
+                again = own[order[1:]] == own[order[:-1]]
+                before = np.full(len(own), -1)
+                before[order[1:][again]] = order[:-1][again]
+                for i in items:
+                    low, high = (np.searchsorted(place, self.places[i], side) for side in ("left", "right"))
+                    counts = high - low
+                    at = np.sort(known[np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)])
+                    for found in np.split(at, np.flatnonzero(np.diff(at) >= self.sizes[i] - k + 1) + 1):
+                        if weight[found].sum() >= (SIMILARITY - ROUNDING) * self.totals[i]:
+                            self._best(best, h, a, i, found, weight, before)
         return [best[i] for i in sorted(best)]
 
+    def _best(self, best: dict[int, dict], h: np.ndarray, a: int, item: int, found: np.ndarray, weight: np.ndarray, before: np.ndarray) -> None:
+        """Compare the item with all windows around the places, counted from `a`, where its shingles were found."""
+        n = int(self.sizes[item])
+        m = n - min(SHINGLE, n) + 1
+        low, high = max(0, int(found[0]) - m + 1), min(len(weight), int(found[-1]) + m)
+        starts = high - low - m + 1
+        if starts <= 0:
+            return
+        place = np.arange(high - low)
+        # A shingle counts in the windows that begin after its place before and not after itself.
+        begin = np.maximum(before[low:high] - low, np.maximum(place - m, -1)) + 1
+
+        def sums(at: np.ndarray) -> np.ndarray:
+            w = weight[low + at]
+            return np.cumsum(np.bincount(begin[at], w, len(place) + 1) - np.bincount(at + 1, w, len(place) + 1))[:starts]
+
+        common = sums(found - low)
+        alike = common / (sums(place) + self.totals[item] - common)
+        good = np.flatnonzero(alike >= SIMILARITY - 1e-6)
+        if len(good) and self.radius is not None:
+            signed = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(h[a + low : a + low + starts + n - 1]), axis=0, dtype=np.int32)])
+            good = good[np.bitwise_count(fingerprints(signed[good + n] - signed[good]) ^ self.prints[item]) <= self.radius]
+        if not len(good):
+            return
+        start = a + low + int(good[alike[good] >= alike[good].max() - ROUNDING][0])
+        window = h[start : start + n]
+        exact = self.similarity(window, item)
+        if exact >= SIMILARITY - ROUNDING and (item not in best or exact > best[item]["similarity"]):
+            distance = int(np.bitwise_count(fingerprints(signs(window).sum(axis=0)[None])[0] ^ self.prints[item]))
+            best[item] = {"item_id": self.ids[item], "start": start, "n_words": n, "similarity": exact, "distance": distance}
+
     def similarity(self, words: np.ndarray, item: int) -> float:
         own = np.unique(rolling(words, min(SHINGLE, len(words))))
         common = self.weight(np.intersect1d(own, self.shingles[item], assume_unique=True)).sum()
@@ -158,12 +193,13 @@ class Items:
 MATCH = "struct<item_id:bigint,start:bigint,n_words:bigint,similarity:double,distance:int>"
 
 
-def find(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, radius: int | None = None) -> DataFrame:
     """docs' rows, as struct `row`, with `matches`: the items they contain, each with its best window.
 
     A match is a window as long as the item whose five-word shingles (fewer words: the whole) have a weighted
     Jaccard similarity of 0.8 or more with the item's. `start` counts words that aren't punctuation only. Null or
     empty texts and items match nothing; repeated rows and items are each reported; an empty benchmark matches nothing.
+    With a `radius`, windows whose fingerprint is more bits away from the item's don't count.
     """
     total = items.count()
     parts = max(1, -(-total // ITEMS_AT_ONCE))

@@ -155,3 +155,28 @@ def test_similarity_is_exact():
     assert not len(none)
     one = np.log1p(2)
     assert len(best) == 1 and best[0]["similarity"] == pytest.approx(len(own & other) * one / (len(own | other) * one))
+
+
+def test_no_edge_cut_or_edge_changed_item_is_missed():
+    """Against brute force over all windows; words replaced or cut off at an edge change many bits of a fingerprint."""
+    from assayer.llm.decontamination import SIMILARITY, Hashes
+
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    texts = [fresh(n) for n in range(22, 95, 3) for _ in range(4)]
+    texts += [(fresh(6) * 9)[: rng.randint(30, 50)] for _ in range(20)] + [fresh(n) for n in (1, 3, 4, 5, 6)]
+    part = Items(list(enumerate(" ".join(x) for x in texts)))
+    missed = [0, 0]
+    for i, words in enumerate(texts):
+        cut, n = len(words) // 10, len(words)
+        for near in (words[cut:], words[: n - cut], [*fresh(cut), *words[cut:]], [*words[: n - cut], *fresh(cut)]):
+            h, = Hashes()([" ".join([*fresh(30), *near, *fresh(30), *words[: n // 2]])])
+            found = {m["item_id"]: m for m in part.search(h, part.hits([h])[0])}
+            alike = [part.similarity(h[at : at + n], i) for at in range(len(h) - n + 1)]
+            if max(alike) < SIMILARITY - 1e-9:
+                assert i not in found
+                continue
+            assert i in found and found[i]["similarity"] == pytest.approx(max(alike)), (i, max(alike))
+            assert part.similarity(h[found[i]["start"] :][:n], i) == found[i]["similarity"]
+            missed[found[i]["distance"] > 9] += 1
+    assert missed[1] > 20  # beyond the radius there was
