@@ -1,8 +1,9 @@
 """Language identification by character models with interpolated Kneser-Ney smoothing.
 
 Letters of words are counted as four-character windows per language; the lower orders' continuation counts
-follow from the distinct windows. The estimated probabilities of all languages stand side by side in arrays
-sorted by the windows' hashes. A text's language is the one with the lowest cross-entropy per character; how
+follow from the distinct windows. Discounts, probabilities and back-offs are aggregates and joins over all windows;
+every window of the texts gets its probabilities in all languages, and these are looked up in arrays sorted by the
+windows' hashes, in as many passes as it takes. A text's language is the one with the lowest cross-entropy per character; how
 sure that is, and from which cross-entropy on a text is rejected, is calibrated on learning documents that
 were not counted.
 """
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import crc_text, documents, kept, mix
 
 ORDER = 4
-# The model is sent to every task: no more windows than this are kept, the most frequent ones.
-MODEL_WINDOWS = 1_000_000
+COLUMNS = ("a", "b", "c", "d")
+# Probabilities that are sent to every task at once; a larger model takes more passes over the texts.
+AT_ONCE = 4_000_000
 # Words whose cross-entropies a worker keeps before it starts anew.
 MEMO = 400_000
 SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
@@ -75,7 +77,7 @@ def count_windows(texts: DataFrame) -> DataFrame:
                 weight = np.fromiter(counts.values(), np.int64, len(counts))[owner]
                 _, first, which = np.unique(window_hash(codes), return_index=True, return_inverse=True)
                 n = np.bincount(which, weight, len(first)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *(pa.array(codes[first, j]) for j in range(ORDER)), pa.array(n)], names=["lang", "a", "b", "c", "d", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *(pa.array(codes[first, j]) for j in range(ORDER)), pa.array(n)], names=["lang", "a", "b", "c", "d", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -89,8 +91,48 @@ def count_windows(texts: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "a", "b", "c", "d").agg(F.sum("n").alias("n"))
 
 
+def estimate(counted: DataFrame, languages: list[str]) -> DataFrame:
+    """(a, b, c, d, logs): of every window of `counted` (lang, a, b, c, d, n) the log probabilities of its last character.
+
+    `logs` has the languages' in order. Rows without a lang are windows that are to be scored but weren't learned.
+    """
+    each = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")]
+    by_place = lambda value: F.map_from_entries(F.collect_list(F.struct(each({x: i for i, x in enumerate(languages)}), value)))
+    places = F.sequence(F.lit(0), F.lit(len(languages) - 1))
+    tables = {ORDER: counted.filter("lang IS NOT NULL")}
+    for order in range(ORDER - 1, 0, -1):  # continuation counts: in how many longer windows
+        tables[order] = kept(tables[order + 1].groupBy("lang", *COLUMNS[-order:]).agg(F.count(F.lit(1)).alias("n")))
+    alphabet = tables[1].select("d").distinct().count() + 1
+    lower = logs = None
+    for order in range(1, ORDER + 1):
+        table, names, history = tables[order], list(COLUMNS[-order:]), list(COLUMNS[-order:-1])
+        whole = {r.lang: r for r in table.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).collect()}
+        discounts = {x: min(max(r.ones / max(r.ones + 2 * r.twos, 1), 0.1), 0.9) for x, r in whole.items()}
+        discount = each(discounts)
+        wanted = counted.select(*names).distinct()
+        if order == 1:
+            floor = [float(np.log(discounts[x] * whole[x].kinds / whole[x].total / alphabet)) for x in languages]
+            table = table.withColumns({"total": each({x: r.total for x, r in whole.items()}), "kinds": each({x: r.kinds for x, r in whole.items()}), "shorter": F.lit(1 / alphabet)})
+            rest = wanted.withColumn("rest", F.array(*[F.lit(x) for x in floor]))
+        else:
+            sums = kept(table.groupBy("lang", *history).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")))
+            table = table.join(sums, ["lang", *history]).join(lower, ["lang", *names[1:]])
+            # A window unseen in a language has its back-off weight times the shorter window.
+            backs = sums.groupBy(*history).agg(by_place(F.ln(discount * F.col("kinds") / F.col("total"))).alias("backs"))
+            rest = wanted.join(logs, names[1:]).join(backs, history, "left")
+            rest = rest.select(*names, F.transform(places, lambda i: F.coalesce(F.col("backs")[i], F.lit(0.0)) + F.get("logs", i)).alias("rest"))
+        p = (F.col("n") - discount) / F.col("total") + discount * F.col("kinds") / F.col("total") * F.col("shorter")
+        table = kept(table.select("lang", *names, p.alias("shorter")))
+        seen = table.groupBy(*names).agg(by_place(F.ln("shorter")).alias("seen"))
+        logs = kept(rest.join(seen, names, "left").select(*names, F.transform(places, lambda i: F.coalesce(F.col("seen")[i], F.get("rest", i))).alias("logs")))
+        lower = table
+    return logs
+
+
 class Model:
-    """Sorted hashes of windows of all orders, and for each language a log probability and a back-off weight."""
+    """The estimates over counts that one process holds; `estimate` is the same over tables of any size.
+
+    Sorted hashes of windows of all orders, and for each language a log probability and a back-off weight."""
 
     def __init__(self, counts: pd.DataFrame) -> None:
         """`counts` has (lang, a, b, c, d, n)."""
@@ -196,45 +238,59 @@ class Model:
         return out
 
 
-def score_texts(docs: DataFrame, model) -> DataFrame:
-    """docs with `losses` (for each language the text's negative log probability) and `events` (its characters)."""
-    spread = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays: executors need no copy of this class
+def score_texts(docs: DataFrame, logs: DataFrame, size: int, at_once: int = AT_ONCE) -> DataFrame:
+    """docs with `losses` (for each of `size` languages the text's negative log probability) and `events` (its characters).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, letters = Model.__new__(Model), _letters()
-        vars(model).update(spread.value)
-        size = len(model.languages)
-        known: dict[str, int] = {}
-        table = np.zeros((0, size + 1), np.float32)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            sums = np.zeros((len(texts), size + 1))
-            for at in range(0, len(texts), 256):
-                split = [(x or "").lower().split() for x in texts[at : at + 256]]
-                new = [w for w in set().union(*split) if w not in known]
-                if len(known) + len(new) > MEMO:
-                    known, table = {}, table[:0]
-                    new = list(set().union(*split))
-                if new:
-                    codes, owner = windows(new, letters)
-                    logs = model.score(codes)
-                    found = [np.bincount(owner, -logs[:, i], len(new)) for i in range(size)]
-                    found.append(np.bincount(owner, minlength=len(new)))
-                    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                    table = np.concatenate([table, np.stack(found, axis=1).astype(np.float32)])
-                for i, words in enumerate(split):
-                    if words:
-                        sums[at + i] = table[[known[w] for w in words]].sum(axis=0, dtype=np.float64)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(texts) * size + 1, size), pa.int32()), pa.array(sums[:, :size].ravel()))
-            columns = [batch.column(c) for c in batch.schema.names if c != "text"]
-            names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*columns, flat, pa.array(sums[:, size].astype(np.int64))], names=[*names, "losses", "events"])
-
-    kept_columns = ", ".join(f"{c} {t}" for c, t in docs.dtypes if c != "text")
-    return docs.mapInArrow(run, f"{kept_columns}, losses array<double>, events long")
-
-
-def identify(docs: DataFrame, max_windows: int = MODEL_WINDOWS, reject: float = 0.001) -> DataFrame:
+    `logs` has all windows of the texts. Each pass adds what its part of them contributes.
+    """
+    parts = max(1, -(-logs.count() * size // at_once))
+    found = docs.select("*", F.array_repeat(F.lit(0.0), size).alias("losses"), F.lit(0).cast("long").alias("events"))
+    schema = found.schema
+    for part in range(parts):
+        some = logs.filter(F.pmod(F.xxhash64(*COLUMNS), F.lit(parts)) == part).select(*COLUMNS, F.col("logs").cast("array<float>").alias("logs")).toArrow()
+        keys = window_hash(np.stack([some.column(c).to_numpy() for c in COLUMNS], axis=1).astype(np.int64))
+        order = np.argsort(keys)
+        values = some.column("logs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        spread = docs.sparkSession.sparkContext.broadcast((keys[order], values[order]))  # at_once probabilities, about
+
+        def run(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
+            (keys, values), letters = spread.value, _letters()
+            known: dict[str, int] = {}
+            table = np.zeros((0, size + 1), np.float32)
+            for batch in batches:
+                texts = batch.column("text").to_pylist()
+                sums = np.zeros((len(texts), size + 1))
+                for at in range(0, len(texts), 256):
+                    split = [(x or "").lower().split() for x in texts[at : at + 256]]
+                    new = [w for w in set().union(*split) if w not in known]
+                    if len(known) + len(new) > MEMO:
+                        known, table = {}, table[:0]
+                        new = list(set().union(*split))
+                    if new:
+                        codes, owner = windows(new, letters)
+                        wanted = window_hash(codes)
+                        place = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+                        here = np.flatnonzero(keys[place] == wanted) if len(keys) else place[:0]
+                        scores = values[place[here]]
+                        found = [np.bincount(owner[here], -scores[:, i], len(new)) for i in range(size)]
+                        found.append(np.bincount(owner, minlength=len(new)))
+                        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+                        table = np.concatenate([table, np.stack(found, axis=1).astype(np.float32)])
+                    for i, words in enumerate(split):
+                        if words:
+                            sums[at + i] = table[[known[w] for w in words]].sum(axis=0, dtype=np.float64)
+                losses = sums[:, :size].ravel() + batch.column("losses").flatten().to_numpy()
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(texts) * size + 1, size), pa.int32()), pa.array(losses))
+                names = [c for c in batch.schema.names if c not in ("losses", "events")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), flat, pa.array(sums[:, size].astype(np.int64))], names=[*names, "losses", "events"])
+
+        found = found.mapInArrow(run, schema)
+        if part + 1 < parts:
+            found = kept(found)  # one part at a time in a task's memory
+    return found.drop("text")
+
+
+def identify(docs: DataFrame, at_once: int = AT_ONCE, reject: float = 0.001) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, cross_entropy, accepted) for every row of (doc_id, text, lang).
 
     Documents whose crc32(doc_id) mod 4 is 2 are held out; of the others with a lang, remainders 1 and 3 are
@@ -245,14 +301,14 @@ def identify(docs: DataFrame, max_windows: int = MODEL_WINDOWS, reject: float =
     """
     fold = crc_text("doc_id") % 4
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), fold.cast("int").alias("fold"))
-    counted = kept(count_windows(rows.filter("lang IS NOT NULL AND fold IN (1, 3)").select("lang", "text")))
-    counts = counted.orderBy(F.desc("n"), "lang", "a", "b", "c", "d").limit(max_windows).toPandas()
+    learned = F.when(F.col("lang").isNotNull() & F.col("fold").isin(1, 3), F.col("lang"))
+    counted = kept(count_windows(rows.select(learned.alias("lang"), "text")))
+    languages = sorted(r[0] for r in counted.filter("lang IS NOT NULL").select("lang").distinct().collect())
     held = (F.col("fold") == 2).alias("held_out")
-    if not len(counts):
+    if not languages:
         return rows.select("doc_id", held, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(False).alias("accepted"))
-    model = Model(counts)
-    scored = kept(score_texts(rows, model))
-    names = F.array(*[F.lit(x) for x in model.languages])
+    scored = kept(score_texts(rows, estimate(counted, languages), len(languages), at_once))
+    names = F.array(*[F.lit(x) for x in languages])
     ce = F.transform("losses", lambda x: x / F.col("events"))
     best = F.array_min("ce")
     found = scored.filter("events > 0").withColumn("ce", ce).select("*", F.get(names, F.array_position("ce", best).cast("int") - 1).alias("lang_pred"), best.alias("cross_entropy"))
@@ -266,7 +322,7 @@ def identify(docs: DataFrame, max_windows: int = MODEL_WINDOWS, reject: float =
     fitted = known.agg(*losses).first()
     sharpness = min(zip((x if x is not None else 0.0 for x in fitted), SHARPNESS, strict=True))[1]
     limits = {r[0]: r[1] for r in known.groupBy("lang_pred").agg(F.expr(f"percentile_approx(cross_entropy, {1 - reject})")).collect()}
-    limit = F.get(F.array(*[F.lit(limits.get(x)).cast("double") for x in model.languages]), F.array_position(names, F.col("lang_pred")).cast("int") - 1)
+    limit = F.get(F.array(*[F.lit(limits.get(x)).cast("double") for x in languages]), F.array_position(names, F.col("lang_pred")).cast("int") - 1)
     judged = scored.withColumn("ce", F.when(F.col("events") > 0, ce)).withColumn("cross_entropy", F.array_min("ce"))
     judged = judged.withColumn("lang_pred", F.coalesce(F.get(names, F.array_position("ce", F.col("cross_entropy")).cast("int") - 1), F.lit("und")))
     score = F.coalesce(1 / partition(sharpness), F.lit(0.0))

@@ -144,3 +144,27 @@ def test_quality(spark, nothing, labels):
             assert r.kept == (i % 6 != 0 and i % 10 != 1), i
     assert classify(nothing, labels).count() == 0
     assert classify(docs, labels.limit(0)).count() == len(rows)
+
+
+def test_no_window_or_language_is_left_out(spark):
+    """A rare language next to a large one keeps its model, whatever fits at once; all windows have their exact estimates."""
+    import pandas as pd
+
+    from assayer.llm.language import COLUMNS, count_windows, estimate, score_texts
+
+    rng = random.Random(14)
+    rare = lambda: " ".join("".join(rng.choice("абвгдежз") for _ in range(5)) for _ in range(30))
+    rows = [(i, prose(rng, 200), "en", "s", 1) for i in range(60)] + [(100 + i, rare(), "ru", "s", 1) for i in range(24)]
+    docs = spark.createDataFrame(rows, DOCUMENT).repartition(3)
+    found = identify(docs, 4000).collect()
+    assert [r.lang_pred for r in sorted(found)] == ["en"] * 60 + ["ru"] * 24
+    counted = count_windows(docs.selectExpr("if(doc_id % 3 > 0, lang, null) AS lang", "text"))
+    logs = estimate(counted, ["en", "ru"])
+    table = counted.filter("lang IS NOT NULL").toPandas()
+    model = Model(pd.DataFrame(table))
+    got = logs.toPandas()
+    assert len(got) == counted.select(*COLUMNS).distinct().count()
+    assert np.allclose(np.stack(got["logs"]), model.score(got[list(COLUMNS)].to_numpy(np.int64)), atol=1e-4)
+    few, all_ = (score_texts(docs.select("doc_id", "text"), logs, 2, n).orderBy("doc_id").collect() for n in (4000, 10**6))
+    assert [(r.doc_id, r.events) for r in few] == [(r.doc_id, r.events) for r in all_]
+    assert np.allclose([r.losses for r in few], [r.losses for r in all_], rtol=1e-5)
