@@ -183,15 +183,16 @@ def expectations(texts: DataFrame, parameters: Parameters) -> tuple[np.ndarray,
 
 
 def train(texts: DataFrame, mass: np.ndarray, states: int, warm: int, rounds: int) -> Parameters:
-    """Parameters after `warm` iterations on a 1/32 of the texts, which only choose where to begin, and `rounds` on all."""
+    """Parameters after `warm` and then `rounds` iterations, each over all texts; where to begin if there are none."""
     prior = mass / mass.sum()
     rng = np.random.default_rng(5)
     start, move = np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     emit = prior[:, None] * rng.uniform(0.5, 1.5, (len(prior), states))
     parameters = (start, move, emit / emit.sum(axis=0))
-    some = kept(texts.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(32)) == 0).repartition(texts.sparkSession.sparkContext.defaultParallelism))
-    for frame in [some] * warm + [texts] * rounds:
-        first, moves, emissions, _ = expectations(frame, parameters)
+    for _ in range(warm + rounds):
+        first, moves, emissions, _ = expectations(texts, parameters)
+        if not first.sum():
+            break  # an update that saw no text would make all states alike for good
         start = (first + 1) / (first.sum() + states)
         move = (moves + 1) / (moves.sum(axis=1, keepdims=True) + states)
         # What is taken from each expected count goes to the classes by their share of the corpus, and so every class is possible.

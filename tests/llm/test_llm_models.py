@@ -168,3 +168,21 @@ def test_no_window_or_language_is_left_out(spark):
     few, all_ = (score_texts(docs.select("doc_id", "text"), logs, 2, n).orderBy("doc_id").collect() for n in (4000, 10**6))
     assert [(r.doc_id, r.events) for r in few] == [(r.doc_id, r.events) for r in all_]
     assert np.allclose([r.losses for r in few], [r.losses for r in all_], rtol=1e-5)
+
+
+def test_every_round_sees_all_learning_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from assayer.llm import hmm
+
+    sizes = []
+    real = hmm.expectations
+    monkeypatch.setattr(hmm, "expectations", lambda texts, parameters: sizes.append(texts.count()) or real(texts, parameters))
+    ids = spark.range(200).filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(32)) != 0).select(F.col("id").alias("doc_id"))
+    seq = [hmm.shrunk(np.array(x)) for x in ([0, 1, 0, 1, 0, 1], [2, 3, 2, 3, 2, 3])]
+    texts = ids.withColumn("seq", F.when(F.col("doc_id") % 2 == 0, F.lit(seq[0])).otherwise(F.lit(seq[1])))
+    _, _, emit = hmm.train(texts, np.ones(5), 2, 2, 1)
+    assert sizes == [texts.count()] * 3
+    assert abs(emit[:, 0] - emit[:, 1]).max() > 0.1  # no round without a text made the states alike
+    _, _, emit = hmm.train(texts.limit(0), np.ones(5), 2, 2, 1)
+    assert abs(emit[:, 0] - emit[:, 1]).max() > 0.01
