@@ -34,7 +34,7 @@ WEIGHTS = tuple(2**40 + 2 * i + 1 for i in range(ORDER))
 def _letters() -> np.ndarray:
     """For each code point whether it is a letter."""
     found = np.zeros(0x110000, bool)
-    found[[c for c in range(0x30000) if chr(c).isalpha()]] = True
+    found[[c for c in range(len(found)) if chr(c).isalpha()]] = True
     return found
 
 

@@ -186,3 +186,10 @@ def test_every_round_sees_all_learning_texts(spark, monkeypatch):
     assert abs(emit[:, 0] - emit[:, 1]).max() > 0.1  # no round without a text made the states alike
     _, _, emit = hmm.train(texts.limit(0), np.ones(5), 2, 2, 1)
     assert abs(emit[:, 0] - emit[:, 1]).max() > 0.01
+
+
+def test_letters_of_all_planes():
+    letters = _letters()
+    assert len(letters) == 0x110000 and all(letters[ord(c)] == c.isalpha() for c in "\U00030000\U0003134a\U00031350\U0002a700a1 \U0010ffff")
+    codes, owner = windows(["\U00030000\U00030001"], letters)
+    assert len(codes) == len(owner) == 3
