@@ -511,7 +511,7 @@ SELECT DISTINCT case_id, CASE case_id % 4 WHEN 0 THEN '"click"' WHEN 1 THEN '"vi
 FROM d_call WHERE case_id % 7 <> 3"""
 
 
-register_view("d_response", _response)
+register_view("d_run_response", _response)
 register_view("d_run_expectation", _run_expectation)
 
 RUN_VIEWS = [scoring.View("reciprocal_rank", "$", "$", "lines@1"), scoring.View("mentions", "$", "$", "lines@1")]
@@ -526,18 +526,18 @@ SELECT run, case_id, replicate, 0 AS view, 'reciprocal_rank' AS metric,
   CAST(CASE WHEN expectation IS NULL OR expectation = 'false' THEN NULL WHEN NOT has THEN 0.0 WHEN h1 THEN 1.0 WHEN h2 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS value,
   CASE WHEN expectation IS NULL OR NOT has THEN NULL WHEN h1 THEN concat('1. ', line1) WHEN h2 THEN concat('2. ', line2) END AS answer,
   CASE WHEN expectation IS NULL THEN 'no target' WHEN expectation = 'false' THEN 'nothing is expected to be found' WHEN NOT has THEN 'no answer' WHEN NOT h1 AND NOT h2 THEN 'not listed' END AS reason
-FROM (SELECT r.*, e.expectation, r.response IS NOT NULL AS has, {_hits('r.line1')} AS h1, {_hits('r.line2')} AS h2 FROM d_response r LEFT JOIN d_run_expectation e ON e.case_id = r.case_id) i
+FROM (SELECT r.*, e.expectation, r.response IS NOT NULL AS has, {_hits('r.line1')} AS h1, {_hits('r.line2')} AS h2 FROM d_run_response r LEFT JOIN d_run_expectation e ON e.case_id = r.case_id) i
 UNION ALL SELECT run, case_id, replicate, 1, 'mentions',
   CAST(CASE WHEN expectation IS NULL THEN NULL WHEN expectation <> 'false' AND has AND (h1 OR h2) THEN 1.0 ELSE 0.0 END AS DOUBLE),
   CASE WHEN expectation IS NULL OR NOT has THEN NULL WHEN expectation = 'false' OR h1 THEN line1 WHEN h2 THEN line2 END,
   CASE WHEN expectation IS NULL THEN 'no target' WHEN NOT has THEN 'no answer' WHEN expectation = 'false' THEN 'none expected' WHEN NOT h1 AND NOT h2 THEN 'not named' END
-FROM (SELECT r.*, e.expectation, r.response IS NOT NULL AS has, {_hits('r.line1')} AS h1, {_hits('r.line2')} AS h2 FROM d_response r LEFT JOIN d_run_expectation e ON e.case_id = r.case_id) i"""
+FROM (SELECT r.*, e.expectation, r.response IS NOT NULL AS has, {_hits('r.line1')} AS h1, {_hits('r.line2')} AS h2 FROM d_run_response r LEFT JOIN d_run_expectation e ON e.case_id = r.case_id) i"""
 
 
 @query("score_runs", f"SELECT *, '{{}}' AS params, '0.1.0' AS engine_version, '1' AS metric_version FROM ({_RUN_SCORES}) s")
 def score_runs(g: Given) -> DataFrame:
     """Runs to scores: response, answer, expectation, views, score items."""
-    items = g["d_response"].select("run", "case_id", "replicate", "response", "contract", "answer_tool")
+    items = g["d_run_response"].select("run", "case_id", "replicate", "response", "contract", "answer_tool")
     return scoring.score_runs(items, g["d_run_expectation"], RUN_VIEWS)
 
 

@@ -246,6 +246,8 @@ class Given:
 
 
 def register_view(name: str, build) -> None:
+    if name in VIEWS:
+        raise ValueError(f"two views named {name}")
     VIEWS[name] = build
 
 

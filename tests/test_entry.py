@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from assayer import plans
-from assayer.plans.tables import TABLES
+from assayer.plans.tables import TABLES, Given
 
 SMALL = "/root/testdata/sf0.001"
 # One or two of each kind; scripts/check_queries.py runs them all.
@@ -33,6 +33,12 @@ if os.environ.get("ASSAYER_ALL"):
     SAMPLE = list(plans.QUERIES)
 
 
+def test_every_plan_resolves(spark):
+    """Names and types of all queries, without running them."""
+    for name, build in plans.QUERIES.items():
+        assert build(Given.open(spark, SMALL)).columns, name
+
+
 def plain(value):
     return round(float(value), 6) if isinstance(value, float) else value
 
