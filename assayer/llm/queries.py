@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op10_benchmark_leaks
+from .divergence import op12_source_divergence
 from .hmm import op9_hidden_markov
 from .language import op6_character_language
 from .near_dup import op7_lsh_forest
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_prefix_suffixes,
         op9_hidden_markov,
         op10_benchmark_leaks,
+        op12_source_divergence,
     )
 }
 _WORDS = r"list_filter(regexp_split_to_array({}, '[ \t\n\x0b\f\r]+'), lambda x: x <> '')"
@@ -55,4 +57,22 @@ r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' O
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(stay, '')) AS kept_sha256
 FROM w LEFT JOIN r ON r.doc_id = w.doc_id"""
 
-ORACLES: dict[str, str] = {"op7_lsh_forest": _NEAR_DUPLICATES, "op8_prefix_suffixes": _REPEATS}
+_DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+e AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM e GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total) AS whole FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT e.lang, e.source, e.term, count(*) AS n FROM e JOIN k ON k.lang = e.lang AND k.term = e.term GROUP BY e.lang, e.source, e.term),
+s AS (SELECT lang, source, sum(n) AS own FROM n GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n,
+    1 + CAST(1000000000 AS HUGEINT) * (coalesce(n.n, 0) + 2) // (coalesce(s.own, 0) + 2 * v.v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (k.total + 2) // (v.whole + 2 * v.v) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= 10"""
+
+ORACLES: dict[str, str] = {"op12_source_divergence": _DIVERGENCE, "op7_lsh_forest": _NEAR_DUPLICATES, "op8_prefix_suffixes": _REPEATS}
