@@ -59,6 +59,26 @@ def lowered(json_text: Column) -> Column:
     return F.when(json_text.contains("\\u00"), found).otherwise(json_text)
 
 
+def members(text: str) -> dict[str, str]:
+    """An object's members as they are written, the last of a name; nothing where the text is no object."""
+    space, string, value = json.decoder.WHITESPACE.match, json.decoder.scanstring, json.JSONDecoder().raw_decode
+    found: dict[str, str] = {}
+    at = space(text, 0).end()
+    if text[at : at + 1] != "{":
+        return found
+    at = space(text, at + 1).end()
+    while text[at : at + 1] == '"':
+        name, at = string(text, at + 1)
+        begin = space(text, space(text, at).end() + 1).end()
+        _, end = value(text, begin)
+        found[name] = text[begin:end]
+        at = space(text, end).end()
+        if text[at : at + 1] != ",":
+            break
+        at = space(text, at + 1).end()
+    return found
+
+
 def quoted(text: Column) -> Column:
     """A string as a JSON string."""
     return F.when(text.isNotNull(), F.regexp_extract(lowered(F.to_json(F.struct(text.alias("s")))), r'(?s)^\{"s":(.*)\}$', 1))

@@ -82,7 +82,7 @@ def test_calls_are_assembled_as_they_stream(spark, tmp_path):
     assert sorted(step()) == ["b"]
     batch(("a", 2, chunk("!", "stop")), ("a", 0, chunk("hel")), ("w", 1, chunk(" ", ids=5)))
     got = step()
-    assert (got["a"].content, got["a"].finish_reason, got["a"].n_chunks) == ("hello!", "stop", 3)
+    assert (got["a"].content, got["a"].finish_reason, got["a"].n_chunks) == ("hello!", '"stop"', 3)
     assert got["w"].error == "stopped: nothing but whitespace for 11 tokens"
     batch(("lost", 0, chunk("half")))
     step()
@@ -92,6 +92,71 @@ def test_calls_are_assembled_as_they_stream(spark, tmp_path):
     assert sorted(got) == ["a", "b", "late", "lost", "w"]
 
 
+def odd_calls(rng, calls):
+    """Calls with whatever chunks can hold, and the chunks a server may send."""
+    found = {}
+    for call in range(calls):
+        some = [{"id": f"c{call}", "created": 1700000000 + call, "model": "m", "prompt_token_ids": [1, call], "choices": [{"index": 0, "delta": {"role": "assistant", "content": ""}}]}]
+        for n in range(rng.randint(0, 12)):
+            delta = {}
+            if rng.random() < 0.8:
+                delta["content"] = rng.choice(["a ", 'q"\\', "é\n", ""])
+            if rng.random() < 0.3:
+                delta["reasoning"] = f"r{n}"
+            if rng.random() < 0.4:
+                function = {"name": f"f{n}", "arguments": "{"} if rng.random() < 0.5 else {"arguments": f"{n}}}"}
+                delta["tool_calls"] = [{"index": rng.randint(0, 2), "function": function, **({"id": f"t{n}", "type": "function"} if rng.random() < 0.5 else {})}]
+            part = {"index": 0, "delta": delta, **({"token_ids": [n] * rng.randint(0, 2)} if rng.random() < 0.5 else {})}
+            some.append({"id": "other", "model": None, "choices": [{"index": 1, "delta": {"content": "not ours"}}, part]})
+        some.append({"choices": [{"index": 0, "delta": {}, "finish_reason": "stop", "stop_reason": 7}], "system_fingerprint": "fp"})
+        some.append({"choices": [], "usage": {"z": 1, "a": {"y": 1e-7, "x": None}}})
+        found[f"call{call}"] = [json.dumps(c) for c in some] + [chunks.END]
+    return found
+
+
+def test_batch_and_stream_agree_and_nothing_stays(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    calls = odd_calls(rng, 12)
+    rows = [(call, seq, text) for call, texts in calls.items() for seq, text in enumerate(texts)]
+    rng.shuffle(rows)
+    schema = "call_id string, seq bigint, chunk string"
+    want = {r.call_id: r.asDict() for r in chunks.assemble(spark.createDataFrame(rows, schema)).collect()}
+    assert '"usage":{"z": 1, "a": {"y": 1e-07, "x": null}}' in want["call0"]["response"]
+    source = str(tmp_path / "in")
+
+    def step(some, hour):
+        at = F.to_timestamp(F.lit(f"2024-01-01 {hour:02}:00:00"))
+        spark.createDataFrame(some, schema).withColumn("at", at).coalesce(1).write.mode("append").json(source)
+        stream = spark.readStream.schema(f"{schema}, at timestamp").json(source)
+        query = chunks.assemble_stream(stream, until_end=True).writeStream.format("json").outputMode("append").option("path", str(tmp_path / "out"))
+        query = query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    third = len(rows) // 3
+    step(rows[:third], 0)
+    step(rows[third : 2 * third], 0)
+    # Repeats of what has come change nothing.
+    held = step(rows[2 * third :] + rows[:5], 0)
+    got = {r.call_id: r.asDict() for r in spark.read.schema(chunks.ASSEMBLED).json(str(tmp_path / "out")).collect()}
+    assert {k: v.pop("n_chunks") for k, v in got.items()} == {call: len(texts) for call, texts in calls.items()}
+    assert {v.pop("error") for v in got.values()} == {None}
+    assert got == want
+    # Only that each call is done is known, and its timer; later that is forgotten too.
+    assert 0 < held <= 4 * len(calls)
+    step([("other", 0, "{}")], 5)
+    assert step([("other", 0, "{}")], 10) < 12
+
+
+def test_members_as_written():
+    from assayer.functions.jsontext import members
+
+    assert members(' {"b": 1e-7 , "a" :{"z": [1, "}"]},"é\\n":null,"b":2} ') == {"b": "2", "a": '{"z": [1, "}"]}', "é\n": "null"}
+    assert members("{}") == members("[1]") == members(chunks.END) == {}
+
+
 def test_rows_land_once(spark, tmp_path):
     schema = "run int, item int, at timestamp, event string"
     source, target = str(tmp_path / "in"), str(tmp_path / "ledger")
