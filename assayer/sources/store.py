@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..operators import windows
 from ..session import checkpoint_dir
+from .ledger import Conflict, Ledger, conflicts
 
+__all__ = ["Conflict", "add", "append", "conflicts", "corrupt", "inconsistent", "read_log", "to_add"]
 
-class Conflict(ValueError):
-    pass
+# Folders of a kind's components by digest.
+COMPONENT_BUCKETS = 64
 
 
 def to_add(batch: DataFrame, stored: DataFrame, key: str = "digest") -> DataFrame:
@@ -20,35 +21,14 @@ def to_add(batch: DataFrame, stored: DataFrame, key: str = "digest") -> DataFram
     return batch.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
 
 
-def stored(batch: DataFrame, path: str) -> DataFrame:
-    """What a path holds; nothing where nothing has been written yet."""
-    try:
-        return batch.sparkSession.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return batch.limit(0)
-
-
 def add(batch: DataFrame, path: str) -> None:
-    """Append what is new of a batch to a component table, partitioned by kind."""
-    to_add(batch, stored(batch, path)).write.mode("append").partitionBy("kind").parquet(path)
-
-
-def conflicts(batch: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys a batch can't append: there twice, or stored already."""
-    counts = batch.groupBy(*keys).agg(F.count("*").alias("n"))
-    twice = counts.where("n > 1").select(*keys, F.lit("twice in the batch").alias("reason"))
-    known = counts.join(stored.select(*keys), keys, "left_semi").select(*keys, F.lit("already stored").alias("reason"))
-    return twice.unionByName(known)
+    """Append what is new of a batch to a component table, partitioned by kind and by the digests' hashes."""
+    Ledger(path, ("digest",), ("kind",), logs=COMPONENT_BUCKETS, parts=1).append_new(batch)
 
 
 def append(batch: DataFrame, path: str, keys: list[str], partition_by: str = "row_type") -> None:
     """Append ledger rows; a key that is doubled or stored already fails the whole batch."""
-    held = stored(batch, path)
-    if (bad := conflicts(batch, held, keys).head(1)):
-        raise Conflict(f"{bad[0].reason}: {bad[0].asDict()}")
-    batch.write.mode("append").partitionBy(partition_by).parquet(path)
+    Ledger(path, tuple(keys), (partition_by,)).append(batch)
 
 
 def corrupt(components: DataFrame) -> DataFrame:

@@ -6,24 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.store import stored
+from ..sources.ledger import Ledger
 
 
-def append_once(
-    rows: DataFrame, path: str, checkpoint: str, keys: list[str], partition_by: str = "run"
-) -> StreamingQuery:
-    """Append a stream of rows, each key once, however late a row is.
+def append_once(rows: DataFrame, path: str, checkpoint: str, keys: list[str], parts: int = 16) -> StreamingQuery:
+    """Append a stream of rows to a bucketed ledger, each key once, however late a row is.
 
-    No watermark stands before the ledger, so no row is lost. A batch's repeats are dropped, and by key
-    what the ledger has already, so a replayed batch or a rerun adds nothing.
+    `keys` begin with the column that names a row's log. No watermark stands before the ledger, so no row is lost.
+    A batch's repeats are dropped, and by key what the buckets it touches have already, so a rerun adds nothing. A
+    replayed batch is known by its number under the stream's id, which stays with the checkpoint.
     """
+    ledger = Ledger(path, tuple(keys), parts=parts)
 
-    def write(batch: DataFrame, _: int) -> None:
-        known = stored(batch, path)
-        touched = batch.select(partition_by).distinct()
-        held = known.join(touched, partition_by, "left_semi").select(*keys)
-        new = batch.dropDuplicates(keys).join(held, keys, "left_anti")
-        new.write.mode("append").partitionBy(partition_by).parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        ledger.append_new(batch, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"), number)
 
     return (
         rows.writeStream.foreachBatch(write)

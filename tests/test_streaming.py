@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.sources import bundle, store, texts
+from assayer.sources.ledger import Conflict, Ledger
 from assayer.streaming import chunks, events, ingest
 
 
@@ -221,6 +222,45 @@ def test_components_are_added_once_and_rows_never_overwritten(spark, tmp_path):
     assert spark.read.parquet(log).count() == 2
 
 
+def test_an_append_reads_the_buckets_it_touches(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    ledger = Ledger(path, ("run", "item"), logs=8, parts=4)
+    rows = spark.range(400).selectExpr("id % 20 AS run", "id AS item", "concat('v', id) AS value")
+    assert ledger.append_new(rows, "stream", 1) > 8
+    batch = rows.where("run = 3 AND item < 100").unionByName(spark.sql("SELECT 3L AS run, 1000L AS item, 'new' AS value"))
+    plan = ledger.held(batch)._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.split(", PushedFilters")[0].split("PartitionFilters: ")[1:]]
+    assert len(filters) == 1 and "bucket" in filters[0] and "IN" in filters[0]
+    # A log is in 4 of 32 buckets, and only these files are read.
+    assert ledger.held(batch).select(F.col("_metadata.file_path")).distinct().count() <= 4
+    assert ledger.append_new(batch, "stream", 2) <= 4
+    assert spark.read.parquet(path).count() == 401
+    # A replay is known by its number without a look at the rows, and by its keys where the note is missing.
+    assert ledger.append_new(batch, "stream", 2) == 0
+    assert ledger.append_new(batch, "other", 2) > 0
+    assert spark.read.parquet(path).count() == 401
+    # The same keys in another type are the same.
+    assert ledger.append_new(batch.withColumn("run", F.col("run").cast("int"))) > 0
+    assert ledger.rows(spark).count() == 401 and ledger.rows(spark).columns == ["run", "item", "value"]
+    with pytest.raises(ValueError, match="laid out"):
+        Ledger(path, ("run", "item"), logs=8, parts=2).append(batch)
+    with pytest.raises(Conflict, match="already stored"):
+        ledger.append(batch)
+
+
+def test_one_log_is_spread_and_nulls_have_a_place(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    ledger = Ledger(path, ("run", "item"), logs=4, parts=8)
+    ledger.append(spark.range(1000).selectExpr("1L AS run", "id AS item"))
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy("bucket").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 250
+    odd = spark.sql("SELECT CAST(NULL AS BIGINT) AS run, 1L AS item UNION ALL SELECT 2L, CAST(NULL AS BIGINT)")
+    ledger.append_new(odd)
+    ledger.append_new(odd)
+    ledger.append_new(odd.limit(0))
+    assert spark.read.parquet(path).count() == 1002
+
+
 def test_a_bundle_goes_out_and_comes_back(spark, tmp_path):
     import hashlib
 
