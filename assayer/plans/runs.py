@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ledger, windows
-from ..operators.findings import summary, union
 from ..sources import store
 from .registry import query
 from .tables import Dialect, Given, register_view
@@ -184,26 +183,6 @@ for _name, _build in FINDERS.items():
     query(_name, F_SQL[_name])(_build)
 
 
-def _as_cte(sql: str) -> str:
-    return f"({sql})"
-
-
-_ALL = " UNION ALL ".join(f"SELECT * FROM {_as_cte(sql)} x{i}" for i, sql in enumerate(F_SQL.values()))
-
-
-@query("all_findings", _ALL)
-def all_findings(g: Given) -> DataFrame:
-    return union(*[find(g) for find in FINDERS.values()])
-
-
-@query(
-    "findings_summary",
-    f"SELECT code, level, count(*) AS n, count(DISTINCT log_id) AS n_logs FROM ({_ALL}) f GROUP BY code, level",
-)
-def findings_summary(g: Given) -> DataFrame:
-    return summary(all_findings(g))
-
-
 @query(
     "stray_items",
     f"""
