@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ledger, windows
+from ..operators import ledger, seals, windows
 from ..sources import store
 from .registry import query
 from .tables import Dialect, Given, register_view
@@ -429,15 +429,81 @@ def seal_mismatch(g: Given) -> DataFrame:
     return ledger.seal_mismatches(finished, ledger.seals(changed, g["d_started"]))
 
 
+def _log_row(d: Dialect) -> str:
+    """The canonical form of every row of a log but its started one, in parts."""
+    return """
+SELECT log_id, 'items' AS part, canonical FROM d_row
+UNION ALL SELECT run, 'canaries', concat('{"canary":', CAST(canary AS STRING), ',"finished":', CAST(finished_us AS STRING), ',"phase":"', phase, '","started":', CAST(started_us AS STRING), ',"v":1}') FROM d_canary"""
+
+
+# Rows as they are after some have been tampered with: items and a canary changed, one row gone, one there twice.
+def _log_row_now(d: Dialect) -> str:
+    return """
+SELECT log_id, part, CASE WHEN part = 'items' AND canonical LIKE '%"case":"11","finished":%' AND log_id % 4 = 1 THEN replace(canonical, '"v":1', '"v": 1')
+  WHEN part = 'canaries' AND canonical LIKE '{"canary":0,%"phase":"end"%' AND log_id % 3 = 2 THEN replace(canonical, '"end"', '"END"') ELSE canonical END AS canonical
+FROM d_log_row WHERE NOT (part = 'items' AND log_id % 5 = 3 AND canonical LIKE '%"case":"7",%')
+UNION ALL SELECT log_id, part, canonical FROM d_log_row WHERE log_id % 5 = 4 AND part = 'items' AND canonical LIKE '%"case":"3",%'"""
+
+
+register_view("d_log_row", _log_row)
+register_view("d_log_row_now", _log_row_now)
+
+_PART_SEAL = """
+n0 AS (SELECT log_id, part, concat(sha256(canonical), ':', CAST(count(*) AS STRING)) AS node FROM {rows} r GROUP BY log_id, part, sha256(canonical)),
+n1 AS (SELECT log_id, part, concat(left(node, 8), ':', sha256(string_agg(node, ',' ORDER BY node))) AS node FROM n0 GROUP BY log_id, part, left(node, 8)),
+n2 AS (SELECT log_id, part, concat(left(node, 4), ':', sha256(string_agg(node, ',' ORDER BY node))) AS node FROM n1 GROUP BY log_id, part, left(node, 4)),
+b AS (SELECT log_id, part, concat('"', sha256(string_agg(node, ',' ORDER BY node)), '"') AS body FROM n2 GROUP BY log_id, part)"""
+
+
+@query(
+    "log_seal",
+    f"""
+WITH {_PART_SEAL.strip().format(rows="d_log_row")}
+SELECT s.log_id, 'tree@2' AS version, concat('sha256:', sha256(concat('{{"canaries":[', coalesce(c.body, ''), '],"items":[', coalesce(i.body, ''), '],"started":', started, '}}'))) AS seal
+FROM d_started s LEFT JOIN b i ON i.log_id = s.log_id AND i.part = 'items' LEFT JOIN b c ON c.log_id = s.log_id AND c.part = 'canaries'""",
+)
+def log_seal(g: Given) -> DataFrame:
+    """Seals over items, canary calls and the started row."""
+    return seals.seals(seals.nodes(g["d_log_row"]), g["d_started"], ["items", "canaries"])
+
+
+@query(
+    "seal_changes",
+    """
+WITH w AS (SELECT log_id, part, sha256(canonical) AS digest, count(*) AS was FROM d_log_row GROUP BY ALL), n AS (SELECT log_id, part, sha256(canonical) AS digest, count(*) AS now FROM d_log_row_now GROUP BY ALL)
+SELECT coalesce(w.log_id, n.log_id) AS log_id, coalesce(w.part, n.part) AS part, coalesce(w.digest, n.digest) AS digest, coalesce(was, 0) AS was, coalesce(now, 0) AS now
+FROM w FULL JOIN n ON n.log_id = w.log_id AND n.part = w.part AND n.digest = w.digest WHERE was IS DISTINCT FROM now""",
+)
+def seal_changes(g: Given) -> DataFrame:
+    """Which rows changed since the logs were sealed, found from the trees' roots down."""
+    trees = seals.nodes(g["d_log_row"]).withColumn("bucket", seals.bucket())
+    return seals.changes(trees, g["d_log_row_now"])
+
+
+@query(
+    "log_seal_mismatch",
+    """
+WITH w AS (SELECT log_id, part, canonical, count(*) AS n FROM d_log_row GROUP BY ALL), n AS (SELECT log_id, part, canonical, count(*) AS n FROM d_log_row_now GROUP BY ALL)
+SELECT DISTINCT 'warning' AS level, 'ledger.seal' AS code, 'rows changed after the log was sealed' AS message, CAST(coalesce(w.log_id, n.log_id) AS STRING) AS subject, CAST(coalesce(w.log_id, n.log_id) AS STRING) AS log_id
+FROM w FULL JOIN n ON n.log_id = w.log_id AND n.part = w.part AND n.canonical = w.canonical WHERE w.n IS DISTINCT FROM n.n""",
+)
+def log_seal_mismatch(g: Given) -> DataFrame:
+    """Logs that no longer match their seals over items and canary calls."""
+    now = seals.seals(seals.nodes(g["d_log_row_now"]), g["d_started"], ["items", "canaries"])
+    return ledger.seal_mismatches(log_seal(g).select("log_id", "seal"), now)
+
+
 @query(
     "run_log",
     """
-WITH r AS (SELECT log_id, 0 AS part, concat('started ', started) AS line FROM d_started UNION ALL SELECT log_id, 1, canonical FROM d_row)
+WITH r AS (SELECT log_id, 0 AS part, concat('started ', started) AS line FROM d_started UNION ALL SELECT log_id, CASE part WHEN 'items' THEN 1 ELSE 2 END, canonical FROM d_log_row)
 SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY part, line) - 1 AS position, line FROM r""",
 )
 def run_log(g: Given) -> DataFrame:
-    """Logs read back: the started row first, then the item rows in canonical order."""
-    return store.read_log(g["d_started"].select("log_id", "started"), g["d_row"].select("log_id", "canonical"))
+    """Logs read back: the started row first, then the item rows and the canary rows in canonical order."""
+    rows = g["d_log_row"]
+    parts = [rows.where(F.col("part") == p).select("log_id", "canonical") for p in ("items", "canaries")]
+    return store.read_log(g["d_started"].select("log_id", "started"), *parts)
 
 
 # ------------------------------------------------------------------------------ whitespace

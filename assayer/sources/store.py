@@ -52,16 +52,16 @@ def inconsistent(rows: DataFrame, payload: str, columns: dict[str, str]) -> Data
     return rows.withColumn("column", F.explode(found))
 
 
-def read_log(started: DataFrame, items: DataFrame) -> DataFrame:
-    """Logs read back, (log_id, position, line): the started row first, then the items in canonical order.
+def read_log(started: DataFrame, *parts: DataFrame) -> DataFrame:
+    """Logs read back, (log_id, position, line): the started row first, then each part's rows in canonical order.
 
     All rows are range partitioned by log and line, which cuts a log of any size into chunks of about
     equal depth along its order; the cut is kept in the checkpoint folder, so that numbers given by it
     stand when a partition is computed again.
     """
-    rows = started.select("log_id", F.concat(F.lit("0started "), "started").alias("line")).unionByName(
-        items.select("log_id", F.concat(F.lit("1"), "canonical").alias("line"))
-    )
+    rows = started.select("log_id", F.concat(F.lit("0started "), "started").alias("line"))
+    for place, part in enumerate(parts, 1):
+        rows = rows.unionByName(part.select("log_id", F.concat(F.lit(str(place)), "canonical").alias("line")))
     checkpoint_dir(rows.sparkSession)
     cut = rows.repartitionByRange("log_id", "line").withColumn("_cut", F.spark_partition_id()).checkpoint()
     placed = windows.numbered(cut, ["log_id"], F.col("_cut"), ["line"], "position")

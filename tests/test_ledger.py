@@ -138,6 +138,59 @@ def test_seals_of_every_size_are_trees(spark, n):
         assert seal(spark, [*rows[1:], rows[0] + " "]).seal != found.seal
 
 
+def test_a_changed_row_is_found_from_the_root_down(spark, tmp_path):
+    from assayer.operators import seals
+
+    rows = [(log, part, f'{{"log":{log},"n":{n}}}') for log in range(30) for part, size in (("items", 40), ("canaries", 4)) for n in range(size)]
+    schema = "log_id int, part string, canonical string"
+    before = spark.createDataFrame(rows, schema)
+    path = str(tmp_path / "trees")
+    seals.store(seals.nodes(before), path)
+    started = spark.createDataFrame([(log, "{}") for log in range(31)], "log_id int, started string")
+    sealed = {r.log_id: r.seal for r in seals.seals(seals.stored(spark, path), started, ["items", "canaries"]).collect()}
+    assert len(sealed) == 31
+    changed = [(7, "canaries", "changed") if r == (7, "canaries", '{"log":7,"n":2}') else r for r in rows if r != (9, "items", '{"log":9,"n":0}')]
+    changed += [(11, "items", '{"log":11,"n":5}'), (40, "items", "new")]
+    now = spark.createDataFrame(changed, schema)
+    again = {r.log_id: r.seal for r in seals.seals(seals.nodes(now), started, ["items", "canaries"]).collect()}
+    assert {log for log in sealed if sealed[log] != again[log]} == {7, 9, 11}
+    trees = seals.stored(spark, path)
+    found = seals.changes(trees, now)
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    assert sorted(map(tuple, found.collect())) == sorted([
+        (7, "canaries", digest('{"log":7,"n":2}'), 1, 0), (7, "canaries", digest("changed"), 0, 1), (9, "items", digest('{"log":9,"n":0}'), 1, 0),
+        (11, "items", digest('{"log":11,"n":5}'), 1, 2), (40, "items", digest("new"), 0, 1),
+    ])
+    texts = {(r.log_id, r.message, r.subject) for r in seals.named(found, now).collect()}
+    assert ("7", "a row came after the log was sealed", "canaries changed") in texts
+    assert ("11", "a row is there 2 times, 1 when the log was sealed", 'items {"log":11,"n":5}') in texts
+    assert seals.changes(trees, before).count() == 0
+
+
+def test_only_subtrees_that_differ_are_read(spark, tmp_path, monkeypatch):
+    from assayer.operators import seals
+
+    rows = [(log, "items", f"{log}:{n}") for log in range(200) for n in range(5)]
+    before = spark.createDataFrame(rows, "log_id int, part string, canonical string")
+    path = str(tmp_path / "trees")
+    seals.store(seals.nodes(before), path)
+    read = []
+    whole = seals._differing
+
+    def watched(was, now):
+        read.append(was.select(F.col("*"), F.lit(1)).inputFiles() if not read else plan_of(was))
+        return whole(was, now)
+
+    monkeypatch.setattr(seals, "_differing", watched)
+    now = before.withColumn("canonical", F.when(F.col("canonical") == "3:2", "3:two").otherwise(F.col("canonical")))
+    assert seals.changes(seals.stored(spark, path), now).count() == 2
+    assert len(read) == 4
+    for plan, digits in zip(read[1:], (4, 8, 64), strict=True):
+        filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", plan, re.S)[1]
+        # The level and the one bucket of the log that differs.
+        assert f"(digits#" in filters and f"= {digits})" in filters and re.search(r"\(bucket#\d+ = \d+\)", filters)
+
+
 # ---------------------------------------------------------------------- plans of hot runs
 
 
