@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from . import windows
-from .catalog import latest
+from ..session import checkpoint_dir
+from . import graph, windows
+from .catalog import behind, latest
+from .catalog import heads as catalog_heads
 from .findings import finding, message
 
 VIGNETTE = ["source", "source_id", "hex"]
@@ -143,6 +145,65 @@ def repair_plan(repairs: DataFrame, cases: DataFrame, appendices: DataFrame) ->
     )
 
 
+def refused(repairs: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(family, reason): repairs that change both or neither of id and content, or want what another family has."""
+    one = (F.col("source_id") != F.col("new_source_id")) != (F.col("hex") != F.col("new_hex"))
+    wanted = repairs.where(one).select(
+        F.col("family").alias("key"), "source", F.col("new_source_id").alias("source_id"), F.col("new_hex").alias("hex"), F.col("family").alias("but")
+    )
+    held = holders(bindings, wanted).join(wanted.select("key", "source_id"), "key")
+    taken = F.when(F.col("same_id"), F.concat(F.lit("the id '"), "source_id", F.lit("'"))).otherwise("that content")
+    return repairs.where(~one).select("family", F.lit("a repair changes exactly one of the id or the fingerprint").alias("reason")).unionByName(
+        held.select(F.col("key").alias("family"), message("family ", held["family"], " already has ", taken).alias("reason"))
+    )
+
+
+def repairs_in_full(
+    repairs: DataFrame, bindings: DataFrame, cases: DataFrame, appendices: DataFrame, expectations: DataFrame, heads: DataFrame
+) -> DataFrame:
+    """Everything that moving families to new vignettes does: (family, kind, digest, new_digest, thread, reason).
+
+    `repairs`, `cases` as for `repair_plan`; `appendices`: digest, VIGNETTE, text; `expectations`: digest, case, canonical;
+    `heads`: thread, digest. Refused families have a reason and no more. The appendices that bound cases hold, and
+    those bound to the old vignette that head a thread, are bound anew; cases are rebuilt on them; on a rename the
+    expectations of such cases that head a thread are keyed anew. Heads move to what became of them.
+    """
+    checkpoint_dir(repairs.sparkSession)
+    no = refused(repairs, bindings).checkpoint()
+    moving = repairs.join(no, "family", "left_anti").select("family", *VIGNETTE, "new_source_id", "new_hex")
+    bound = cases.join(moving, VIGNETTE).checkpoint()
+    held = bound.select("family", "source", "new_source_id", "new_hex", F.explode("appendices").alias("digest"))
+    texts = appendices.select("digest", "text")
+    heading = appendices.join(heads.select("digest"), "digest", "left_semi").join(moving, VIGNETTE)
+    rebound = held.join(texts, "digest").unionByName(heading.select("family", "source", "new_source_id", "new_hex", "digest", "text")).dropDuplicates(["digest"])
+    start = rebound.select("family", "digest", F.lit("appendix").alias("kind"), appendix_canonical("text", "source", "new_source_id", "new_hex").alias("canonical")).unionByName(
+        bound.select("family", "digest", F.lit("case").alias("kind"), case_canonical("source", "new_source_id", "new_hex", "appendices").alias("canonical"))
+    )
+    renamed = bound.where(F.col("source_id") != F.col("new_source_id")).select("family", F.col("digest").alias("case"))
+    keyed = expectations.join(heads.select("digest"), "digest", "left_semi").join(renamed, "case")
+    start, keyed = start.checkpoint(), keyed.checkpoint()
+    refs = bound.select(F.col("digest").alias("src"), F.explode("appendices").alias("dst")).unionByName(keyed.select(F.col("digest").alias("src"), F.col("case").alias("dst")))
+    kinds = start.select("family", "digest", "kind").unionByName(keyed.select("family", "digest", F.lit("expectation").alias("kind")))
+    made = graph.rewrite(start.select("digest", "canonical"), keyed.select("digest", "canonical"), refs).join(kinds, "digest")
+    none = F.lit(None).cast("string")
+    threads = heads.select(F.col("thread").cast("string").alias("thread"), "digest")
+    bound_heads = made.where("kind = 'expectation'").unionByName(made.where("kind = 'appendix'").join(heading.select("digest"), "digest", "left_semi"))
+    moves = bound_heads.join(threads, "digest").select("family", F.lit("move").alias("kind"), "digest", "new_digest", "thread", none.alias("reason"))
+    rows = made.select("family", "kind", "digest", "new_digest", none.alias("thread"), none.alias("reason"))
+    return rows.unionByName(moves).unionByName(no.select("family", F.lit("refused").alias("kind"), none.alias("digest"), none.alias("new_digest"), none.alias("thread"), "reason"))
+
+
+def replaced(cases: DataFrame, appendices: DataFrame) -> DataFrame:
+    """(digest, replacement): cases (digest, source, now_source_id, now_hex, appendices) as they are on another vignette."""
+    held = cases.select("digest", "source", "now_source_id", "now_hex", F.posexplode("appendices").alias("pos", "appendix"))
+    texts = appendices.select(F.col("digest").alias("appendix"), "text")
+    made = hashing.digest(appendix_canonical("text", "source", "now_source_id", "now_hex"))
+    placed = held.join(texts, "appendix").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("pos", made.alias("new")))).alias("placed"))
+    joined = cases.drop("appendices").join(placed.select("digest", F.transform("placed", lambda p: p["new"]).alias("appendices")), "digest", "left")
+    joined = joined.withColumn("appendices", F.coalesce("appendices", F.array().cast("array<string>")))
+    return joined.select("digest", hashing.digest(case_canonical("source", "now_source_id", "now_hex", "appendices")).alias("replacement"))
+
+
 def stale_cases(refs: DataFrame, cases: DataFrame, bindings: DataFrame, deleted: DataFrame) -> DataFrame:
     """References (path, digest) to cases whose family has a newer vignette; deleted families are passed over."""
     now = current(bindings).select("family", *[F.col(c).alias(f"now_{c}") for c in VIGNETTE], F.col("id").alias("binding"))
@@ -153,6 +214,34 @@ def stale_cases(refs: DataFrame, cases: DataFrame, bindings: DataFrame, deleted:
     return refs.join(placed.where(~same), "digest").select("path", "digest", "family", "binding", "now_source_id", "now_hex")
 
 
+def behind_of(
+    edits: DataFrame, entries: DataFrame, refs: DataFrame, recipes: DataFrame, cases: DataFrame, appendices: DataFrame,
+    bindings: DataFrame, deleted: DataFrame,
+) -> DataFrame:
+    """What threads' heads hold that has moved on: (root, path, digest, thread, head, head_digest, binding, replacement).
+
+    A head holds what its component refers to (`refs`: src, path, dst), what its recipe does (`recipes`: compilation, path,
+    dst), and what the cases among these do. One row is for each thread that moved past a digest, and one for each
+    case whose family, if not `deleted`, has a newer vignette: the binding and the case as it is on that.
+    """
+    last = catalog_heads(edits).select(F.col("thread").alias("root"), "digest", "compilation")
+    own = last.join(refs.withColumnRenamed("src", "digest"), "digest").select("root", "path", F.col("dst").alias("digest"))
+    made = last.where("compilation IS NOT NULL").join(recipes, "compilation").select("root", F.concat(F.lit("/recipe"), "path").alias("path"), F.col("dst").alias("digest"))
+    held = graph.paths(own.unionByName(made), refs, cases)
+    moved = behind(held.withColumnRenamed("root", "src"), edits, entries).withColumnRenamed("src", "root")
+    # A case that is held in many places is looked up once.
+    named = held.select("digest").distinct().withColumn("path", F.lit(""))
+    stale = stale_cases(named, cases, bindings, deleted).select("digest", "binding", "now_source_id", "now_hex")
+    anew = replaced(cases.select("digest", "source", "appendices").join(stale, "digest"), appendices)
+    cases_behind = held.join(stale.select("digest", "binding").join(anew, "digest"), "digest")
+    none = lambda kind: F.lit(None).cast(kind)
+    return moved.select("root", "path", "digest", "thread", "head", "head_digest", none("bigint").alias("binding"), none("string").alias("replacement")).unionByName(
+        cases_behind.select(
+            "root", "path", "digest", none("bigint").alias("thread"), none("bigint").alias("head"), none("string").alias("head_digest"), "binding", "replacement"
+        )
+    )
+
+
 def case_titles(cases: DataFrame, bindings: DataFrame, named: DataFrame) -> DataFrame:
     """A case's title: its family's name or current vignette, marked where the case is an earlier one."""
     now = current(bindings).select("family", *[F.col(c).alias(f"now_{c}") for c in VIGNETTE])

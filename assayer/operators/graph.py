@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from ..session import checkpoint_dir
 from .findings import finding, message, union
 
@@ -32,6 +33,49 @@ def closure(roots: DataFrame, refs: DataFrame, src: str = "src", dst: str = "dst
     return seen
 
 
+def paths(roots: DataFrame, refs: DataFrame, through: DataFrame, depth: int = 1) -> DataFrame:
+    """(root, path, digest): what roots (root, path, digest) hold, and what that holds in turn.
+
+    A reference is followed where it leads to one of `through` (digest), `depth` times; each keeps the path it was
+    reached by, so a digest reached twice is there twice. The bound keeps the plan's size fixed.
+    """
+    edges = refs.select(F.col("src").alias("digest"), F.col("path").alias("_path"), F.col("dst").alias("_dst"))
+    found = frontier = roots.select("root", "path", "digest")
+    for _ in range(depth):
+        onward = frontier.join(through.select("digest").distinct(), "digest", "left_semi").join(edges, "digest")
+        frontier = onward.select("root", F.concat("path", "_path").alias("path"), F.col("_dst").alias("digest"))
+        found = found.unionByName(frontier)
+    return found
+
+
+def rewrite(start: DataFrame, docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """(digest, new_digest, canonical): documents that change when those of `start` do, all the way up.
+
+    `start` and `docs`: digest, canonical; `refs`: src, dst. A holder's document names the new digests in place of the
+    old ones, which gives it a new digest, and so its holders. A step follows what the last one changed; a document
+    changed by several steps is made anew from what all of them found. There are as many steps as the longest way
+    up, each checkpointed.
+    """
+    checkpoint_dir(start.sparkSession)
+    start, refs = start.select("digest", "canonical").checkpoint(), refs.select("src", "dst").distinct().checkpoint()
+    base = start.unionByName(docs.select("digest", "canonical").join(start, "digest", "left_anti")).checkpoint()
+    known = start.select("digest", hashing.digest(F.col("canonical")).alias("new_digest"), "canonical").checkpoint()
+    frontier = known
+    while not frontier.isEmpty():
+        holders = refs.join(frontier.select(F.col("digest").alias("dst")), "dst", "left_semi").select("src").distinct()
+        names = known.select(F.col("digest").alias("dst"), "new_digest")
+        # A document's own references are all that is gathered for it.
+        moved = refs.join(holders, "src", "left_semi").join(names, "dst").groupBy(F.col("src").alias("digest"))
+        moved = moved.agg(F.collect_list(F.struct("dst", "new_digest")).alias("moved"))
+        quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+        text = F.aggregate("moved", F.col("canonical"), lambda t, m: F.replace(t, quoted(m["dst"]), quoted(m["new_digest"])))
+        made = base.join(moved, "digest").select("digest", text.alias("canonical")).withColumn("new_digest", hashing.digest(F.col("canonical")))
+        before = known.select("digest", F.col("new_digest").alias("before"))
+        frontier = made.join(before, "digest", "left").where(~F.col("new_digest").eqNullSafe(F.col("before"))).select("digest", "new_digest", "canonical").checkpoint()
+        known = known.join(frontier, "digest", "left_anti").unionByName(frontier).checkpoint()
+    return known
+
+
 def dangling(refs: DataFrame, components: DataFrame) -> DataFrame:
     """References to digests no component has."""
     known = components.select(F.col("digest").alias("dst"))

@@ -390,8 +390,112 @@ def repair_plan(g: Given) -> DataFrame:
     return plan.withColumn("new_appendices", F.array_join("new_appendices", ","))
 
 
-_CASE_REFS = "SELECT concat('/cases/', CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING)) AS path, concat('case:', CAST(l_partkey AS STRING)) AS digest FROM lineitem"
+# ------------------------------------------------------------- repairs in full, what is behind
+
+
+def _repair_wish(d: Dialect) -> str:
+    """As d_repair, some wanting another family's id or content."""
+    gone = d.sha("concat('gone', CAST(family AS STRING))")
+    return f"""
+SELECT family, source, source_id, hex, CASE WHEN family % 6 = 0 AND family < 100000000000 THEN concat('v', CAST(family + 20 AS STRING)) ELSE new_source_id END AS new_source_id,
+  CASE WHEN family % 51 = 34 AND family < 100000000000 THEN {gone} ELSE new_hex END AS new_hex FROM d_repair"""
+
+
+def _expectation(d: Dialect) -> str:
+    return """
+SELECT concat('expectation:', CAST(doc_id AS STRING)) AS digest, concat('case:', CAST(doc_id AS STRING)) AS case_digest,
+  concat('{"case":"case:', CAST(doc_id AS STRING), '","data":', CAST(quality AS STRING), ',"expectation_schema":"schema:1","kind":"expectation","v":1}') AS canonical FROM labels"""
+
+
+def _case_head(d: Dialect) -> str:
+    """Threads of appendices and expectations by what heads them: every other one."""
+    return """
+SELECT doc_id AS thread, appendix AS digest FROM d_case WHERE appendix IS NOT NULL AND doc_id % 8 = 0
+UNION ALL SELECT 1000000 + doc_id, concat('expectation:', CAST(doc_id AS STRING)) FROM labels WHERE doc_id % 2 = 0"""
+
+
+def _case_ref(d: Dialect) -> str:
+    """What components refer to: edits' documents to each other's and to cases, cases to appendices and a document."""
+    return f"""
+SELECT a.digest AS src, '/prompt' AS path, b.digest AS dst FROM (SELECT digest, min(id) AS id FROM d_edit GROUP BY digest) a JOIN d_edit b ON b.id = a.id + 7
+UNION ALL SELECT digest, '/cases/0', concat('case:', CAST({d.div('min(id)', 20)} AS STRING)) FROM d_edit GROUP BY digest
+UNION ALL SELECT digest, '/appendices/0', appendix FROM d_case WHERE appendix IS NOT NULL
+UNION ALL SELECT c.digest, '/appendices/1', e.digest FROM d_case c JOIN d_edit e ON e.id = c.doc_id WHERE c.doc_id % 3 = 0"""
+
+
+def _recipe_ref(d: Dialect) -> str:
+    return """
+SELECT c.compilation, '/prompt' AS path, e.digest AS dst FROM d_compilation c JOIN d_edit e ON e.id = length(c.recipe) * 13
+UNION ALL SELECT compilation, '/few_shot', concat('case:', CAST(length(recipe) * 10 AS STRING)) FROM d_compilation"""
+
+
+for _name, _build in {"d_repair_wish": _repair_wish, "d_case_expectation": _expectation, "d_case_head": _case_head, "d_case_ref": _case_ref, "d_recipe_ref": _recipe_ref}.items():
+    register_view(_name, _build)
+
+
+def _cases(g: Given) -> DataFrame:
+    return g["d_case"].select("digest", *families.VIGNETTE, F.array_compact(F.array("appendix")).alias("appendices"))
+
+
+def _appendices(g: Given) -> DataFrame:
+    return g["d_case"].where("appendix IS NOT NULL").select(
+        F.col("appendix").alias("digest"), *families.VIGNETTE, F.concat(F.lit("note "), F.col("doc_id").cast("string")).alias("text")
+    )
+
+
+def _case_sql(rows: str, source_id: str, hex_: str) -> str:
+    """Rows with their case's and appendix's digests on the vignette named."""
+    vignette = f"""'"vignette":{{"fingerprint":{{"hex":"', {hex_}, '"}},"id":"', {source_id}, '","source":"', source, '"}}}}'"""
+    return f"""
+SELECT *, concat('sha256:', sha256(concat('{{', CASE WHEN appendix IS NULL THEN '' ELSE concat('"appendices":["', new_appendix, '"],') END, '"kind":"case","v":1,', {vignette}))) AS new_digest
+FROM (SELECT *, CASE WHEN appendix IS NOT NULL THEN concat('sha256:', sha256(concat('{{"kind":"appendix","text":"note ', CAST(doc_id AS STRING), '","v":1,', {vignette}))) END AS new_appendix FROM {rows} x) y"""
+
+
+@query(
+    "repairs_in_full",
+    f"""
+WITH {_NOW}, one AS (SELECT *, (source_id <> new_source_id) <> (hex <> new_hex) AS fits FROM d_repair_wish),
+m AS (SELECT o.family, o.new_source_id, n.family AS other, n.source_id = o.new_source_id AS same_id FROM one o JOIN now n ON n.source = o.source AND n.family <> o.family AND (n.source_id = o.new_source_id OR n.hex = o.new_hex) WHERE fits),
+no AS (SELECT family, 'a repair changes exactly one of the id or the fingerprint' AS reason FROM one WHERE NOT fits
+  UNION ALL SELECT family, concat('family ', CAST(min(other) AS STRING), ' already has ', CASE WHEN arg_min(same_id, other) THEN concat('the id ''', any_value(new_source_id), '''') ELSE 'that content' END) FROM m GROUP BY family),
+b AS (SELECT r.family, r.new_source_id, r.new_hex, r.source_id <> r.new_source_id AS renamed, c.* FROM one r JOIN d_case c ON c.source = r.source AND c.source_id = r.source_id AND c.hex = r.hex WHERE r.family NOT IN (SELECT family FROM no)),
+made AS ({_case_sql("b", "new_source_id", "new_hex").strip()}),
+e AS (SELECT m.family, e.digest, concat('sha256:', sha256(replace(e.canonical, concat('"', e.case_digest, '"'), concat('"', m.new_digest, '"')))) AS new_digest, h.thread FROM made m JOIN d_case_expectation e ON e.case_digest = m.digest JOIN d_case_head h ON h.digest = e.digest WHERE renamed)
+SELECT family, 'case' AS kind, digest, new_digest, CAST(NULL AS STRING) AS thread, CAST(NULL AS STRING) AS reason FROM made
+UNION ALL SELECT family, 'appendix', appendix, new_appendix, NULL, NULL FROM made WHERE appendix IS NOT NULL
+UNION ALL SELECT family, 'expectation', digest, new_digest, NULL, NULL FROM e UNION ALL SELECT family, 'move', digest, new_digest, CAST(thread AS STRING), NULL FROM e
+UNION ALL SELECT family, 'move', appendix, new_appendix, CAST(h.thread AS STRING), NULL FROM made m JOIN d_case_head h ON h.digest = m.appendix
+UNION ALL SELECT family, 'refused', NULL, NULL, NULL, reason FROM no""",
+)
+def repairs_in_full(g: Given) -> DataFrame:
+    """All that follows from moving families: appendices, cases, expectations, heads; or why not."""
+    expectations = g["d_case_expectation"].withColumnRenamed("case_digest", "case")
+    return families.repairs_in_full(g["d_repair_wish"], g["d_binding"], _cases(g), _appendices(g), expectations, g["d_case_head"])
+
+
 _DELETED = "SELECT DISTINCT family FROM d_binding WHERE family % 29 = 0"
+_STALE_CASES = _case_sql("stale", "now_source_id", "now_hex").strip()
+
+
+@query(
+    "behind_of",
+    f"""
+WITH {_ABOUT}, {_NOW}, {_FAMILY}, h AS (SELECT thread, max(id) AS id, arg_max(digest, id) AS digest, arg_max(coalesce(compilation, ''), id) AS compilation FROM d_edit GROUP BY thread),
+base AS (SELECT h.thread AS root, r.path, r.dst AS digest FROM h JOIN d_case_ref r ON r.src = h.digest UNION ALL SELECT h.thread, concat('/recipe', r.path), r.dst FROM h JOIN d_recipe_ref r ON r.compilation = h.compilation),
+held AS (SELECT * FROM base UNION ALL SELECT root, concat(b.path, r.path), r.dst FROM base b JOIN d_case c ON c.digest = b.digest JOIN d_case_ref r ON r.src = b.digest),
+holds AS (SELECT DISTINCT digest, thread FROM d_edit),
+stale AS (SELECT f.*, n.id AS binding, n.source_id AS now_source_id, n.hex AS now_hex FROM fam f JOIN now n ON n.family = f.family WHERE f.family % 29 <> 0 AND (f.source, f.source_id, f.hex) <> (n.source, n.source_id, n.hex)),
+anew AS ({_STALE_CASES})
+SELECT r.root, r.path, r.digest, x.thread, h.id AS head, h.digest AS head_digest, CAST(NULL AS BIGINT) AS binding, CAST(NULL AS STRING) AS replacement
+FROM held r JOIN holds x ON x.digest = r.digest JOIN h ON h.thread = x.thread LEFT JOIN about a ON a.thread = h.thread WHERE h.digest <> r.digest AND NOT coalesce(a.deleted, false)
+UNION ALL SELECT r.root, r.path, r.digest, NULL, NULL, NULL, s.binding, s.new_digest FROM held r JOIN anew s ON s.digest = r.digest""",
+)
+def behind_of(g: Given) -> DataFrame:
+    """What heads hold that has moved on, through recipes and cases, and cases of an earlier vignette."""
+    return families.behind_of(g["d_edit"], g["d_entry"], g["d_case_ref"], g["d_recipe_ref"], _cases(g), _appendices(g), g["d_binding"], g.sql(_DELETED))
+
+
+_CASE_REFS = "SELECT concat('/cases/', CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING)) AS path, concat('case:', CAST(l_partkey AS STRING)) AS digest FROM lineitem"
 
 
 @query(
