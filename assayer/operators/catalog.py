@@ -124,11 +124,14 @@ def bases(threads: DataFrame, edits: DataFrame) -> DataFrame:
     the origin's head."""
     based = edits.where("based_on IS NOT NULL").groupBy("thread").agg(F.max_by("based_on", "id").alias("based_on"))
     last = heads(edits)
-    own = last.select("thread", F.col("id").alias("fork_head"), F.col("digest").alias("fork_digest"))
-    origin = last.select(
-        F.col("thread").alias("origin"), F.col("id").alias("origin_head"), F.col("digest").alias("origin_digest")
-    )
-    at = edits.select(F.col("id").alias("base"), F.col("thread").alias("origin"), F.col("digest").alias("base_digest"))
+    made = ["compilation"] if "compilation" in edits.columns else []
+
+    def named(side: str) -> list[Column]:
+        return [F.col(c).alias(f"{side}_{c}") for c in ("digest", *made)]
+
+    own = last.select("thread", F.col("id").alias("fork_head"), *named("fork"))
+    origin = last.select(F.col("thread").alias("origin"), F.col("id").alias("origin_head"), *named("origin"))
+    at = edits.select(F.col("id").alias("base"), F.col("thread").alias("origin"), *named("base"))
     return (
         threads.where("forked_from IS NOT NULL")
         .select(F.col("id").alias("thread"), "forked_from")
@@ -164,6 +167,44 @@ def proposal(forked: DataFrame, varied: DataFrame, fields: DataFrame) -> DataFra
     return merged.select("thread", "path", value.alias("value")).where("value IS NOT NULL")
 
 
+def recipe_fields(recipes: DataFrame) -> DataFrame:
+    """(compilation, path, value): what recipes (compilation, recipe as JSON) hold, each field's value as JSON, nulls too."""
+    parsed = recipes.select("compilation", F.parse_json("recipe").alias("v"))
+    fields = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    return fields.select("compilation", F.concat(F.lit("/recipe/"), "key").alias("path"), F.to_json("value").alias("value"))
+
+
+def by_recipe() -> Column:
+    """Whether a fork is compared to its base by their recipes: both must be compiled."""
+    return F.col("base_compilation").isNotNull() & F.col("fork_compilation").isNotNull()
+
+
+def _shape(forked: DataFrame, side: str, fields: DataFrame, recipes: DataFrame) -> DataFrame:
+    made = forked.where(by_recipe()).select("thread", F.col(f"{side}_compilation").alias("compilation")).join(recipes, "compilation")
+    plain = forked.where(~by_recipe()).select("thread", F.col(f"{side}_digest").alias("digest")).join(fields, "digest")
+    return made.select("thread", "path", "value").unionByName(plain.select("thread", "path", "value"))
+
+
+def variation_in_shape(forked: DataFrame, fields: DataFrame, recipes: DataFrame) -> DataFrame:
+    """As `variation`, by recipe where fork and base are compiled (`recipes`: recipe_fields), else by the documents' fields."""
+    before, after = (_shape(forked, side, fields, recipes).withColumnRenamed("value", name) for side, name in (("base", "before"), ("fork", "after")))
+    return before.join(after, ["thread", "path"], "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def proposal_in_shape(forked: DataFrame, varied: DataFrame, fields: DataFrame, recipes: DataFrame) -> DataFrame:
+    """As `proposal`, the fork's changes merged into the origin's recipe or document: (thread, path, value).
+
+    In a recipe a field that the fork took out is null; in a document it goes. There is no proposal where the fork has
+    a recipe and the origin's head has none.
+    """
+    moved = forked.where("moved").where(~by_recipe() | F.col("origin_compilation").isNotNull())
+    head = _shape(moved, "origin", fields, recipes).withColumnRenamed("value", "head")
+    changes = varied.join(moved.select("thread", by_recipe().alias("made")), "thread")
+    merged = head.join(changes, ["thread", "path"], "full_outer")
+    value = F.when(F.col("made"), F.coalesce("after", F.lit("null"))).when(F.col("made").isNotNull(), F.col("after")).otherwise(F.col("head"))
+    return merged.select("thread", "path", value.alias("value")).where("value IS NOT NULL")
+
+
 def based_on_violations(threads: DataFrame, edits: DataFrame) -> DataFrame:
     """Edits based on something that isn't in their origin at or after the fork point."""
     points = threads.select(F.col("id").alias("thread"), F.col("forked_from").alias("point"))

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalog, families
+from ..functions import text
+from ..operators import catalog, families, titles
 from .registry import query
 from .tables import Dialect, Given, register_view
 
@@ -185,6 +186,117 @@ def head_recipes(g: Given) -> DataFrame:
     return catalog.head_recipes(g["d_edit"], g["d_compilation"])
 
 
+# ------------------------------------------------------- recipes: variations, proposals, titles
+
+# What a recipe's parts are, by its number: instructions, prompt and sampling, some missing.
+_PARTS_OF = {"instructions": "CASE WHEN k % 3 <> 0 THEN k % 4 END", "prompt": "4 + k % 2", "sampling": "CASE WHEN k % 2 = 0 THEN 6 END"}
+
+
+def _recipe_number(d: Dialect) -> str:
+    return f"SELECT DISTINCT event_id % 11 AS k, {d.sha("concat('compilation', CAST(event_id % 11 AS STRING))")} AS compilation FROM events WHERE event_id % 11 <> 6"
+
+
+def _recipe_part(d: Dialect) -> str:
+    """(compilation, purpose, pos, field, digest), no row for a missing part."""
+    purpose = "CASE WHEN k % 5 = 0 THEN 'judge' ELSE 'generation' END AS purpose"
+    rows = " UNION ALL ".join(f"SELECT compilation, {purpose}, {pos} AS pos, '{field}' AS field, {part} AS part FROM d_recipe_number" for pos, (field, part) in enumerate(_PARTS_OF.items()))
+    return f"SELECT compilation, purpose, pos, field, concat('sha256:', {d.sha("concat('part', CAST(part AS STRING))")}) AS digest FROM ({rows}) r WHERE part IS NOT NULL"
+
+
+def _recipe_doc(d: Dialect) -> str:
+    part = lambda p: f"coalesce(concat('\"sha256:', {d.sha(f"concat('part', CAST({p} AS STRING))")}, '\"'), 'null')"
+    members = "".join(f", ',\"{field}\":', {part(p) if field == 'prompt' else f'CASE WHEN ({p}) IS NULL THEN {chr(39)}null{chr(39)} ELSE {part(p)} END'}" for field, p in _PARTS_OF.items())
+    return f"SELECT compilation, concat('{{\"purpose\":\"', CASE WHEN k % 5 = 0 THEN 'judge' ELSE 'generation' END, '\"'{members}, ',\"layout\":{{\"z\":', CAST(k % 3 AS STRING), '}}}}') AS recipe FROM d_recipe_number"
+
+
+def _json_field(d: Dialect) -> str:
+    return "SELECT digest, path, concat('\"', value, '\"') AS value FROM d_field"
+
+
+for _name, _build in {"d_recipe_number": _recipe_number, "d_recipe_part": _recipe_part, "d_recipe_doc": _recipe_doc, "d_json_field": _json_field}.items():
+    register_view(_name, _build)
+
+_RECIPE_FIELDS = """
+SELECT n.compilation, '/recipe/purpose' AS path, CASE WHEN k % 5 = 0 THEN '"judge"' ELSE '"generation"' END AS value FROM d_recipe_number n
+UNION ALL SELECT compilation, '/recipe/layout', concat('{"z":', CAST(k % 3 AS STRING), '}') FROM d_recipe_number
+UNION ALL SELECT n.compilation, concat('/recipe/', f.field), CASE WHEN p.digest IS NULL THEN 'null' ELSE concat('"', p.digest, '"') END FROM d_recipe_number n CROSS JOIN (SELECT unnest(['instructions', 'prompt', 'sampling']) AS field) f LEFT JOIN d_recipe_part p ON p.compilation = n.compilation AND p.field = f.field"""
+
+_SHAPED_BASES = f"""
+h AS (SELECT thread, max(id) AS id, arg_max(digest, id) AS digest, nullif(arg_max(coalesce(compilation, ''), id), '') AS compilation FROM d_edit GROUP BY thread),
+forked AS (SELECT t.id AS thread, coalesce(b.based_on, t.forked_from) AS base, o.thread AS origin, o.digest AS base_digest, o.compilation AS base_compilation, own.digest AS fork_digest, own.compilation AS fork_compilation,
+    oh.id AS origin_head, oh.digest AS origin_digest, oh.compilation AS origin_compilation, o.compilation IS NOT NULL AND own.compilation IS NOT NULL AS made
+  FROM d_thread t LEFT JOIN (SELECT thread, arg_max(based_on, id) AS based_on FROM d_edit WHERE based_on IS NOT NULL GROUP BY thread) b ON b.thread = t.id
+  JOIN d_edit o ON o.id = coalesce(b.based_on, t.forked_from) JOIN h own ON own.thread = t.id JOIN h oh ON oh.thread = o.thread WHERE t.forked_from IS NOT NULL),
+rf AS ({_RECIPE_FIELDS.strip()}),
+was AS (SELECT thread, path, value FROM forked JOIN d_json_field f ON f.digest = base_digest WHERE NOT made UNION ALL SELECT thread, path, value FROM forked JOIN rf ON rf.compilation = base_compilation WHERE made),
+own AS (SELECT thread, path, value FROM forked JOIN d_json_field f ON f.digest = fork_digest WHERE NOT made UNION ALL SELECT thread, path, value FROM forked JOIN rf ON rf.compilation = fork_compilation WHERE made),
+varied AS (SELECT coalesce(w.thread, o.thread) AS thread, coalesce(w.path, o.path) AS path, w.value AS before, o.value AS after FROM was w FULL JOIN own o ON o.thread = w.thread AND o.path = w.path WHERE w.value IS DISTINCT FROM o.value)"""
+
+
+def _shapes(g: Given):
+    return catalog.bases(g["d_thread"], g["d_edit"]), g["d_json_field"], catalog.recipe_fields(g["d_recipe_doc"])
+
+
+@query("variation_in_shape", f"WITH {_SHAPED_BASES.strip()} SELECT * FROM varied")
+def variation_in_shape(g: Given) -> DataFrame:
+    """What forks change, by recipe where both are compiled."""
+    return catalog.variation_in_shape(*_shapes(g))
+
+
+@query(
+    "proposal_in_shape",
+    f"""
+WITH {_SHAPED_BASES.strip()}, m AS (SELECT * FROM forked WHERE origin_head <> base AND (NOT made OR origin_compilation IS NOT NULL)),
+head AS (SELECT thread, path, value FROM m JOIN d_json_field f ON f.digest = origin_digest WHERE NOT made UNION ALL SELECT thread, path, value FROM m JOIN rf ON rf.compilation = origin_compilation WHERE made),
+v AS (SELECT v.*, made FROM varied v JOIN m ON m.thread = v.thread),
+merged AS (SELECT coalesce(head.thread, v.thread) AS thread, coalesce(head.path, v.path) AS path, CASE WHEN v.thread IS NULL THEN head.value WHEN made THEN coalesce(v.after, 'null') ELSE v.after END AS value FROM head FULL JOIN v ON v.thread = head.thread AND v.path = head.path)
+SELECT * FROM merged WHERE value IS NOT NULL""",
+)
+def proposal_in_shape(g: Given) -> DataFrame:
+    """Where the origin moved: its recipe or document with the fork's changes on top."""
+    forked, fields, recipes = _shapes(g)
+    return catalog.proposal_in_shape(forked, catalog.variation_in_shape(forked, fields, recipes), fields, recipes)
+
+
+_ROOT = "SELECT digest, concat(source, '/', source_id) AS root, appendix FROM d_case"
+
+
+@query(
+    "composed_titles",
+    f"""
+WITH RECURSIVE {_ABOUT.strip()}, {_SHAPED_BASES.strip()},
+part AS (SELECT DISTINCT digest, concat('component ', substr(digest, 8, 6)) AS title FROM d_recipe_part),
+rt AS (SELECT compilation, concat(CASE WHEN any_value(purpose) = 'judge' THEN 'judge: ' ELSE '' END, string_agg(title, ' · ' ORDER BY pos)) AS title FROM d_recipe_part r JOIN part p ON p.digest = r.digest GROUP BY compilation),
+first AS (SELECT digest, min(compilation) AS compilation FROM (SELECT e.digest, e.compilation FROM d_edit e JOIN rt ON rt.compilation = e.compilation) c GROUP BY digest),
+own_title AS (SELECT d.digest, coalesce(rt.title, concat('component ', left(d.digest, 6))) AS title FROM (SELECT DISTINCT digest FROM d_edit) d LEFT JOIN first f ON f.digest = d.digest LEFT JOIN rt ON rt.compilation = f.compilation),
+ch AS (SELECT thread, string_agg(concat(', ', CASE WHEN after IS NULL OR after = 'null' THEN concat('no ', key) WHEN p.digest IS NOT NULL THEN concat(key, ': ', p.title) WHEN after LIKE '"%' THEN concat(key, ': ', after) ELSE concat(key, ': ', replace(after, ':', ': ')) END), '' ORDER BY path) AS changes
+  FROM (SELECT *, replace(replace(path, '/recipe/', ''), '/', '') AS key FROM varied) v LEFT JOIN part p ON concat('"', p.digest, '"') = v.after GROUP BY thread),
+state AS (SELECT h.*, a.name, coalesce(a.deleted, false) AS deleted, f.origin FROM h LEFT JOIN about a ON a.thread = h.thread LEFT JOIN forked f ON f.thread = h.thread),
+t AS (SELECT s.thread, coalesce(name, rt.title, o.title) AS title FROM state s LEFT JOIN rt ON rt.compilation = s.compilation LEFT JOIN own_title o ON o.digest = s.digest WHERE name IS NOT NULL OR origin IS NULL
+  UNION ALL SELECT s.thread, CASE WHEN ch.changes IS NULL THEN concat('a fork of ', t.title) ELSE concat(t.title, ch.changes) END FROM t JOIN state s ON s.origin = t.thread AND s.name IS NULL LEFT JOIN ch ON ch.thread = s.thread),
+c AS (SELECT e.digest, e.thread, s.name, s.digest = e.digest AS is_head, CASE WHEN s.deleted THEN 3 ELSE 0 END AS base FROM (SELECT DISTINCT digest, thread FROM d_edit) e JOIN state s ON s.thread = e.thread),
+r AS (SELECT digest, thread, base + CASE WHEN is_head AND name IS NOT NULL THEN 0 WHEN is_head THEN 1 ELSE 2 END AS rank, CASE WHEN is_head AND name IS NULL THEN t.title WHEN is_head THEN name ELSE concat(name, ' (earlier)') END AS label FROM (SELECT c.*, t.title FROM c JOIN t ON t.thread = c.thread) t WHERE is_head OR name IS NOT NULL),
+best AS (SELECT digest, label FROM r QUALIFY row_number() OVER (PARTITION BY digest ORDER BY rank, thread) = 1)
+SELECT concat('t:', CAST(thread AS STRING)) AS key, title FROM t
+UNION ALL SELECT concat('d:', o.digest), coalesce(b.label, o.title) FROM own_title o LEFT JOIN best b ON b.digest = o.digest
+UNION ALL SELECT concat('d:', digest), concat(root, CASE WHEN appendix IS NULL THEN '' ELSE concat(' with "note ', substr(appendix, 10), '"') END) FROM ({_ROOT}) x
+UNION ALL SELECT concat('d:', appendix), concat('"note ', substr(appendix, 10), '"') FROM d_case WHERE appendix IS NOT NULL
+UNION ALL SELECT concat('d:', digest), title FROM part""",
+)
+def composed_titles(g: Given) -> DataFrame:
+    """Titles of all threads and digests: names, forks by their changes, recipes by their parts, cases with appendices."""
+    forked, fields, recipes = _shapes(g)
+    varied = catalog.variation_in_shape(forked, fields, recipes)
+    short = F.concat(F.lit("component "), F.substring(F.regexp_replace("digest", "^sha256:", ""), 1, 6))
+    notes = _appendices(g).select("digest", text.snippet(F.col("text")).alias("description"))
+    edited, used = g["d_edit"].select("digest").distinct(), g["d_recipe_part"].select("digest").distinct()
+    described = edited.unionByName(used).withColumn("description", short).unionByName(notes)
+    compilations = g["d_edit"].where("compilation IS NOT NULL").select(F.col("digest").alias("skeleton"), "compilation").distinct()
+    cases = g.sql(_ROOT).select("digest", "root", F.array_compact(F.array("appendix")).alias("appendices"))
+    parts = titles.title_parts(g["d_edit"], g["d_entry"], forked, varied, described, g["d_recipe_part"], compilations, cases)
+    return titles.fold(parts).where("key NOT LIKE 'o:%'")
+
+
 # ----------------------------------------------------------------------------- languages
 
 # Recipes are orders, their text parts lineitems' parts, five of which share a text; skeletons are customers.
