@@ -54,6 +54,12 @@ def answer(response: Column, contract: Column, answer_tool: Column) -> Column:
     )
 
 
+def answer_text(response: Column, contract: Column, answer_tool: Column) -> Column:
+    """The answer as it is written, where it is JSON: a native answer's content, a tool's arguments."""
+    called = F.get(F.filter(tool_calls(response), lambda c: c["name"] == answer_tool), F.lit(0))
+    return F.when(contract == "native", string_at(response, message_path(".content"))).when(contract == "tool", called["arguments"])
+
+
 def token_fingerprint(response_text: Column) -> Column:
     """The fingerprint of a response's prompt token ids, from its text; null where there is no list."""
     ids = F.get_json_object(response_text, "$.prompt_token_ids")

@@ -11,6 +11,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import tape
+
 MISSING = object()
 
 
@@ -197,10 +199,13 @@ def select(document: Column, selector: str, json: Column | None = None) -> Colum
     """The values a selector picks from a VARIANT, in document order: array<variant>.
 
     `json` is the document's text; give it where a wildcard may meet an object, whose
-    member order only the text holds.
+    member order only the text holds. Below a first wildcard the values are read off the text.
     """
     steps = list(parse(selector))
     many = next((i for i, s in enumerate(steps) if s.kind in ("wild", "filter")), len(steps))
+    if json is not None and any(s.kind in ("wild", "filter") for s in steps[many + 1 :]):
+        found = F.transform(tape.picks(json, selector), F.parse_json)
+        return F.when(document.isNotNull(), F.coalesce(found, F.array().cast("array<variant>")))
     node = document
     for s in steps[:many]:
         node = _one(node, s)

@@ -49,10 +49,11 @@ def prepare_cases(
     )
 
 
-def judge_fill(items: Column) -> Column:
+def judge_fill(items: Column, written: Column | None = None) -> Column:
     """`text@1`: one string as it is, strings one per line, anything else as indented JSON.
 
-    `items` is array<variant>; a single item that is itself a list is written as that list.
+    `items` is array<variant>; a single item that is itself a list is written as that list. Objects have their
+    members in order where the items are given as written, too (tape.picks).
     """
 
     def listed(values: Column) -> Column:
@@ -65,7 +66,8 @@ def judge_fill(items: Column) -> Column:
     plain = F.when(F.schema_of_variant(only) == "STRING", only.try_cast("string")).when(
         inner.isNotNull(), listed(inner)
     ).when(F.size(items) != 1, listed(items))
-    whole = F.when(F.size(items) == 1, F.to_json(only)).otherwise(
-        F.concat(F.lit("["), F.array_join(F.transform(items, lambda v: F.to_json(v)), ","), F.lit("]"))
+    texts = F.transform(items, lambda v: F.to_json(v)) if written is None else written
+    whole = F.when(F.size(items) == 1, F.get(texts, F.lit(0))).otherwise(
+        F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
     )
     return F.coalesce(plain, jsontext.indented(F.when(plain.isNull(), whole)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import jsontext, responses
+from ..functions import jsontext, responses, tape
 from .findings import message
 
 
@@ -145,11 +145,12 @@ def next_requests(rounds: DataFrame, results: DataFrame) -> DataFrame:
     message per call, in the calls' order.
 
     `rounds`: item, head (the body up to its messages, open), messages (JSON texts), tail, response
-    (VARIANT); `results`: item, id, result. A response makes few calls; each is joined to its
+    (JSON text); `results`: item, id, result. A response makes few calls; each is joined to its
     result by id and put back in order. A call without a result makes the round an error.
     """
+    parsed = rounds.select("item", F.try_parse_json("response").alias("response"))
     response = F.col("response")
-    calls = rounds.select("item", F.posexplode(responses.tool_calls(response)).alias("pos", "call"))
+    calls = parsed.select("item", F.posexplode(responses.tool_calls(response)).alias("pos", "call"))
     answered = (
         calls.select("item", "pos", F.col("call.id").alias("id"))
         .join(results, ["item", "id"], "left")
@@ -169,12 +170,10 @@ def next_requests(rounds: DataFrame, results: DataFrame) -> DataFrame:
             F.count_if(F.col("result").isNull()).alias("unresolved"),
         )
     )
-    content = F.try_variant_get(response, responses.message_path(".content"), "variant")
-    called = F.try_variant_get(response, responses.message_path(".tool_calls"), "variant")
-    null_text = F.lit("null")
+    # As the model wrote them: the order of their members counts for the request's fingerprint.
+    sent = lambda member: F.coalesce(F.get(tape.picks(response, responses.message_path(member)), F.lit(0)), F.lit("null"))
     assistant = F.concat(
-        F.lit('{"role":"assistant","content":'), F.coalesce(F.to_json(content), null_text),
-        F.lit(',"tool_calls":'), F.coalesce(F.to_json(called), null_text), F.lit("}"),
+        F.lit('{"role":"assistant","content":'), sent(".content"), F.lit(',"tool_calls":'), sent(".tool_calls"), F.lit("}")
     )
     tools = F.transform(F.coalesce("tools", F.array().cast("array<struct<pos:int,text:string>>")), lambda t: t["text"])
     body = F.concat(

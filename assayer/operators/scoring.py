@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ENGINE_VERSION
-from ..functions import aggregates, jsontext, patterns, responses, selectors, text
+from ..functions import aggregates, jsontext, patterns, responses, selectors, tape, text
 
 
 def scored(value: Column | None, answer: Column | None = None, reason: str | Column | None = None) -> Column:
@@ -122,6 +122,26 @@ METRICS: dict[str, Metric] = {
 METRIC_VERSIONS = {"reciprocal_rank": "1", "first_mention": "1", "mentions": "1"}
 
 
+# Metrics of others: an Arrow UDF each, registered while a session runs.
+REGISTERED: dict[str, Callable[..., Column]] = {}
+RESULT = "struct<value:double,answer:string,reason:string>"
+
+
+def register_metric(name: str, function: Callable[..., Column], version: str) -> None:
+    """Make a metric known under a name: a pandas or Arrow UDF of (items, pattern, nothing).
+
+    It gets batches of the items a view picked (a list of strings, null where the run has no answer), the target's
+    pattern and whether nothing is expected, and its result must be the struct RESULT. Where there is no target it
+    gets nulls and isn't asked. A name can be registered again only with another version.
+    """
+    kind = getattr(function, "returnType", None)
+    if kind is None or getattr(kind, "simpleString", lambda: kind)() != RESULT:
+        raise ValueError(f"metric {name!r} must be a UDF that returns {RESULT}")
+    if name in METRICS or METRIC_VERSIONS.get(name) == version:
+        raise ValueError(f"metric {name!r} of version {METRIC_VERSIONS[name]} is there already")
+    REGISTERED[name], METRIC_VERSIONS[name] = function, version
+
+
 def stamped(scores: DataFrame, metric: str = "metric") -> DataFrame:
     """Scores with the versions of what computed them, so that results can be told apart later."""
     versions = F.create_map(*[F.lit(x) for kv in sorted(METRIC_VERSIONS.items()) for x in kv])
@@ -199,11 +219,25 @@ def item_texts(picked: Column) -> Column:
     )
 
 
+def written_texts(picked: Column) -> Column:
+    """As `item_texts`, from items as they are written (tape.picks): members in order, numbers as spelled."""
+    return F.transform(
+        F.filter(picked, lambda t: t != "null"),
+        lambda t: F.when(t.startswith('"'), F.parse_json(t).cast("string")).otherwise(jsontext.spaced(t)),
+    )
+
+
 def score(metric: str, items: Column, target: Column) -> Column:
     """One view's score of one row: value and detail."""
-    if metric not in METRICS:
-        raise ValueError(f"no metric {metric!r}, only {sorted(METRICS)}")
+    if metric not in METRICS and metric not in REGISTERED:
+        raise ValueError(f"no metric {metric!r}, only {sorted([*METRICS, *REGISTERED])}")
     expected = expected_of(target)
+    if metric in REGISTERED:
+        asked = lambda c: F.when(expected.reason.isNull(), c)
+        found = REGISTERED[metric](asked(items), asked(target["pattern"]), asked(expected.nothing))
+        return F.when(expected.reason.isNotNull(), scored(None, reason=expected.reason)).otherwise(
+            scored(found["value"], found["answer"], found["reason"])
+        )
     return F.when(expected.reason.isNotNull(), scored(None, reason=expected.reason)).otherwise(
         text.let(items, lambda bound: METRICS[metric](bound, expected))
     )
@@ -220,9 +254,15 @@ class View:
     params: Mapping[str, str] = field(default_factory=dict)
 
 
-def output_texts(answer: Column, view: View, has_answer: Column) -> Column:
-    """The texts a view picks from an answer (VARIANT); null where there is no answer."""
+def output_texts(answer: Column, view: View, has_answer: Column, written: Column | None = None) -> Column:
+    """The texts a view picks from an answer (VARIANT); null where there is no answer.
+
+    Objects and lists are read off the answer's text where it is given (`written`).
+    """
     texts = item_texts(selectors.select(answer, view.output))
+    if written is not None:
+        composed = F.when(written.rlike(r"^[ \t\n\r]*[\[{]"), written)
+        texts = F.coalesce(written_texts(tape.picks(composed, view.output)), texts)
     if view.split is not None:
         if view.split != "lines@1":
             raise ValueError(f"no split {view.split!r}")
@@ -243,19 +283,23 @@ def decoded_expectations(expectations: DataFrame, views: list[View], expectation
     return frame.drop(expectation)
 
 
-def score_decoded(pairs: DataFrame, views: list[View], answer: str, params: Mapping[str, str] | None = None) -> DataFrame:
+def score_decoded(
+    pairs: DataFrame, views: list[View], answer: str, params: Mapping[str, str] | None = None, written: str | None = None
+) -> DataFrame:
     """Every view of every row of answers (VARIANT) with decoded expectations, one output row per view.
 
     The views of a row are scored in one pass over it and exploded at the end, so the answers
     are read once and nothing is shuffled. A null answer is a run without one; a row whose
-    expectation is missing has no target. Scorer params are overlaid by the view's.
+    expectation is missing has no target. Scorer params are overlaid by the view's. `written` names
+    the column with the answers' text, for items whose members' order counts.
     """
     targets = _targets(views)
-    keys = [c for c in pairs.columns if c != answer and c not in targets.values()]
+    keys = [c for c in pairs.columns if c not in (answer, written) and c not in targets.values()]
+    text_of = None if written is None else F.col(written)
     outputs = {k: f"_texts{i}" for i, k in enumerate(dict.fromkeys((v.output, v.split) for v in views))}
     has_answer = F.col(answer).isNotNull()
     frame = pairs.withColumns(
-        {name: output_texts(F.col(answer), View("", output=o, split=s), has_answer) for (o, s), name in outputs.items()}
+        {name: output_texts(F.col(answer), View("", output=o, split=s), has_answer, text_of) for (o, s), name in outputs.items()}
     )
     rows = []
     for i, view in enumerate(views):
@@ -297,11 +341,15 @@ def score_runs(
     compiled on the expectations, before they meet the answers. An item without an expectation
     is unscored, for the reason that there is no target.
     """
-    read = responses.answer(F.try_parse_json("response"), F.col("contract"), F.col("answer_tool"))
-    answers = items.select("run", "case_id", "replicate", read.alias("_answer"))
+    # Parsed and read in steps of their own: what follows looks at each several times.
+    how = F.col("contract"), F.col("answer_tool")
+    parsed = items.select("run", "case_id", "replicate", "contract", "answer_tool", F.try_parse_json("response").alias("_response"))
+    answers = parsed.select(
+        "run", "case_id", "replicate", responses.answer(F.col("_response"), *how).alias("_answer"), responses.answer_text(F.col("_response"), *how).alias("_written")
+    )
     expected = expectations.select("case_id", F.try_parse_json("expectation").alias("_expectation"))
     pairs = answers.join(decoded_expectations(expected, views, "_expectation"), "case_id", "left")
-    return stamped(score_decoded(pairs, views, "_answer", params))
+    return stamped(score_decoded(pairs, views, "_answer", params, "_written"))
 
 
 def summarise_runs(scores: DataFrame, runs: DataFrame, views: list[View], digits: int | None = None) -> DataFrame:
@@ -315,7 +363,7 @@ def summarise_runs(scores: DataFrame, runs: DataFrame, views: list[View], digits
 
 def unknown_metrics(views: DataFrame, metric: str = "metric") -> DataFrame:
     """Views naming a metric no function is registered for."""
-    return views.where(~F.col(metric).isin(*METRICS))
+    return views.where(~F.col(metric).isin(*METRICS, *REGISTERED))
 
 
 def summarise(scores: DataFrame, by: list[str], value: str = "value", digits: int | None = None) -> DataFrame:

@@ -74,6 +74,22 @@ def select_wild(g: Given) -> DataFrame:
     return _picked(g, ["$.diagnoses[*].diagnosis", "$.management.*"])
 
 
+@query(
+    "select_below_wildcards",
+    """
+SELECT doc_id, '$.*.*' AS selector, 0 AS pos, concat('{"critical":', CASE doc_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'null' END, ',"diagnosis":"', lang, '","rank":', CAST(doc_id % 4 AS STRING), '}') AS item FROM documents
+UNION ALL SELECT doc_id, '$.*.*', 1, concat('{', CASE WHEN doc_id % 2 = 0 THEN '"critical":true,' ELSE '' END, '"diagnosis":"', source, '","rank":1}') FROM documents
+UNION ALL SELECT doc_id, '$.*.*', 2, '{"critical":1,"diagnosis":"PE"}' FROM documents WHERE doc_id % 5 = 0
+UNION ALL SELECT doc_id, '$.*.*', CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 2 END + k.n, CASE k.n WHEN 0 THEN CAST(doc_id AS STRING) WHEN 1 THEN concat('"admit', CAST(doc_id % 3 AS STRING), '"') ELSE concat('"', lang, '"') END FROM documents CROSS JOIN (SELECT unnest([0, 1, 2]) AS n) k
+UNION ALL SELECT doc_id, '$.*.*', CASE WHEN doc_id % 5 = 0 THEN 6 ELSE 5 END + k.n, CASE k.n WHEN 0 THEN '10' ELSE '[20,30]' END FROM documents CROSS JOIN (SELECT unnest([0, 1]) AS n) k WHERE doc_id % 6 <> 0
+UNION ALL SELECT doc_id, '$.diagnoses[?@.critical == true].*', p.pos, p.item FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN [concat('"', lang, '"'), 'true', CAST(doc_id % 4 AS STRING)] ELSE [] END || CASE WHEN doc_id % 2 = 0 THEN [concat('"', source, '"'), 'true', '1'] ELSE [] END AS found FROM documents) d,
+  LATERAL (SELECT unnest(range(len(d.found))) AS pos, unnest(d.found) AS item) p""",
+)
+def select_below_wildcards(g: Given) -> DataFrame:
+    """Members of what a wildcard or a filter picked, in the document's order."""
+    return _picked(g, ["$.*.*", "$.diagnoses[?@.critical == true].*"])
+
+
 @query(
     "select_exists",
     """

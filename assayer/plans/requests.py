@@ -126,7 +126,7 @@ def translate_texts(g: Given) -> DataFrame:
     "next_requests",
     """
 WITH m AS (SELECT o_orderkey AS item, o_custkey, o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'null' WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN '"not json"' ELSE concat('"{\\"ddx\\": [', CAST(o_custkey AS STRING), ']}"') END ELSE concat('"plain ', CAST(o_custkey AS STRING), '"') END AS content,
-  concat('[{"function":{"arguments":"{}","name":"look"},"id":"a"},{"function":{"arguments":"{\\"n\\":', CAST(o_custkey AS STRING), '}","name":"answer"},"id":', CASE WHEN o_orderkey % 2 = 0 THEN '1' ELSE '"b"' END, '}]') AS calls FROM orders)
+  concat('[{"id":"a","function":{"name":"look","arguments":"{}"}},{"id":', CASE WHEN o_orderkey % 2 = 0 THEN '1' ELSE '"b"' END, ',"function":{"name":"answer","arguments":"{\\"n\\":', CAST(o_custkey AS STRING), '}"}}]') AS calls FROM orders)
 SELECT item, CASE WHEN NOT (o_orderkey % 2 <> 0 AND o_custkey % 10 = 0) THEN concat('{"model":"m","messages":[{"role":"user","content":"hi"},{"role":"assistant","content":', content, ',"tool_calls":', calls, '},{"role":"tool","tool_call_id":"a","content":"saw ', CAST(o_custkey AS STRING), '"}',
   CASE WHEN o_orderkey % 2 <> 0 THEN concat(',{"role":"tool","tool_call_id":"b","content":"saw ', CAST(o_custkey AS STRING), '"}') ELSE '' END, '],"seed":1}') END AS request,
   CASE WHEN o_orderkey % 2 <> 0 AND o_custkey % 10 = 0 THEN 'no result for 1 tool calls' END AS problem FROM m""",
@@ -137,7 +137,7 @@ def next_requests(g: Given) -> DataFrame:
         F.lit('{"model":"m",').alias("head"),
         F.array(F.lit('{"role":"user","content":"hi"}')).alias("messages"),
         F.lit(',"seed":1}').alias("tail"),
-        F.parse_json("response").alias("response"),
+        "response",
     )
     seen = F.concat(F.lit("saw "), F.col("o_custkey").cast("string"))
     results = g["d_response"].select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import ENGINE_VERSION
-from ..functions import patterns, selectors, text
+from ..functions import patterns, selectors, tape, text
 from ..operators import scoring
 from .registry import query
 from .tables import PATTERNS, Dialect, Given, register_view
@@ -429,6 +429,21 @@ def view_hit_rate(g: Given) -> DataFrame:
     return scoring.hit_rates(docs, views, "answer", ["source"], digits=6)
 
 
+@query(
+    "items_as_written",
+    """
+SELECT doc_id, 0 AS pos, concat('{"b": "', source, '", "a": [1, "x,y:z", {"d": 1e-7, "c": ', CAST(doc_id AS STRING), '.50}]}') AS item FROM documents
+UNION ALL SELECT doc_id, 1, lang FROM documents UNION ALL SELECT doc_id, 2, '1e-7' FROM documents""",
+)
+def items_as_written(g: Given) -> DataFrame:
+    """Picked items as text with their members and numbers as the document has them."""
+    document = F.concat(
+        F.lit('{"t": [ {"b" :"'), "source", F.lit('", "a":[1, "x,y:z",{"d":1e-7,"c":'), F.col("doc_id").cast("string"), F.lit('.50}]}, null,"'), "lang", F.lit('", 1e-7]}')
+    )
+    rows = g["documents"].select("doc_id", tape.picks(document, "$.t[*]").alias("picked"))
+    return rows.select("doc_id", F.posexplode(scoring.written_texts(F.col("picked"))).alias("pos", "item"))
+
+
 @query(
     "items_as_text",
     """
@@ -537,7 +552,7 @@ FROM (SELECT r.*, e.expectation, r.response IS NOT NULL AS has, {_hits('r.line1'
 @query("score_runs", f"SELECT *, '{{}}' AS params, '0.1.0' AS engine_version, '1' AS metric_version FROM ({_RUN_SCORES}) s")
 def score_runs(g: Given) -> DataFrame:
     """Runs to scores: response, answer, expectation, views, score items."""
-    items = g["d_run_response"].select("run", "case_id", "replicate", "response", "contract", "answer_tool")
+    items = g.spread("d_run_response").select("run", "case_id", "replicate", "response", "contract", "answer_tool")
     return scoring.score_runs(items, g["d_run_expectation"], RUN_VIEWS)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hashing, pages, text
+from ..functions import hashing, pages, tape, text
 from ..operators import describe, prepare
 from ..sources import texts
 from .registry import query
@@ -178,6 +178,18 @@ def judge_fills(g: Given) -> DataFrame:
     return items.select("doc_id", prepare.judge_fill(F.col("items")).alias("fill"))
 
 
+@query(
+    "judge_fills_written",
+    """
+SELECT doc_id, concat('{', chr(10), '  "n": 1e-7,', chr(10), '  "b": {', chr(10), '    "z": [],', chr(10), '    "a": "', lang, '"', chr(10), '  }', chr(10), '}') AS fill FROM documents""",
+)
+def judge_fills_written(g: Given) -> DataFrame:
+    """Objects for a judge have their members in the answer's order."""
+    document = F.concat(F.lit('[{"n":1e-7,"b":{"z":[],"a":"'), "lang", F.lit('"}}]'))
+    items = g["documents"].select("doc_id", F.parse_json(document).cast("array<variant>").alias("items"), tape.picks(document, "$[*]").alias("written"))
+    return items.select("doc_id", prepare.judge_fill(F.col("items"), F.col("written")).alias("fill"))
+
+
 @query(
     "snippets",
     rf"""
