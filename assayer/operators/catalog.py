@@ -292,6 +292,43 @@ def language_vote(parts: DataFrame, compilations: DataFrame, languages: DataFram
     return votes.agg(F.when(F.min("language") == F.max("language"), F.max("language")).alias("language"))
 
 
+def recipe_languages(recipes: DataFrame, parts: DataFrame, languages: DataFrame) -> DataFrame:
+    """(recipe, language): that of its translations where it has some, else the one all its text parts have.
+
+    `recipes`: recipe, translations (a digest or null); `parts`: recipe, digest (null for a part it lacks); `languages`:
+    id, digest, value.
+    """
+    own = latest(languages, ["digest"]).select("digest", F.col("value").alias("language"))
+    agreed = (
+        parts.join(own, "digest", "left")
+        .groupBy("recipe")
+        .agg(F.when((F.count_if(F.col("language").isNull()) == 0) & (F.min("language") == F.max("language")), F.max("language")).alias("agreed"))
+    )
+    into = own.select(F.col("digest").alias("translations"), F.col("language").alias("into"))
+    found = recipes.join(into, "translations", "left").join(agreed, "recipe", "left")
+    return found.select("recipe", F.when(F.col("translations").isNotNull(), F.col("into")).otherwise(F.col("agreed")).alias("language"))
+
+
+def languages_of(components: DataFrame, compilations: DataFrame, by_recipe: DataFrame, languages: DataFrame, families: DataFrame) -> DataFrame:
+    """(digest, language) of components (digest, kind, of): `of` is what an expectation, trial or judge takes its language from.
+
+    A case has its family's (`families`: digest, language); a compiled skeleton (`compilations`: skeleton, recipe) the one
+    its recipes with a language agree on, an uncompiled one its own; expectations, trials and judges that of their case
+    or skeleton; others their own.
+    """
+    own = latest(languages, ["digest"]).select("digest", F.col("value").alias("own"))
+    votes = compilations.join(by_recipe, "recipe", "left").groupBy(F.col("skeleton").alias("digest"))
+    votes = votes.agg(F.when(F.min("language") == F.max("language"), F.max("language")).alias("vote"), F.lit(True).alias("compiled"))
+    case = families.select("digest", F.col("language").alias("family"))
+    direct = components.join(own, "digest", "left").join(votes, "digest", "left").join(case, "digest", "left")
+    kind = F.col("kind")
+    language = F.when(kind == "case", F.col("family")).when((kind == "skeleton") & F.col("compiled"), F.col("vote")).otherwise(F.col("own"))
+    told = direct.select("digest", kind, "of", language.alias("language"))
+    taken = told.where(kind.isin("expectation", "trial", "judge")).select("digest", "of")
+    through = taken.join(told.select(F.col("digest").alias("of"), "language"), "of", "left").select("digest", "language")
+    return told.where(~kind.isin("expectation", "trial", "judge")).select("digest", "language").unionByName(through)
+
+
 def language_mixed(trials: DataFrame, cases: DataFrame) -> DataFrame:
     """Trials (trial, language) whose cases (trial, language) speak another or an unknown language."""
     counted = (

@@ -12,7 +12,8 @@ from ..sources.texts import decoded
 
 
 def prepare_cases(
-    cases: DataFrame, files: DataFrame, appendices: DataFrame, cleanup: Sequence[str], layout: dict[str, str] | None = None
+    cases: DataFrame, files: DataFrame, appendices: DataFrame, cleanup: Sequence[str], layout: dict[str, str] | None = None,
+    key: tuple[str, bytes] | None = None,
 ) -> DataFrame:
     """Every case with the text of its vignette and appendices, whether the source drifted, and any problem.
 
@@ -21,9 +22,16 @@ def prepare_cases(
     A case holds few appendices, so they are joined per reference and put back in order. A case
     whose file isn't there or doesn't decode, or that refers to an appendix that isn't there, stays
     with null in that text's place and says so in `problem`.
+
+    With a `key` (its id and secret) fingerprints are keyed. Where cases have a `key_id`, one that isn't the key's (null
+    for none) can't be compared: the case says so, and whether it drifted stays unknown.
     """
     read = cases.join(files, ["source", "source_id"], "left")
-    observed = hashing.fingerprint(F.col("content"))
+    observed = hashing.fingerprint(F.col("content")) if key is None else hashing.hmac_fingerprint(F.col("content"), key[1])
+    given = F.lit(None if key is None else key[0]).cast("string")
+    keyed = F.col("key_id") if "key_id" in cases.columns else given
+    other = ~keyed.eqNullSafe(given)
+    named = lambda c: F.coalesce(F.concat(F.lit("'"), c, F.lit("'")), F.lit("None"))
     placed = (
         cases.select("digest", F.posexplode("appendices").alias("pos", "appendix"))
         .join(appendices.select(F.col("digest").alias("appendix"), "text"), "appendix", "left")
@@ -34,7 +42,8 @@ def prepare_cases(
     texts = F.coalesce("texts", F.array().cast("array<string>"))
     missing = F.coalesce("missing", F.lit(0))
     problem = (
-        F.when(F.col("content").isNull(), F.lit("its source has no such file"))
+        F.when(other, F.concat(F.lit("the case's vignette is fingerprinted with key "), named(keyed), F.lit(", not "), named(given)))
+        .when(F.col("content").isNull(), F.lit("its source has no such file"))
         .when(decoded(F.col("content")).isNull(), F.lit("its file isn't UTF-8"))
         .when(missing > 0, F.concat(missing.cast("string"), F.lit(" of its appendices are missing")))
     )
@@ -43,7 +52,7 @@ def prepare_cases(
         text.clean(decoded(F.col("content")), cleanup).alias("vignette"),
         F.when(missing == 0, text.join_appendices(texts, **(layout or {}))).alias("appendices"),
         observed.alias("fingerprint"),
-        (observed != F.col("hex")).alias("drifted"),
+        F.when(~other, observed != F.col("hex")).alias("drifted"),
         (F.col("content").isNotNull() & decoded(F.col("content")).isNull()).alias("undecodable"),
         problem.alias("problem"),
     )

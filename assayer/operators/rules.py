@@ -174,6 +174,32 @@ def model_settings(landed: DataFrame, writes: DataFrame, recommended: DataFrame)
     )
 
 
+def default_settings(settings: DataFrame, defaults: DataFrame) -> DataFrame:
+    """What each model does when no level is asked for: (model, level, refused, effort, sampling, reasons).
+
+    `settings`: model, level, landed, refused_level (why the level it lands on is refused), effort, sampling, refused (why
+    it can't be used as a whole); `defaults`: model, level (null where none is known). `reasons` is whether it reasons by
+    default: unknown where the level is refused, else whether it lands on another level than off.
+    """
+    both = defaults.join(settings, ["model", "level"], "left")
+    unknown = F.col("level").isNull()
+    refused = F.when(unknown, "no default reasoning level is known").otherwise(F.col("refused"))
+    reasons = F.when(~unknown & F.col("refused_level").isNull(), F.col("landed") != "off")
+    return both.select("model", "level", refused.alias("refused"), "effort", "sampling", reasons.alias("reasons"))
+
+
+def resolved(landed: DataFrame, writes: DataFrame, recommended: DataFrame) -> DataFrame:
+    """Settings with the level they land on and why that level alone is refused, for `default_settings`."""
+    facts = writes.select("model", F.col("level").alias("landed"), F.lit(True).alias("has_fact"), F.col("refused").alias("no"))
+    level = landed.join(facts, ["model", "landed"], "left")
+    why = (
+        F.when(F.col("goes_round"), "the collapses go round")
+        .when(F.col("has_fact").isNull(), message("nothing is known about reasoning '", F.col("landed"), "'"))
+        .otherwise(F.col("no"))
+    )
+    return model_settings(landed, writes, recommended).join(level.select("model", "level", "landed", why.alias("refused_level")), ["model", "level"])
+
+
 def clearance(runs: DataFrame, run_cases: DataFrame, sources: DataFrame, cleared: DataFrame) -> DataFrame:
     """Runs that would send sensitive sources where they aren't cleared to go.
 

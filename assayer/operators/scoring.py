@@ -375,6 +375,24 @@ def poolable(scores: DataFrame, flagged: DataFrame, by: list[str], digits: int |
     return summarise(scores.join(flagged, "log_id", "left_anti"), by, digits=digits)
 
 
+# Findings after which a log's results aren't pooled with others'.
+DISQUALIFYING = ("case.drift", "attestation.model", "attestation.prompt_tokens_drift", "ledger.seal")
+
+
+def pooled(scores: DataFrame, logs: DataFrame, findings: DataFrame, factors: list[str], digits: int | None = None) -> DataFrame:
+    """Summaries of scores (log_id, value) over logs that share everything pinned and recorded, and number of logs.
+
+    `logs`: log_id and the factors: trial, execution, rig, code that ran. Logs with a disqualifying finding stay out.
+    """
+    out = findings.where(F.col("code").isin(*DISQUALIFYING)).select("log_id").distinct()
+    fit = logs.withColumn("log_id", F.col("log_id").cast("string")).join(out, "log_id", "left_anti")
+    of = scores.withColumn("log_id", F.col("log_id").cast("string")).join(fit, "log_id")
+    counts = fit.groupBy(*factors).agg(F.count("*").alias("n_logs"))
+    same = [F.col(f).eqNullSafe(F.col(f"_{f}")) for f in factors]
+    counts = counts.select(*[F.col(f).alias(f"_{f}") for f in factors], "n_logs")
+    return summarise(of, factors, digits=digits).join(counts, same).drop(*[f"_{f}" for f in factors])
+
+
 def conflicts(expectations: DataFrame, schema: Column) -> DataFrame:
     """What keeps a scoring's expectations from being used: two for one case, or another schema's."""
     doubled = (

@@ -317,6 +317,40 @@ def language_vote(g: Given) -> DataFrame:
     return catalog.language_vote(g.sql(_PARTS), g.sql(_COMPILED), g.sql(_LANGUAGES))
 
 
+# Recipes with translations, skeletons of which some aren't compiled, and what takes its language from others.
+_RECIPES = "SELECT o_orderkey AS recipe, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey - o_custkey % 5 END AS translations FROM orders"
+_SOME_COMPILED = f"SELECT * FROM ({_COMPILED}) c WHERE skeleton % 3 <> 0"
+_SPEAKING = """
+SELECT concat('skeleton:', CAST(c_custkey AS STRING)) AS digest, 'skeleton' AS kind, CAST(NULL AS STRING) AS of FROM customer
+UNION ALL SELECT concat('trial:', CAST(c_custkey AS STRING)), CASE WHEN c_custkey % 2 = 0 THEN 'trial' ELSE 'judge' END, concat('skeleton:', CAST(c_custkey + 1 AS STRING)) FROM customer
+UNION ALL SELECT digest, 'case', NULL FROM d_case UNION ALL SELECT concat('expectation:', CAST(doc_id AS STRING)), 'expectation', digest FROM d_case
+UNION ALL SELECT DISTINCT concat('part:', CAST(p_partkey - p_partkey % 5 AS STRING)), 'chunk.prompt', CAST(NULL AS STRING) FROM part"""
+_CASE_FAMILY = "SELECT digest, CASE WHEN doc_id % 6 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'sv' ELSE 'en' END END AS language FROM d_case"
+_ALL_LANGUAGES = f"""
+SELECT id, concat('part:', CAST(digest AS STRING)) AS digest, value FROM ({_LANGUAGES}) l UNION ALL SELECT c_custkey, concat('skeleton:', CAST(c_custkey AS STRING)), 'fr' FROM customer WHERE c_custkey % 2 = 0"""
+
+
+@query(
+    "languages_of",
+    f"""
+WITH own AS (SELECT digest, arg_max(value, id) AS language FROM ({_ALL_LANGUAGES}) l GROUP BY digest),
+a AS (SELECT recipe, CASE WHEN count(*) = count(language) AND min(language) = max(language) THEN max(language) END AS agreed FROM ({_PARTS}) p LEFT JOIN own ON own.digest = concat('part:', CAST(p.digest AS STRING)) GROUP BY recipe),
+r AS (SELECT r.recipe, CASE WHEN translations IS NOT NULL THEN own.language ELSE agreed END AS language FROM ({_RECIPES}) r LEFT JOIN own ON own.digest = concat('part:', CAST(translations AS STRING)) LEFT JOIN a ON a.recipe = r.recipe),
+v AS (SELECT concat('skeleton:', CAST(skeleton AS STRING)) AS digest, CASE WHEN min(language) = max(language) THEN max(language) END AS vote FROM ({_SOME_COMPILED}) c LEFT JOIN r ON r.recipe = c.recipe GROUP BY skeleton),
+t AS (SELECT s.digest, s.kind, s.of, CASE WHEN kind = 'case' THEN f.language WHEN kind = 'skeleton' AND v.digest IS NOT NULL THEN v.vote ELSE own.language END AS language
+  FROM ({_SPEAKING}) s LEFT JOIN own ON own.digest = s.digest LEFT JOIN v ON v.digest = s.digest LEFT JOIN ({_CASE_FAMILY}) f ON f.digest = s.digest)
+SELECT digest, language FROM t WHERE kind IN ('case', 'skeleton', 'chunk.prompt') UNION ALL SELECT t.digest, o.language FROM t LEFT JOIN t o ON o.digest = t.of WHERE t.kind IN ('trial', 'judge', 'expectation')""",
+)
+def languages_of(g: Given) -> DataFrame:
+    """Languages of components of every kind: families', recipes' votes, own ones, and those taken from others."""
+    languages = g.sql(_ALL_LANGUAGES)
+    part = lambda c: F.concat(F.lit("part:"), F.col(c).cast("string"))
+    parts = g.sql(_PARTS).select("recipe", part("digest").alias("digest"))
+    recipes = g.sql(_RECIPES).select("recipe", part("translations").alias("translations"))
+    compiled = g.sql(_SOME_COMPILED).select(F.concat(F.lit("skeleton:"), F.col("skeleton").cast("string")).alias("skeleton"), "recipe")
+    return catalog.languages_of(g.sql(_SPEAKING), compiled, catalog.recipe_languages(recipes, parts, languages), languages, g.sql(_CASE_FAMILY))
+
+
 _TRIAL_LANG = "SELECT run AS trial, CASE run % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'sv' END AS language FROM d_run"
 _CASE_LANG = "SELECT c.run AS trial, CASE WHEN doc_id % 10 <> 0 THEN lang END AS language FROM (SELECT DISTINCT run, case_id FROM d_call) c JOIN documents d ON d.doc_id = c.case_id"
 

@@ -156,6 +156,27 @@ def model_settings(g: Given) -> DataFrame:
     return rules.model_settings(landed, g.sql(_LEVEL_FACTS), g.sql(_LEVEL_SAMPLING))
 
 
+_DEFAULTS = "SELECT p_partkey AS model, CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_size % 3 = 0 THEN 'off' WHEN p_size % 3 = 1 THEN 'low' ELSE 'high' END AS level FROM part"
+
+
+@query(
+    "default_settings",
+    f"""
+WITH RECURSIVE walk AS (SELECT model, level, level AS landed, 0 AS hops FROM d_level
+  UNION ALL SELECT w.model, w.level, l.next, hops + 1 FROM walk w JOIN d_level l ON l.model = w.model AND l.level = w.landed WHERE l.next IS NOT NULL AND hops < 9),
+last AS (SELECT model, level, max(hops) AS hops, arg_max(landed, hops) AS landed FROM walk GROUP BY model, level),
+j AS (SELECT d.model, d.level, landed, hops, f.model IS NOT NULL AS has_fact, f.refused, f.effort, s.sampling FROM ({_DEFAULTS}) d LEFT JOIN last l ON l.model = d.model AND l.level = d.level
+  LEFT JOIN ({_LEVEL_FACTS}) f ON hops < 9 AND f.model = d.model AND f.level = landed LEFT JOIN ({_LEVEL_SAMPLING}) s ON hops < 9 AND s.model = d.model AND s.level = landed),
+k AS (SELECT *, CASE WHEN level IS NULL THEN 'no default reasoning level is known' WHEN hops = 9 THEN 'the collapses go round' WHEN NOT has_fact THEN concat('nothing is known about reasoning ''', landed, '''') ELSE refused END AS no FROM j),
+w AS (SELECT *, CASE WHEN no IS NULL AND sampling IS NULL THEN concat('no sampling is recommended for reasoning ''', landed, '''') ELSE no END AS why FROM k)
+SELECT model, level, why AS refused, CASE WHEN why IS NULL THEN effort END AS effort, CASE WHEN why IS NULL THEN sampling END AS sampling, CASE WHEN no IS NULL THEN landed <> 'off' END AS reasons FROM w""",
+)
+def default_settings(g: Given) -> DataFrame:
+    """What models do when no reasoning level is asked for, and whether they reason then."""
+    landed = graph.land(g["d_level"], LEVELS)
+    return rules.default_settings(rules.resolved(landed, g.sql(_LEVEL_FACTS), g.sql(_LEVEL_SAMPLING)), g.sql(_DEFAULTS))
+
+
 # ------------------------------------------------------------------------------ clearance
 
 _SENT = """

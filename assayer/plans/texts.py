@@ -158,6 +158,29 @@ def prepare_cases(g: Given) -> DataFrame:
     return prepared.select("digest", F.sha2("vignette", 256).alias("vignette_hex"), "appendices", "drifted", "problem")
 
 
+@query(
+    "prepare_keyed",
+    f"""
+WITH c AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'k2' ELSE 'k1' END AS key_id, CASE WHEN doc_id % 10 = 3 THEN concat(text, '~') ELSE text END AS pinned FROM documents)
+SELECT doc_id, CASE WHEN key_id IS NOT DISTINCT FROM 'k1' THEN text <> pinned END AS drifted,
+  CASE WHEN key_id IS NULL THEN 'the case''s vignette is fingerprinted with key None, not ''k1''' WHEN key_id <> 'k1' THEN concat('the case''s vignette is fingerprinted with key ''', key_id, ''', not ''k1''') END AS problem,
+  sha256(from_hex('{_PADS[0]}') || from_hex(sha256(from_hex('{_PADS[1]}') || encode(text)))) AS fingerprint FROM c""",
+)
+def prepare_keyed(g: Given) -> DataFrame:
+    """Cases whose fingerprints are keyed; those of another key, or of none, aren't compared."""
+    docs = g.spread("documents").select("doc_id", "source", F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("source_id"), "text")
+    pinned = F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("~"))).otherwise(F.col("text"))
+    key_id = F.when(F.col("doc_id") % 6 == 0, None).when(F.col("doc_id") % 6 == 1, "k2").otherwise("k1")
+    cases = docs.select(
+        F.col("doc_id").alias("digest"), "source", "source_id", hashing.hmac_fingerprint(pinned, _KEY).alias("hex"), key_id.alias("key_id"),
+        F.array().cast("array<string>").alias("appendices"),
+    )
+    files = docs.select("source", "source_id", F.encode("text", "UTF-8").alias("content"))
+    none = g.spark.createDataFrame([], "digest string, text string")
+    prepared = prepare.prepare_cases(cases, files, none, [], key=("k1", _KEY))
+    return prepared.select(F.col("digest").alias("doc_id"), "drifted", "problem", "fingerprint")
+
+
 @query(
     "judge_fills",
     """
