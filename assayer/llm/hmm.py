@@ -153,6 +153,8 @@ def chunks(texts: list[np.ndarray]) -> Iterator[list[int]]:
 
 
 Parameters = tuple[np.ndarray, np.ndarray, np.ndarray]
+# Share of the log likelihood that an iteration must gain for another to follow.
+GAIN = 1e-4
 
 
 def expectations(texts: DataFrame, parameters: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -182,15 +184,19 @@ def expectations(texts: DataFrame, parameters: Parameters) -> tuple[np.ndarray,
     return flat[:a], flat[a:b].reshape(move.shape), flat[b:-1].reshape(emit.T.shape), float(flat[-1])
 
 
-def train(texts: DataFrame, mass: np.ndarray, states: int, warm: int, rounds: int) -> Parameters:
-    """Parameters after `warm` and then `rounds` iterations, each over all texts; where to begin if there are none."""
+def train(texts: DataFrame, mass: np.ndarray, states: int, warm: int, rounds: int, gain: float = GAIN) -> Parameters:
+    """Parameters after `warm` and then `rounds` iterations at most, each over all texts; where to begin if there are none.
+
+    It ends with the iteration whose log likelihood is better than that of the one before by no more than the share `gain`.
+    """
     prior = mass / mass.sum()
     rng = np.random.default_rng(5)
     start, move = np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     emit = prior[:, None] * rng.uniform(0.5, 1.5, (len(prior), states))
     parameters = (start, move, emit / emit.sum(axis=0))
+    before = None
     for _ in range(warm + rounds):
-        first, moves, emissions, _ = expectations(texts, parameters)
+        first, moves, emissions, log = expectations(texts, parameters)
         if not first.sum():
             break  # an update that saw no text would make all states alike for good
         start = (first + 1) / (first.sum() + states)
@@ -199,6 +205,9 @@ def train(texts: DataFrame, mass: np.ndarray, states: int, warm: int, rounds: in
         taken = np.minimum(emissions, DISCOUNT)
         emit = (emissions - taken + (taken.sum(axis=1, keepdims=True) + 1) * prior) / (emissions.sum(axis=1, keepdims=True) + 1)
         parameters = (start, move, np.ascontiguousarray(emit.T))
+        if before is not None and log - before <= gain * abs(before):
+            break
+        before = log
     return parameters
 
 
