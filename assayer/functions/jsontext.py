@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import tape
+from .tape import pretty
 
 _TOKENS = r'"(?:[^"\\]|\\.)*+"|[,:]|[^",:]+'
 
@@ -41,7 +41,7 @@ def sorted_top_level(bodies: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def indented(values: pd.Series) -> pd.Series:
     """JSON indented by two, as a judge reads it, each token as it is written."""
-    return values.map(lambda v: None if v is None else tape.pretty(v))
+    return values.map(lambda v: None if v is None else pretty(v))
 
 
 # Control characters whose escapes have a letter, which Spark writes in capitals.

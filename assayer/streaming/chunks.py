@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import jsontext
+from ..functions.jsontext import members
 from ..operators import windows
 from ..operators.findings import message
 from ..operators.requests import object_of
@@ -27,7 +28,7 @@ FIRST, LAST = ("id", "created", "model", "prompt_token_ids"), ("usage", "system_
 @F.pandas_udf(T.StructType([T.StructField(k, T.StringType()) for k in (*FIRST, *LAST)]))
 def _given(texts: pd.DataFrame) -> pd.DataFrame:
     """Each of these members, as written in the chunk that gives it."""
-    return pd.DataFrame({k: [None if t is None else jsontext.members(t)[k] for t in texts[k]] for k in (*FIRST, *LAST)}, dtype=object)
+    return pd.DataFrame({k: [None if t is None else members(t)[k] for t in texts[k]] for k in (*FIRST, *LAST)}, dtype=object)
 
 
 def _pieces(chunks: DataFrame, call: str) -> DataFrame:
@@ -134,10 +135,10 @@ def assemble(chunks: DataFrame, call: str = "call_id") -> DataFrame:
     given = lambda k: F.col(f"_given.{k}")
     listed = lambda c: F.when(F.col(c) != "", F.concat(F.lit("["), F.col(c), F.lit("]")))
     speaker = F.coalesce("role", F.lit("assistant"))
-    members = F.transform("texts", lambda m: F.concat(quoted(m["key"]), F.lit(":"), quoted(m["text"])))
+    spoken = F.transform("texts", lambda m: F.concat(quoted(m["key"]), F.lit(":"), quoted(m["text"])))
     body = F.concat(
         F.array(F.concat(F.lit('"role":'), quoted(speaker))),
-        F.coalesce(members, F.array().cast("array<string>")),
+        F.coalesce(spoken, F.array().cast("array<string>")),
         F.array_compact(F.array(F.concat(F.lit('"tool_calls":'), listed("tool_calls")))),
     )
     choice = object_of([
@@ -209,7 +210,7 @@ class Running:
         chunk = json.loads(text)
         if not isinstance(chunk, dict):
             return
-        for key, raw in jsontext.members(text).items():
+        for key, raw in members(text).items():
             if raw != "null" and (key in LAST or key in FIRST and key not in head["first"]):
                 self.tops[key] = raw
                 head["first"] += [key] if key in FIRST else []
