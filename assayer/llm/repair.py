@@ -44,10 +44,8 @@ def search(rows: list[Row], start: int = START, end: int = DONE) -> tuple[int, s
 
     A way to DONE may end with insertions; a way to any other place ends with its last row.
     """
-    if end == START and start != START:
-        return None
-    if end == SYSTEM and start != SYSTEM and not (start == START and any(r[0] == "s" for r in rows)):
-        return None
+    if end in (START, SYSTEM):
+        return _deleted(rows, start, end)
     size = len(rows)
     least = [0] * (size + 1)
     for i in range(size - 1, -1, -1):
@@ -95,6 +93,18 @@ def search(rows: list[Row], start: int = START, end: int = DONE) -> tuple[int, s
     return None
 
 
+def _deleted(rows: list[Row], start: int, end: int) -> tuple[int, str] | None:
+    """The only ways to where nothing or just a system row was: all rows go, or all but one system row, the last of the cheapest."""
+    sizes = [n for _, _, n in rows]
+    if start == end:
+        return DELETE * sum(sizes), "D" * sum(sizes)
+    kept_rows = [(TRUNCATED * truncated, -i) for i, (initial, truncated, _) in enumerate(rows) if initial == "s"]
+    if start != START or end != SYSTEM or not kept_rows:
+        return None
+    extra, i = min(kept_rows)
+    return DELETE * (sum(sizes) - 1) + extra, "D" * sum(sizes[:-i]) + "K" + "D" * sum(sizes[1 - i :])
+
+
 def apply(rows: list[dict], audit: str, start: int = START) -> list[tuple[str, str]]:
     """Role and text of what the edits leave."""
     left, place, at = [], start, 0
