@@ -9,6 +9,7 @@ need no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import filterfalse
@@ -25,6 +26,10 @@ END = 1
 # A sign that makes one id by itself, and whose id nothing else makes.
 BAR = "|"
 DIMENSIONS, BITS = 4, 12
+# Signs between a letter and white space: a pre-token of their own.
+STOPS = re.compile(r"[.,;:!?](?<=[^\W\d_].)[.,;:!?]*(?=\s|$)")
+# Anything but Latin letters and signs whose lower case, one character for one, all agree on.
+UNUSUAL = re.compile("[^\x00-\u012f\u0131-\u024f\u2000-\u206f]")
 # Words whose ids a worker keeps; beyond it starts anew.
 MEMO = 1_200_000
 
@@ -73,6 +78,8 @@ class Ids:
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
         self.known: dict[str, bytes] = {}
+        one, other = (tokenizer.encode(x, add_special_tokens=False).ids for x in ("Aa, Éb... c", "aa , éb ... c"))
+        self.split = split if one == other else str.split
 
     def learn(self, texts: list[list[str]]) -> None:
         new: set[str] = set()
@@ -81,19 +88,33 @@ class Ids:
         if len(self.known) + len(new) > MEMO:
             self.known.clear()
             new = set().union(*texts)
+        self.encode(new)
+
+    def encode(self, new: set[str]) -> None:
         for w in [w for w in new if BAR in w]:
             self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint16).tobytes()
         plain = [w for w in new if BAR not in w]
         between, mark = f"\n{BAR}\n", self.tokenizer.encode(BAR, add_special_tokens=False).ids
-        for at in range(0, len(plain), 1024):
-            # Many words are encoded as one text, with a bar, which none of them has, between any two.
-            part = plain[at : at + 1024]
-            ids = np.array(self.tokenizer.encode(between.join(part), add_special_tokens=False).ids, np.uint16)
+        # Many words are encoded as one text, with a bar, which none of them has, between any two.
+        lots = [plain[at : at + 1024] for at in range(0, len(plain), 1024)]
+        for part in lots:
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, np.uint16)
             cuts = (np.flatnonzero(ids == mark[0]) * 2).tolist()
             raw = ids.tobytes()
             self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *(c + 2 for c in cuts)], [*cuts, len(raw)], strict=True)), strict=True))
 
 
+def split(text: str) -> list[str]:
+    """A text's words with the stops behind them apart, in lower case where that is safe.
+
+    For a tokenizer that folds case and never joins letters with what isn't one the ids stay those of the text.
+    Special strings, which aren't folded, stay as they are.
+    """
+    if "<|" not in text and (text.isascii() or not UNUSUAL.search(text)):
+        text = text.lower()
+    return STOPS.sub(r" \g<0>", text).split()
+
+
 def _tokenizer(path: str | None):
     import os
 
@@ -127,10 +148,10 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
             texts = batch.column("text").to_pylist()
             for at in range(0, len(texts), 512):
                 part = [x or "" for x in texts[at : at + 512]]
-                split = [x.split() if _plain(x) else None for x in part]
-                book.learn([s for s in split if s])
+                words = [book.split(x) if _plain(x) else None for x in part]
+                book.learn([w for w in words if w])
                 ids = []
-                for text, found in zip(part, split, strict=True):
+                for text, found in zip(part, words, strict=True):
                     if found is None:
                         own = np.array(book.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
                     else:
