@@ -180,3 +180,26 @@ def test_no_edge_cut_or_edge_changed_item_is_missed():
             assert part.similarity(h[found[i]["start"] :][:n], i) == found[i]["similarity"]
             missed[found[i]["distance"] > 9] += 1
     assert missed[1] > 20  # beyond the radius there was
+
+
+def test_links_inside_a_template_are_found(spark):
+    """Texts that share a template lie just below the limit; only planted pairs of them are linked."""
+    rng = random.Random(4)
+    size, n, pairs = 400, 600, 150
+    rows = []
+    for i in range(n):
+        text = [f"t{j}" for j in range(size)]
+        for place in rng.sample(range(0, size, 3), 32):
+            text[place] = f"u{i}x{place}"
+        rows.append(text)
+    for q in range(pairs):
+        rows[2 * q + 1] = list(rows[2 * q])
+        for place in rng.sample(range(1, size, 3), 20):
+            rows[2 * q + 1][place] = f"v{q}x{place}"
+    sets = [shingles(" ".join(x), 2) for x in rows]
+    similar = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    assert all(similar(2 * q, 2 * q + 1) for q in range(pairs)) and not any(similar(i, i + 2) for i in range(n - 2))
+    given = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in link(given, k=2).collect()}
+    assert sum(found[2 * q + 1] == 2 * q for q in range(pairs)) >= 0.99 * pairs
+    assert all(found[i] == i for i in range(n) if i >= 2 * pairs or i % 2 == 0)

@@ -9,7 +9,7 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from assayer.llm.packing import hilbert, pack  # noqa: E402
+from assayer.llm.packing import Ids, _tokenizer, hilbert, pack, split  # noqa: E402
 from assayer.llm.tokens import Splitter, count_tokens  # noqa: E402
 
 
@@ -73,3 +73,17 @@ def test_the_curve_visits_all_and_steps_to_neighbours():
         assert sorted(keys.tolist()) == list(range(len(grid)))
         steps = np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(axis=1)
         assert (steps == 1).all()
+
+
+def test_words_split_as_the_tokenizer_does():
+    book = Ids(_tokenizer(None))
+    assert book.split is split
+    cases = [
+        "a.. b", "Ä.Öß! ÇA, va?", "it's. 'S. x.'s IT'S, don't.", "é.", "İstanbul. ΣΑΣ.", "a1. 1. a_. (a). a).", "..., .a",
+        "Á. é,", "ſ. K. x̀.", "<|endoftext|>. <|ENDOFTEXT|>, a<|startoftext|>.", " a. b.  c.\x85d.",
+        "ŉ. ǅ, Ǆ. ẞ!", "a.̸ b!̸", "", "A|B. c|, |", "日本。 語, ok",
+    ]
+    for text in cases:
+        words = book.split(text)
+        book.learn([words])
+        assert list(np.frombuffer(b"".join(book.known[w] for w in words), np.uint16)) == book.tokenizer.encode(text, add_special_tokens=False).ids, text
