@@ -153,14 +153,19 @@ def sampling_unmatched(pairs: DataFrame, recommended: DataFrame) -> DataFrame:
     )
 
 
+def _sorted(levels: DataFrame) -> DataFrame:
+    """Rows per model and level, to be joined by sorting: the optimizer takes levels spread from a model's row for no larger than that row, and would gather them on the driver to broadcast them."""
+    return levels.hint("merge")
+
+
 def model_settings(landed: DataFrame, writes: DataFrame, recommended: DataFrame) -> DataFrame:
     """Per model and reasoning level, what it writes and samples, or why the model refuses it.
 
     `landed`: model, level, landed, goes_round; `writes`: model, level, effort, refused;
     `recommended`: model, level, sampling.
     """
-    at = landed.join(writes.withColumnRenamed("level", "landed").withColumn("has_fact", F.lit(True)), ["model", "landed"], "left")
-    at = at.join(recommended.withColumnRenamed("level", "landed"), ["model", "landed"], "left")
+    at = landed.join(_sorted(writes.withColumnRenamed("level", "landed").withColumn("has_fact", F.lit(True))), ["model", "landed"], "left")
+    at = at.join(_sorted(recommended.withColumnRenamed("level", "landed")), ["model", "landed"], "left")
     refusal = (
         F.when(F.col("goes_round"), "the collapses go round")
         .when(F.col("has_fact").isNull(), message("nothing is known about reasoning '", F.col("landed"), "'"))
@@ -181,7 +186,7 @@ def default_settings(settings: DataFrame, defaults: DataFrame) -> DataFrame:
     it can't be used as a whole); `defaults`: model, level (null where none is known). `reasons` is whether it reasons by
     default: unknown where the level is refused, else whether it lands on another level than off.
     """
-    both = defaults.join(settings, ["model", "level"], "left")
+    both = defaults.join(_sorted(settings), ["model", "level"], "left")
     unknown = F.col("level").isNull()
     refused = F.when(unknown, "no default reasoning level is known").otherwise(F.col("refused"))
     reasons = F.when(~unknown & F.col("refused_level").isNull(), F.col("landed") != "off")
@@ -191,13 +196,13 @@ def default_settings(settings: DataFrame, defaults: DataFrame) -> DataFrame:
 def resolved(landed: DataFrame, writes: DataFrame, recommended: DataFrame) -> DataFrame:
     """Settings with the level they land on and why that level alone is refused, for `default_settings`."""
     facts = writes.select("model", F.col("level").alias("landed"), F.lit(True).alias("has_fact"), F.col("refused").alias("no"))
-    level = landed.join(facts, ["model", "landed"], "left")
+    level = landed.join(_sorted(facts), ["model", "landed"], "left")
     why = (
         F.when(F.col("goes_round"), "the collapses go round")
         .when(F.col("has_fact").isNull(), message("nothing is known about reasoning '", F.col("landed"), "'"))
         .otherwise(F.col("no"))
     )
-    return model_settings(landed, writes, recommended).join(level.select("model", "level", "landed", why.alias("refused_level")), ["model", "level"])
+    return model_settings(landed, writes, recommended).join(_sorted(level.select("model", "level", "landed", why.alias("refused_level"))), ["model", "level"])
 
 
 def clearance(runs: DataFrame, run_cases: DataFrame, sources: DataFrame, cleared: DataFrame) -> DataFrame:
