@@ -7,8 +7,12 @@ confirmed on the texts, a node's best candidates first. In regions that hold sev
 then meet the region's nodes with the most links, round by round until the last finds no link. What all of a
 crowded region share can't tell its nodes apart, however deep a tree is; so there the trees go on with what
 few nodes have: every shingle of a node's sample that is rare among the crowded nodes is a branch, and the nodes
-that follow each other in most of their branches are candidates. A group of any size costs as many comparisons
+that follow each other in most of their branches are candidates. So far a group of any size costs as many comparisons
 as it has members, and no group is gathered anywhere.
+
+What the trees missed is found exactly: two sets similar enough share a shingle among the first of each, in any order
+that all sets have in common. Nodes of different components that share one there, and could still share enough after
+it, are confirmed too, all of them. Where many different texts share what is rarest in them, that is quadratic.
 """
 
 from __future__ import annotations
@@ -37,6 +41,10 @@ HUBS = (1, 8)
 # Shingles of a crowded node that are branches of their own, on the average; nodes that a branch has at most, since
 # one with more tells too little apart; branches in which two nodes must follow each other.
 SAMPLE, RARE, SHARED = 256, 64, 2
+# Nodes, about, whose shingles are counted for the order that sets are read in, and shingles the order knows to be
+# frequent: these change how many candidates there are, not which links are found. Nodes of a shared shingle that
+# one task compares with the others at a time.
+COUNTED, FREQUENT, BESIDE = 20_000, 65_536, 1024
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -230,6 +238,58 @@ def _with_hubs(crowded: DataFrame, hubs: int) -> DataFrame:
     return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
+def _frequent(docs: DataFrame, nodes: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of frequent shingles and how often each is in a sample of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(text, k) for text in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))], names=["shingle"])
+
+    chosen = docs.filter(F.pmod(F.xxhash64("id"), F.lit(max(nodes // COUNTED, 1))) == 0)
+    counted = chosen.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
+    hashed, often = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+    order = np.argsort(hashed.view(np.uint64))
+    return hashed.view(np.uint64)[order], often[order]
+
+
+def _by_prefixes(docs: DataFrame, nodes: DataFrame, joined: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(a, b): all nodes of different components that may be similar enough, by the least frequent of their shingles."""
+    percent = round(similarity * 100)
+    frequent, often = _frequent(docs, nodes.count(), k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, sizes = [], []
+            for text in texts_of(batch):
+                own = shingle_set(text, k)
+                rank = np.zeros(len(own), np.int64)
+                if len(frequent) and len(own):
+                    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+                    rank = np.where(frequent[at] == own, often[at], 0)
+                least = (percent * len(own) + 99) // 100
+                found.append(own[np.lexsort((own, rank))[: len(own) - least + 1 if len(own) else 0]].view(np.int64))
+                sizes.append(len(own))
+            ends = np.cumsum([0, *map(len, found)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), lists], names=["id", "size", "shingles"])
+
+    named = nodes.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    first = docs.mapInArrow(run, "id long, size long, shingles array<long>").join(named, "id")
+    places = kept(first.select("id", "size", "component", F.posexplode("shingles").alias("place", "shingle")))
+    by = places.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+    shared = by.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components")).filter("components > 1")
+    # The nodes of a shingle's main component needn't meet each other; the rest meet all, so many of them at a time.
+    members = kept(places.join(shared.select("shingle", "main", F.ceil(F.col("n") / BESIDE).cast("int").alias("parts")), "shingle"))
+    rest = members.filter("component <> main").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    every = members.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("other"), F.col("size").alias("o_size"), F.col("place").alias("o_place"), F.col("component").alias("of"))
+    left = F.least(F.col("size") - F.col("place"), F.col("o_size") - F.col("o_place"))
+    enough = (100 + percent) * left >= percent * (F.col("size") + F.col("o_size"))
+    met = rest.join(every, ["shingle", "part"]).filter((F.col("component") != F.col("of")) & enough)
+    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
 def link(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text).
 
@@ -271,6 +331,12 @@ def link(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
         if found_more:
             links = kept(links.unionByName(more))
             joined = components(links)
+    chosen = chosen.filter("id IS NOT NULL")
+    missed = kept(_by_prefixes(chosen, nodes, joined, k, similarity))
+    ends = missed.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    more = confirmed(missed, kept(chosen.join(ends, "id", "left_semi").dropDuplicates(["id"])), k, similarity).filter("linked").select("a", "b")
+    if more.limit(1).count():
+        joined = components(kept(links.unionByName(more)))
     named = classes.select("set", F.col("id")).join(joined, "id", "left").select("set", F.coalesce("component", "id").alias("component"))
     out = found.select("doc_id", "n_shingles", "set").join(named, "set", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

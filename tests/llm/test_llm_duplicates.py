@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from assayer.llm import near_dup
 from assayer.llm.common import hashes, long_windows, rolling
 from assayer.llm.components import components
 from assayer.llm.decontamination import Items, blocks, find
@@ -60,6 +61,26 @@ def test_components_equal_brute_force(spark, docs, rows, k):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), of[r.doc_id], of[r.doc_id] == r.doc_id), r.doc_id
 
 
+@pytest.mark.parametrize("beside", [1024, 3])
+def test_links_that_the_trees_miss_are_found(spark, docs, rows, monkeypatch, beside):
+    found = near_dup.neighbours
+    monkeypatch.setattr(near_dup, "neighbours", lambda nodes: found(nodes).limit(0))
+    monkeypatch.setattr(near_dup, "BESIDE", beside)
+    rng = random.Random(9)
+    more = []
+    for base in range(3):
+        original = prose(rng, 60 + 50 * base).split()
+        for i in range(12):
+            near = list(original)
+            for place in rng.sample(range(len(near)), i):
+                near[place] = f"new{base}x{i}x{place}"
+            more.append((300 + 20 * base + i, " ".join(near), "en", "s", 1))
+    more += [(400 + i, " ".join(f"v{j}" for j in range(2 + i)), "en", "s", 1) for i in range(12)]
+    sets, of = brute_components([*rows, *more], 2)
+    result = link(docs.select(*DOCUMENT.names).unionByName(spark.createDataFrame(more, DOCUMENT)), k=2).collect()
+    assert {r.doc_id: r.component_id for r in result if r.doc_id is not None} == of
+
+
 def test_nothing_is_linked_with_nothing(nothing):
     assert link(nothing).count() == 0
 
