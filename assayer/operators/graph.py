@@ -98,6 +98,24 @@ def mistyped(refs: DataFrame, components: DataFrame) -> DataFrame:
     )
 
 
+def broken(refs: DataFrame, components: DataFrame, own: DataFrame) -> DataFrame:
+    """`dangling` and `mistyped` references of the components `own` (digest).
+
+    What is referred to is looked up once for all references to it, and only references that are wrong are asked
+    whose they are.
+    """
+    ends = refs.select("dst", "kinds").distinct()
+    known = components.select(F.col("digest").alias("dst"), "kind", F.lit(False).alias("missing"))
+    wrong = ends.join(known, "dst", "left").withColumn("missing", F.coalesce("missing", F.lit(True)))
+    wrong = wrong.where(F.col("missing") | ~F.array_contains("kinds", F.col("kind")))
+    wrong = wrong.select(F.col("dst").alias("_dst"), F.col("kinds").alias("_kinds"), "kind", "missing")
+    met = refs.join(wrong, F.col("dst").eqNullSafe(F.col("_dst")) & F.col("kinds").eqNullSafe(F.col("_kinds")))
+    met = met.select("src", "path", "dst", "missing", F.when(~F.col("missing"), message(F.col("kind"), " is not one of ", F.array_join("kinds", ", "))).alias("wrong"))
+    found = met.join(own.select(F.col("digest").alias("src")), "src", "left_semi")
+    text = F.when(F.col("missing"), message(F.col("dst"), " is missing")).otherwise(F.col("wrong"))
+    return finding(found, F.when(F.col("missing"), "ref.missing").otherwise("ref.kind"), text, F.concat("src", "path"), level="error")
+
+
 def compilations(refs: DataFrame, path: str = "/skeleton") -> DataFrame:
     """What refers to a component from a given place."""
     return refs.where(F.col("path") == path).select(F.col("dst").alias("skeleton"), F.col("src").alias("compilation"))

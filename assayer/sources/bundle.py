@@ -32,13 +32,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def verify(components: DataFrame, roots: DataFrame, refs: DataFrame) -> DataFrame:
     """What is wrong with a bundle: bytes that don't match, roots and references it lacks."""
     missing_roots = roots.select("digest").distinct().join(components.select("digest"), "digest", "left_anti")
-    own_refs = refs.join(components.select(F.col("digest").alias("src")), "src", "left_semi")
     return union(
         finding(
             corrupt(components), "bundle.digest", message(F.col("digest"), " does not match its bytes"),
             F.col("digest"), level="error",
         ),
         finding(missing_roots, "bundle.root", "root missing from bundle", F.col("digest"), level="error"),
-        graph.dangling(own_refs, components),
-        graph.mistyped(own_refs, components),
+        graph.broken(refs, components, components),
     )
