@@ -148,6 +148,8 @@ def next_requests(rounds: DataFrame, results: DataFrame) -> DataFrame:
     (JSON text); `results`: item, id, result. A response makes few calls; each is joined to its
     result by id and put back in order. A call without a result makes the round an error.
     """
+    # Dealt out by item first, as its calls and the join need it, so that responses are read after that, once.
+    rounds = rounds.repartition("item")
     parsed = rounds.select("item", F.try_parse_json("response").alias("response"))
     response = F.col("response")
     calls = parsed.select("item", F.posexplode(responses.tool_calls(response)).alias("pos", "call"))
@@ -171,9 +173,9 @@ def next_requests(rounds: DataFrame, results: DataFrame) -> DataFrame:
         )
     )
     # As the model wrote them: the order of their members counts for the request's fingerprint.
-    sent = lambda member: F.coalesce(F.get(tape.picks(response, responses.message_path(member)), F.lit(0)), F.lit("null"))
+    sent = lambda place: F.coalesce(F.get("_sent", F.lit(place)), F.lit("null"))
     assistant = F.concat(
-        F.lit('{"role":"assistant","content":'), sent(".content"), F.lit(',"tool_calls":'), sent(".tool_calls"), F.lit("}")
+        F.lit('{"role":"assistant","content":'), sent(0), F.lit(',"tool_calls":'), sent(1), F.lit("}")
     )
     tools = F.transform(F.coalesce("tools", F.array().cast("array<struct<pos:int,text:string>>")), lambda t: t["text"])
     body = F.concat(
@@ -181,7 +183,8 @@ def next_requests(rounds: DataFrame, results: DataFrame) -> DataFrame:
         F.array_join(F.concat("messages", F.array(assistant), tools), ","), F.lit("]"), "tail",
     )
     unresolved = F.coalesce("unresolved", F.lit(0))
-    return rounds.join(answered, "item", "left").select(
+    read = tape.members(F.col("response"), responses.message_path(""), ["content", "tool_calls"])
+    return rounds.join(answered, "item", "left").withColumn("_sent", read).select(
         "item",
         F.when(unresolved == 0, body).alias("request"),
         F.when(unresolved > 0, message("no result for ", unresolved, " tool calls")).alias("problem"),
