@@ -114,7 +114,9 @@ def title_parts(
     """
     last = heads(edits).select("thread", "digest", "compilation")
     known = about(entries).select("thread", "name", "deleted")
-    state = last.join(known, "thread", "left").withColumn("deleted", F.coalesce("deleted", F.lit(False)))
+    checkpoint_dir(edits.sparkSession)
+    # A row a thread, which every kind of title asks for.
+    state = last.join(known, "thread", "left").withColumn("deleted", F.coalesce("deleted", F.lit(False))).checkpoint()
     named = F.col("name").isNotNull()
     unnamed = state.where(~named)
     fork = unnamed.join(forked.select("thread", "origin"), "thread")

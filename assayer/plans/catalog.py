@@ -285,8 +285,10 @@ UNION ALL SELECT concat('d:', digest), title FROM part""",
 )
 def composed_titles(g: Given) -> DataFrame:
     """Titles of all threads and digests: names, forks by their changes, recipes by their parts, cases with appendices."""
+    g = g.kept("d_thread", "d_recipe_doc", "d_recipe_part")
     forked, fields, recipes = _shapes(g)
-    varied = catalog.variation_in_shape(forked, fields, recipes)
+    forked = forked.checkpoint()
+    varied = catalog.variation_in_shape(forked, fields, recipes).checkpoint()
     short = F.concat(F.lit("component "), F.substring(F.regexp_replace("digest", "^sha256:", ""), 1, 6))
     notes = _appendices(g).select("digest", text.snippet(F.col("text")).alias("description"))
     edited, used = g["d_edit"].select("digest").distinct(), g["d_recipe_part"].select("digest").distinct()
