@@ -233,21 +233,19 @@ def units(text: Column) -> Column:
 def words_at(text: Column) -> Column:
     """The text's folded words with their code-point offsets: array<struct<start,word>>."""
 
-    def placed(pieces: Column) -> Column:
-        starts = running_starts(F.transform(pieces, F.length))
-        pairs = F.zip_with(
-            starts, pieces, lambda at, p: F.struct(at.alias("start"), p.alias("word"))
-        )
-        kept = F.filter(pairs, lambda w: w["word"].rlike(rf"^[{WORD}]"))
+    def placed(words: Column, gaps: Column) -> Column:
+        """A word's start is that of the gap before it, and its length."""
+        both = F.zip_with(gaps, words, lambda gap, w: F.length(gap) + F.length(w))
+        starts = F.zip_with(running_starts(both), gaps, lambda at, gap: at + F.length(gap))
         # Whether folding is more than lower-casing is asked once per text, not per word.
         plain = F.lower(text).rlike(_LATIN_ONLY)
         simple = lambda w: F.replace(F.lower(w), F.lit("ß"), F.lit("ss"))
-        folded = lambda make: F.transform(
-            kept, lambda w: F.struct(w["start"].alias("start"), make(w["word"]).alias("word"))
-        )
+        folded = lambda make: F.zip_with(starts, words, lambda at, w: F.struct(at.alias("start"), make(w).alias("word")))
         return F.when(plain, folded(simple)).otherwise(folded(fold))
 
-    return let(word_pieces(text), placed)
+    gaps = F.split(text, f"[{WORD}]+", -1)
+    words = F.regexp_extract_all(text, F.lit(f"[{WORD}]+"), F.lit(0))
+    return let(words, lambda w: let(F.slice(gaps, 1, F.size(w)), lambda g: placed(w, g)))
 
 
 @F.pandas_udf(T.StringType())

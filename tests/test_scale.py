@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from assayer.operators import rules
+from assayer.functions import tape, text
+from assayer.operators import requests, rules, seals
+from assayer.plans.tables import Given
+from assayer.sources import bundle
 
 
 def plan(frame):
@@ -23,3 +26,64 @@ def test_levels_of_models_are_not_gathered_on_the_driver(spark, tmp_path):
         assert "Broadcast" not in plan(found)
     assert settings.where("refused IS NULL").count() == 5000
     assert sorted((r.level, r.refused, r.reasons) for r in chosen.where("model = 3").collect()) == [("l0", None, True), ("l6", "no", None)]
+
+
+def test_what_is_referred_to_is_looked_up_once(spark):
+    """Odd references: a null end, no kinds, a component there twice, references of nobody."""
+    components = spark.createDataFrame([("a", "x", "{}"), ("b", "y", "{}"), ("b", "y", "{}"), ("n", None, "{}")], "digest string, kind string, canonical string")
+    refs = spark.createDataFrame(
+        [("a", "/1", "b", ["x", "z"]), ("a", "/2", "b", ["y"]), ("a", "/3", "gone", ["y"]), ("a", "/3", "gone", ["y"]), ("a", "/4", None, ["y"]), ("a", "/5", "b", None), ("a", "/6", "n", ["x"]), ("other", "/7", "gone", ["y"])],
+        "src string, path string, dst string, kinds array<string>",
+    )
+    roots = components.where("digest = 'a'").select("digest")
+    found = bundle.verify(components, roots, refs)
+    got = sorted((r.code, r.subject, r.message or "") for r in found.where("code <> 'bundle.digest'").collect())
+    assert got == [("ref.kind", "a/1", "y is not one of x, z")] * 2 + [("ref.missing", "a/3", "gone is missing")] * 2 + [("ref.missing", "a/4", "")]
+    # One look at the references for their ends, one for those that are wrong.
+    for setting, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"),):
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, value)
+        shuffled = [line for line in plan(bundle.verify(components, roots, refs)).splitlines() if "Exchange hashpartitioning(src" in line]
+        spark.conf.set(setting, before)
+    assert len(shuffled) == 2  # references and components, each once
+
+
+def test_a_response_is_read_once_for_all_its_members(spark):
+    response = '{"a":1, "choices":[{"message":{"tool_calls": [1.50, {"z":1,"a":"x  y"}],"content":"q","content":"r"}}]}'
+    rows = spark.createDataFrame([(1, response), (2, "no json"), (3, None), (4, '{"choices":[{"message":[1]}]}')], "item int, response string")
+    got = {r.item: r.m for r in rows.select("item", tape.members(F.col("response"), "$.choices[0].message", ["content", "tool_calls", "none"]).alias("m")).collect()}
+    assert got == {1: ['"r"', '[1.50,{"z":1,"a":"x  y"}]', None], 2: [None] * 3, 3: None, 4: [None] * 3}
+    rounds = rows.select("item", F.lit("{").alias("head"), F.array().cast("array<string>").alias("messages"), F.lit("}").alias("tail"), "response")
+    results = spark.createDataFrame([], "item int, id string, result string")
+    made = requests.next_requests(rounds, results)
+    assert plan(made).count("picked(") == 1 or plan(made).count("ArrowEvalPython [") == 1
+    assert made.where("item = 1").first().request.startswith('{"messages":[{"role":"assistant","content":"r","tool_calls":[1.50')
+
+
+def test_rows_are_hashed_once_to_find_what_changed(spark, monkeypatch):
+    calls, made = [], seals.nodes
+    monkeypatch.setattr(seals, "nodes", lambda rows: calls.append(1) or made(rows))
+    was = spark.createDataFrame([(1, "items", f"r{i}") for i in range(9)] + [(2, "items", "x")], "log_id long, part string, canonical string")
+    now = was.where("canonical <> 'r3'").unionByName(was.where("canonical = 'r4'"))
+    found = seals.changes(made(was).withColumn("bucket", seals.bucket()).checkpoint(), now)
+    assert sorted((r.log_id, r.was, r.now) for r in found.collect()) == [(1, 1, 0), (1, 1, 2)]
+    assert len(calls) == 1
+
+
+def test_kept_views_are_read_back(spark, tmp_path):
+    g = Given(spark, "/root/testdata/sf0.001")
+    made = g.kept("d_run")
+    assert made.has("d_run") and not g.has("d_run")
+    assert "parquet" not in plan(made["d_run"]) and sorted(made["d_run"].collect()) == sorted(g["d_run"].collect())
+
+
+def test_words_of_odd_texts(spark):
+    texts = ["", " ", "a", " a", "a ", "Straße, ÉÅ x1", "..İ ﬁ\U0001f600b", None, "x " * 3000 + "y"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", text.words_at(F.col("t")).alias("w")).collect()
+    import re
+
+    for r in rows:
+        if r.t is None:
+            assert r.w is None
+        else:
+            assert [(w.start, w.word) for w in r.w] == [(m.start(), m.group().casefold()) for m in re.finditer(r"\w+", r.t)], r.t
