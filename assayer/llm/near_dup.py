@@ -12,7 +12,8 @@ as it has members, and no group is gathered anywhere.
 
 What the trees missed is found exactly: two sets similar enough share a shingle among the first of each, in any order
 that all sets have in common. Nodes of different components that share one there, and could still share enough after
-it, are confirmed too, all of them. Where many different texts share what is rarest in them, that is quadratic.
+it, are candidates too, all of them. Those whose bitmaps differ in too many bits to be similar enough are left out, all
+others are confirmed on the texts. Where many different texts share what is rarest in them, that is quadratic.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,7 +45,7 @@ SAMPLE, RARE, SHARED = 256, 64, 2
 # Nodes, about, whose shingles are counted for the order that sets are read in, and shingles the order knows to be
 # frequent: these change how many candidates there are, not which links are found. Nodes of a shared shingle that
 # one task compares with the others at a time.
-COUNTED, FREQUENT, BESIDE = 20_000, 65_536, 1024
+COUNTED, FREQUENT, BESIDE = 20_000, 1 << 20, 1024
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -239,7 +240,7 @@ def _with_hubs(crowded: DataFrame, hubs: int) -> DataFrame:
 
 
 def _frequent(docs: DataFrame, nodes: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of frequent shingles and how often each is in a sample of the texts."""
+    """Sorted hashes of frequent shingles, FREQUENT at most, and how often each is in a sample of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,21 +248,59 @@ def _frequent(docs: DataFrame, nodes: int, k: int) -> tuple[np.ndarray, np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))], names=["shingle"])
 
     chosen = docs.filter(F.pmod(F.xxhash64("id"), F.lit(max(nodes // COUNTED, 1))) == 0)
-    counted = chosen.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
-    hashed, often = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+    counted = kept(chosen.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 1"))
+    # All that are as frequent as the bound allows.
+    least, total = None, 0
+    for n, shingles in counted.groupBy(F.least("n", F.lit(4096)).alias("n")).count().orderBy(F.desc("n")).collect():
+        total += shingles
+        if total > FREQUENT:
+            break
+        least = n
+    found = counted.filter(F.lit(False) if least is None else F.col("n") >= least).toArrow()
+    hashed, often = (found.column(c).to_numpy() for c in ("shingle", "n"))
     order = np.argsort(hashed.view(np.uint64))
     return hashed.view(np.uint64)[order], often[order]
 
 
-def _by_prefixes(docs: DataFrame, nodes: DataFrame, joined: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(a, b): all nodes of different components that may be similar enough, by the least frequent of their shingles."""
-    percent = round(similarity * 100)
-    frequent, often = _frequent(docs, nodes.count(), k)
+def bitmap(shingles: np.ndarray) -> bytes:
+    """For each of at least two bits a shingle whether an odd number of shingles falls on it."""
+    size = max(64, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    found = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(found.astype(np.uint8)).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Shingles that at least are in one of the sets only, by their bitmaps."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint8).reshape(-1, size), axis=0).tobytes() if len(v) > size else v for v in (x, y))
+    return (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()
+
+
+def _met(members: DataFrame, key: str, good: Column) -> DataFrame:
+    """(a, b): the members (key, id, component, main, n, ..) of a key that are of different components and `good`.
+
+    Those of a key's main component needn't meet each other; the rest meet all, so many of them at a time.
+    """
+    rest = members.filter("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BESIDE).cast("int"))))
+    every = members.select(key, F.pmod(F.xxhash64("id"), F.floor((F.col("n") - 1) / BESIDE) + 1).cast("int").alias("part"), *[F.col(c).alias(f"o_{c}") for c in members.columns if c not in (key, "main", "n")])
+    met = rest.join(every, [key, "part"]).filter((F.col("component") != F.col("o_component")) & good)
+    return met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+
+
+def _with_main(members: DataFrame, key: str) -> DataFrame:
+    """The members (key, id, component, ..) of keys of several components, with the one that has most and how many there are."""
+    by = members.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n"))
+    shared = by.groupBy(key).agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components"))
+    return members.join(shared.filter("components > 1").drop("components"), key)
+
+
+def _in_order(docs: DataFrame, nodes: int, k: int, percent: int) -> DataFrame:
+    """(id, size, shingles, bits): of each set the first shingles, the least frequent ones, that tell whether it can be linked."""
+    frequent, often = _frequent(docs, nodes, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes = [], []
+            found, sizes, bits = [], [], []
             for text in texts_of(batch):
                 own = shingle_set(text, k)
                 rank = np.zeros(len(own), np.int64)
@@ -271,23 +310,75 @@ def _by_prefixes(docs: DataFrame, nodes: DataFrame, joined: DataFrame, k: int, s
                 least = (percent * len(own) + 99) // 100
                 found.append(own[np.lexsort((own, rank))[: len(own) - least + 1 if len(own) else 0]].view(np.int64))
                 sizes.append(len(own))
+                bits.append(bitmap(own))
             ends = np.cumsum([0, *map(len, found)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), lists], names=["id", "size", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), lists, pa.array(bits, pa.binary())], names=["id", "size", "shingles", "bits"])
+
+    return docs.mapInArrow(run, "id long, size long, shingles array<long>, bits binary")
+
+
+def _by_prefixes(docs: DataFrame, nodes: DataFrame, joined: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(a, b): all nodes of different components that may be similar enough, by the least frequent of their shingles."""
+    percent = round(similarity * 100)
+    names = ["shingle", "id", "component", "size", "place"]
+
+    def crowd(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.nulls(rows.shape[1], pa.int64())], names=[*names, "other"])
+
+    def meet(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        shingle, ids, component, size, place = rows
+        starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]]) if len(ids) else np.empty(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(ids)])
+        if (sizes > BESIDE).any():
+            yield crowd(rows[:, np.repeat(sizes > BESIDE, sizes)])
+        after = np.repeat(starts + np.where(sizes > BESIDE, 0, sizes), sizes) - np.arange(len(ids))
+        at, step, found = np.arange(len(ids)), 0, []
+        while len(at):
+            step += 1
+            at = at[after[at] > step]
+            left = np.minimum((size - place)[at], (size - place)[at + step])
+            good = at[(component[at] != component[at + step]) & ((100 + percent) * left >= percent * (size[at] + size[at + step]))]
+            found.append(np.stack([ids[good], ids[good + step]]))
+        if found:
+            pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+            nulls = [pa.nulls(pairs.shape[1], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*nulls, pa.array(pairs[0]), *nulls * 3, pa.array(pairs[1])], names=[*names, "other"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, held = None, np.empty((5, 0), np.int64)
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in names])], axis=1)
+            if hot is not None and (rows[0] == hot).any():
+                yield crowd(rows[:, rows[0] == hot])
+                rows = rows[:, rows[0] != hot]
+            cut = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
+            yield from meet(rows[:, :cut])
+            # The last shingle may go on in the next batch; of one with too many nodes none is held.
+            held = rows[:, cut:]
+            if held.shape[1] > BESIDE:
+                hot = held[0, 0]
+                yield crowd(held)
+                held = held[:, :0]
+        yield from meet(held)
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("size", "o_size", "bits", "o_bits"))
+            good = pa.array([(100 + percent) * differing(x, y) <= (100 - percent) * (m + n) for m, n, x, y in zip(*columns, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], names=["a", "b"])
 
     named = nodes.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    first = docs.mapInArrow(run, "id long, size long, shingles array<long>").join(named, "id")
-    places = kept(first.select("id", "size", "component", F.posexplode("shingles").alias("place", "shingle")))
-    by = places.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
-    shared = by.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components")).filter("components > 1")
-    # The nodes of a shingle's main component needn't meet each other; the rest meet all, so many of them at a time.
-    members = kept(places.join(shared.select("shingle", "main", F.ceil(F.col("n") / BESIDE).cast("int").alias("parts")), "shingle"))
-    rest = members.filter("component <> main").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    every = members.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("other"), F.col("size").alias("o_size"), F.col("place").alias("o_place"), F.col("component").alias("of"))
+    first = kept(_in_order(docs, nodes.count(), k, percent).join(named, "id"))
+    places = first.select("id", "size", "component", F.posexplode("shingles").alias("place", "shingle")).select(*[F.col(c).cast("long").alias(c) for c in names])
+    met = kept(places.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "other"])))
+    few = met.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
     left = F.least(F.col("size") - F.col("place"), F.col("o_size") - F.col("o_place"))
     enough = (100 + percent) * left >= percent * (F.col("size") + F.col("o_size"))
-    met = rest.join(every, ["shingle", "part"]).filter((F.col("component") != F.col("of")) & enough)
-    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    many = _met(kept(_with_main(met.filter("other IS NULL").drop("other"), "shingle")), "shingle", enough)
+    pairs = kept(few.unionByName(many).distinct())
+    x, y = (first.select(F.col("id").alias(end), F.col("size").alias(f"{o}size"), F.col("bits").alias(f"{o}bits")) for end, o in (("a", ""), ("b", "o_")))
+    return pairs.join(y, "b").join(x, "a").mapInArrow(alike, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

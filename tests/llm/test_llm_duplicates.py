@@ -81,6 +81,37 @@ def test_links_that_the_trees_miss_are_found(spark, docs, rows, monkeypatch, bes
     assert {r.doc_id: r.component_id for r in result if r.doc_id is not None} == of
 
 
+def test_bitmaps_never_count_too_many_differences():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 3, 31, 32, 33, 64, 500, 5000):
+        for other in (size, size + 1, size + size // 5 + 2):
+            x = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[len(x) // 4 :], rng.integers(0, 2**64, other - len(x) + len(x) // 4, dtype=np.uint64)]))
+            differ = len(np.setxor1d(x, y))
+            found = near_dup.differing(near_dup.bitmap(x), near_dup.bitmap(y))
+            assert differ // 3 <= found <= differ, (size, other)
+            assert near_dup.differing(near_dup.bitmap(y), near_dup.bitmap(x)) == found
+
+
+@pytest.mark.parametrize("beside", [1024, 2])
+def test_texts_of_pairs_far_apart_are_not_read(spark, monkeypatch, beside):
+    """Texts of the same passages share all their shingles with some others, but only the planted pairs are similar."""
+    rng = random.Random(10)
+    passages = [" ".join(f"p{i}w{j}" for j in range(6)) for i in range(40)]
+    rows = [(i, " ".join(rng.sample(passages, 8))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(5)]
+    read, confirmed = [], near_dup.confirmed
+    monkeypatch.setattr(near_dup, "confirmed", lambda pairs, *a: read.append(pairs.count()) or confirmed(pairs, *a))
+    monkeypatch.setattr(near_dup, "BESIDE", beside)
+    found = near_dup.neighbours
+    monkeypatch.setattr(near_dup, "neighbours", lambda nodes: found(nodes).limit(0))
+    sets, of = brute_components(rows, 2)
+    assert sum(bool(sets[i] & sets[j]) for i in sets for j in sets if i < j) > 500
+    result = link(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
+    assert {r.doc_id: r.component_id for r in result} == of and sum(i != j for i, j in of.items()) == 5
+    assert read[-1] < 20
+
+
 def test_nothing_is_linked_with_nothing(nothing):
     assert link(nothing).count() == 0
 
