@@ -10,10 +10,10 @@ few nodes have: every shingle of a node's sample that is rare among the crowded
 that follow each other in most of their branches are candidates. So far a group of any size costs as many comparisons
 as it has members, and no group is gathered anywhere.
 
-What the trees missed is found exactly: two sets similar enough share a shingle among the first of each, in any order
-that all sets have in common. Nodes of different components that share one there, and could still share enough after
-it, are candidates too, all of them. Those whose bitmaps differ in too many bits to be similar enough are left out, all
-others are confirmed on the texts. Where many different texts share what is rarest in them, that is quadratic.
+What the trees missed is found exactly: two sets similar enough share several shingles among the first of each, in any
+order that all sets have in common. Nodes of different components that share as many there, and could still share enough
+after them, are candidates too, all of them. Those whose bitmaps differ in too many bits to be similar enough are left
+out, all others are confirmed on the texts. Where many different texts share what is rarest in them, that is quadratic.
 """
 
 from __future__ import annotations
@@ -46,6 +46,9 @@ SAMPLE, RARE, SHARED = 256, 64, 2
 # frequent: these change how many candidates there are, not which links are found. Nodes of a shared shingle that
 # one task compares with the others at a time.
 COUNTED, FREQUENT, BESIDE = 20_000, 1 << 20, 1024
+# Shingles that similar sets share among the first of each, unless they are smaller than that: the more are asked for, the
+# longer are the firsts and the fewer the candidates.
+COMMON = 8
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -277,14 +280,14 @@ def differing(x: bytes, y: bytes) -> int:
 
 
 def _met(members: DataFrame, key: str, good: Column) -> DataFrame:
-    """(a, b): the members (key, id, component, main, n, ..) of a key that are of different components and `good`.
+    """Members (key, id, component, main, n, ..) of a key, each with others (o_id, ..) of other components that are `good`, once.
 
     Those of a key's main component needn't meet each other; the rest meet all, so many of them at a time.
     """
     rest = members.filter("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BESIDE).cast("int"))))
     every = members.select(key, F.pmod(F.xxhash64("id"), F.floor((F.col("n") - 1) / BESIDE) + 1).cast("int").alias("part"), *[F.col(c).alias(f"o_{c}") for c in members.columns if c not in (key, "main", "n")])
-    met = rest.join(every, [key, "part"]).filter((F.col("component") != F.col("o_component")) & good)
-    return met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+    once = (F.col("o_component") == F.col("main")) | (F.col("id") < F.col("o_id"))
+    return rest.join(every, [key, "part"]).filter((F.col("component") != F.col("o_component")) & once & good)
 
 
 def _with_main(members: DataFrame, key: str) -> DataFrame:
@@ -295,7 +298,11 @@ def _with_main(members: DataFrame, key: str) -> DataFrame:
 
 
 def _in_order(docs: DataFrame, nodes: int, k: int, percent: int) -> DataFrame:
-    """(id, size, shingles, bits): of each set the first shingles, the least frequent ones, that tell whether it can be linked."""
+    """(id, size, shingles, bits): of each set the first shingles, the least frequent ones, that tell whether it can be linked.
+
+    Of the shingles that two similar sets share, the first COMMON (or all that the smaller must share, if it must share
+    fewer) are among the first of both, since all others that must be shared come after them.
+    """
     frequent, often = _frequent(docs, nodes, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +315,7 @@ def _in_order(docs: DataFrame, nodes: int, k: int, percent: int) -> DataFrame:
                     at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
                     rank = np.where(frequent[at] == own, often[at], 0)
                 least = (percent * len(own) + 99) // 100
-                found.append(own[np.lexsort((own, rank))[: len(own) - least + 1 if len(own) else 0]].view(np.int64))
+                found.append(own[np.lexsort((own, rank))[: len(own) - least + min(COMMON, least)]].view(np.int64))
                 sizes.append(len(own))
                 bits.append(bitmap(own))
             ends = np.cumsum([0, *map(len, found)])
@@ -326,6 +333,15 @@ def _by_prefixes(docs: DataFrame, nodes: DataFrame, joined: DataFrame, k: int, s
     def crowd(rows: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.nulls(rows.shape[1], pa.int64())], names=[*names, "other"])
 
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+        a, b, asked = np.concatenate(found, axis=1)
+        order = np.lexsort((asked, b, a))
+        a, b, asked = a[order], b[order], asked[order]
+        starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+        nulls = pa.nulls(len(starts), pa.int64())
+        columns = [nulls, pa.array(a[starts]), nulls, pa.array(np.diff(np.r_[starts, len(a)])), pa.array(asked[starts]), pa.array(b[starts])]
+        return pa.RecordBatch.from_arrays(columns, names=[*names, "other"])
+
     def meet(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         shingle, ids, component, size, place = rows
         starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]]) if len(ids) else np.empty(0, np.int64)
@@ -337,13 +353,14 @@ def _by_prefixes(docs: DataFrame, nodes: DataFrame, joined: DataFrame, k: int, s
         while len(at):
             step += 1
             at = at[after[at] > step]
-            left = np.minimum((size - place)[at], (size - place)[at + step])
-            good = at[(component[at] != component[at + step]) & ((100 + percent) * left >= percent * (size[at] + size[at + step]))]
-            found.append(np.stack([ids[good], ids[good + step]]))
+            # The last of the shared ones asked for has that many fewer shared ones behind it than the first.
+            asked = np.minimum(COMMON, (percent * np.minimum(size[at], size[at + step]) + 99) // 100)
+            left = np.minimum((size - place)[at], (size - place)[at + step]) + asked - 1
+            good = (component[at] != component[at + step]) & ((100 + percent) * left >= percent * (size[at] + size[at + step]))
+            x, y = ids[at[good]], ids[at[good] + step]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y), asked[good]]))
         if found:
-            pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
-            nulls = [pa.nulls(pairs.shape[1], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*nulls, pa.array(pairs[0]), *nulls * 3, pa.array(pairs[1])], names=[*names, "other"])
+            yield counted(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, held = None, np.empty((5, 0), np.int64)
@@ -372,11 +389,14 @@ def _by_prefixes(docs: DataFrame, nodes: DataFrame, joined: DataFrame, k: int, s
     first = kept(_in_order(docs, nodes.count(), k, percent).join(named, "id"))
     places = first.select("id", "size", "component", F.posexplode("shingles").alias("place", "shingle")).select(*[F.col(c).cast("long").alias(c) for c in names])
     met = kept(places.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "other"])))
-    few = met.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    left = F.least(F.col("size") - F.col("place"), F.col("o_size") - F.col("o_place"))
+    few = met.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("size").alias("n"), F.col("place").alias("asked"))
+    asked = F.least(F.lit(COMMON), F.ceil(percent * F.least("size", "o_size") / 100)).cast("long")
+    left = F.least(F.col("size") - F.col("place"), F.col("o_size") - F.col("o_place")) + asked - 1
     enough = (100 + percent) * left >= percent * (F.col("size") + F.col("o_size"))
     many = _met(kept(_with_main(met.filter("other IS NULL").drop("other"), "shingle")), "shingle", enough)
-    pairs = kept(few.unionByName(many).distinct())
+    many = many.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"), F.lit(1).cast("long").alias("n"), asked.alias("asked"))
+    shared = few.unionByName(many).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("asked").alias("asked"))
+    pairs = kept(shared.filter("n >= asked").select("a", "b"))
     x, y = (first.select(F.col("id").alias(end), F.col("size").alias(f"{o}size"), F.col("bits").alias(f"{o}bits")) for end, o in (("a", ""), ("b", "o_")))
     return pairs.join(y, "b").join(x, "a").mapInArrow(alike, "a long, b long").distinct()
 

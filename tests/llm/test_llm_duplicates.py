@@ -112,6 +112,31 @@ def test_texts_of_pairs_far_apart_are_not_read(spark, monkeypatch, beside):
     assert read[-1] < 20
 
 
+@pytest.mark.parametrize("beside", [1024, 3])
+def test_texts_that_share_few_rare_shingles_do_not_meet(spark, monkeypatch, beside):
+    """All texts of a group have some phrases in common: these must not make every two of them candidates."""
+    phrases = lambda i: (f"g{i % 4}p{j}a g{i % 4}p{j}b t{i}u{j}" for j in range(12))
+    rows = [(i, " ".join([*phrases(i), *(f"t{i}w{j}" for j in range(60))])) for i in range(80)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(5)]
+    rows += [(200 + i, " ".join(f"s{i // 2}w{j}" for j in range(5 + i % 2))) for i in range(10)]
+    met, kept, prefixes, found = [], near_dup.kept, near_dup._by_prefixes, near_dup.neighbours
+
+    def recorded(*given):
+        monkeypatch.setattr(near_dup, "kept", lambda frame: met.append(out := kept(frame)) or out)
+        out = prefixes(*given)
+        monkeypatch.setattr(near_dup, "kept", kept)
+        return out
+
+    monkeypatch.setattr(near_dup, "_by_prefixes", recorded)
+    monkeypatch.setattr(near_dup, "BESIDE", beside)
+    monkeypatch.setattr(near_dup, "COUNTED", 1)  # the order knows nothing, so phrases are among the first of many
+    monkeypatch.setattr(near_dup, "neighbours", lambda nodes: found(nodes).limit(0))
+    sets, of = brute_components(rows, 2)
+    result = link(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
+    assert {r.doc_id: r.component_id for r in result} == of and sum(i != j for i, j in of.items()) == 10
+    assert met[-1].columns == ["a", "b"] and met[-1].count() == 10
+
+
 def test_nothing_is_linked_with_nothing(nothing):
     assert link(nothing).count() == 0
 
