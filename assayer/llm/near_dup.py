@@ -47,8 +47,15 @@ SAMPLE, RARE, SHARED = 256, 64, 2
 # one task compares with the others at a time.
 COUNTED, FREQUENT, BESIDE = 20_000, 1 << 20, 1024
 # Shingles that similar sets share among the first of each, unless they are smaller than that: the more are asked for, the
-# longer are the firsts and the fewer the candidates.
-COMMON = 8
+# longer are the firsts and the fewer the candidates. Texts, and pairs, that a task holds apart from its input at a time.
+COMMON, TEXTS, PAIRS = 8, 512, 1 << 18
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that what is made of their texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -71,7 +78,8 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, set, signature): `set` names the text's shingle set, null if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker_state("shingles", dict)  # what an earlier operator's words took goes
+        for batch in _few(batches):
             sizes, names, signs = [], [], []
             for text in texts_of(batch):
                 found = shingle_set(text, k)
@@ -185,7 +193,7 @@ def _by_rare_shingles(crowded: DataFrame, texts: DataFrame, k: int) -> DataFrame
     """
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             found = []
             for text in texts_of(batch):
                 own = shingle_set(text, k)
@@ -246,11 +254,11 @@ def _frequent(docs: DataFrame, nodes: int, k: int) -> tuple[np.ndarray, np.ndarr
     """Sorted hashes of frequent shingles, FREQUENT at most, and how often each is in a sample of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             found = [shingle_set(text, k) for text in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))], names=["shingle"])
 
-    chosen = docs.filter(F.pmod(F.xxhash64("id"), F.lit(max(nodes // COUNTED, 1))) == 0)
+    chosen = docs.filter(F.pmod(F.xxhash64("id"), F.lit(max(-(-nodes // COUNTED), 1))) == 0)
     counted = kept(chosen.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 1"))
     # All that are as frequent as the bound allows.
     least, total = None, 0
@@ -306,7 +314,7 @@ def _in_order(docs: DataFrame, nodes: int, k: int, percent: int) -> DataFrame:
     frequent, often = _frequent(docs, nodes, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             found, sizes, bits = [], [], []
             for text in texts_of(batch):
                 own = shingle_set(text, k)
@@ -349,7 +357,7 @@ def _by_prefixes(docs: DataFrame, nodes: DataFrame, joined: DataFrame, k: int, s
         if (sizes > BESIDE).any():
             yield crowd(rows[:, np.repeat(sizes > BESIDE, sizes)])
         after = np.repeat(starts + np.where(sizes > BESIDE, 0, sizes), sizes) - np.arange(len(ids))
-        at, step, found = np.arange(len(ids)), 0, []
+        at, step, found, n = np.arange(len(ids)), 0, [], 0
         while len(at):
             step += 1
             at = at[after[at] > step]
@@ -359,6 +367,10 @@ def _by_prefixes(docs: DataFrame, nodes: DataFrame, joined: DataFrame, k: int, s
             good = (component[at] != component[at + step]) & ((100 + percent) * left >= percent * (size[at] + size[at + step]))
             x, y = ids[at[good]], ids[at[good] + step]
             found.append(np.stack([np.minimum(x, y), np.maximum(x, y), asked[good]]))
+            n += len(x)
+            if n > PAIRS:
+                yield counted(found)
+                found, n = [], 0
         if found:
             yield counted(found)
 

@@ -40,7 +40,7 @@ SHARES = ((0.01, 0.06), (0.15, 0.4), (0.02, 0.2), (-0.4, -0.2), (0.02, 0.1))
 STEPS = ((0.01, 0.03, 0.06, 0.12, 0.25), (0.1, 0.15, 0.25, 0.4, 0.6), (0.02, 0.05, 0.1, 0.2, 0.4), (-0.4, -0.3, -0.2, -0.1), (0.02, 0.05, 0.1, 0.3, 0.6))
 # A feature is used if so many sample rows have it and its log odds are so large.
 LEAST, TOLD = 8, 2.5
-MEMO = 800_000
+MEMO = 200_000
 
 
 def units(words: list[str]) -> np.ndarray:
@@ -116,9 +116,9 @@ def vocabulary() -> Vocabulary:
 def read(batch: pa.RecordBatch) -> Iterator[tuple[int, list[float], np.ndarray, int]]:
     """For each text its place, shares, the numbers of its distinct words and how many words it has."""
     book = vocabulary()
-    texts = batch.column("text").to_pylist()
+    texts = batch.column("text")
     for at in range(0, len(texts), 256):
-        part = [x or "" for x in texts[at : at + 256]]
+        part = [x or "" for x in texts.slice(at, 256).to_pylist()]
         split = [x.lower().split() for x in part]
         distinct = [list(set(x)) for x in split]
         for i, (text, words, numbers) in enumerate(zip(part, split, book.numbers(distinct), strict=True)):

@@ -137,6 +137,20 @@ def test_texts_that_share_few_rare_shingles_do_not_meet(spark, monkeypatch, besi
     assert met[-1].columns == ["a", "b"] and met[-1].count() == 10
 
 
+def test_a_batch_of_pairs_is_held_in_parts(spark, monkeypatch):
+    """Links are the same if texts and pairs are taken a few at a time."""
+    monkeypatch.setattr(near_dup, "TEXTS", 3)
+    monkeypatch.setattr(near_dup, "PAIRS", 10)
+    found = near_dup.neighbours
+    monkeypatch.setattr(near_dup, "neighbours", lambda nodes: found(nodes).limit(0))
+    rng = random.Random(13)
+    base = prose(rng, 100).split()
+    rows = [(i, " ".join(w if rng.random() > 0.02 else f"n{i}x{j}" for j, w in enumerate(base))) for i in range(40)]
+    sets, of = brute_components(rows, 2)
+    result = link(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
+    assert {r.doc_id: r.component_id for r in result} == of
+
+
 def test_nothing_is_linked_with_nothing(nothing):
     assert link(nothing).count() == 0
 

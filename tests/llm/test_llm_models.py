@@ -1,14 +1,16 @@
 import collections
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from assayer.llm.hmm import Lanes, score_documents
 from assayer.llm.language import ORDER, Model, _letters, identify, windows
-from assayer.llm.weak_labels import ABSTAIN, BAD, GOOD, classify, label_model
+from assayer.llm.weak_labels import ABSTAIN, BAD, GOOD, classify, label_model, read
 
 from .conftest import DOCUMENT, LABEL, prose
 
@@ -193,3 +195,13 @@ def test_letters_of_all_planes():
     assert len(letters) == 0x110000 and all(letters[ord(c)] == c.isalpha() for c in "\U00030000\U0003134a\U00031350\U0002a700a1 \U0010ffff")
     codes, owner = windows(["\U00030000\U00030001"], letters)
     assert len(codes) == len(owner) == 3
+
+
+def test_a_batch_of_texts_is_read_in_parts():
+    """A worker holds the words it met and a part of a batch's texts, not all of them, beside the batch itself."""
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i}" + " " * 8000 for i in range(4000)])], names=["text"])
+    tracemalloc.start()
+    assert sum(n for *_, n in read(batch)) == 4000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < batch.nbytes / 2
