@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import islice, repeat
+from itertools import chain, islice, repeat
 from operator import eq
 
 import numpy as np
@@ -60,26 +60,61 @@ def units(words: list[str]) -> np.ndarray:
 
 
 class Vocabulary:
-    """Words of texts as numbers, each with the hashes of its units, kept between a worker's tasks."""
+    """Words of texts as numbers, each with the hashes of its units, kept between a worker's tasks.
+
+    Words are known by this process's 64-bit hashes of them. When there are too many, the half that was used most
+    stays: most words of a corpus are met once, and those that most texts have needn't be learned anew.
+    """
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.keys = np.zeros(0, np.int64)
         self.hashes = np.zeros((0, 1 + len(BEGINNINGS)), np.uint64)
+        self.uses = np.zeros(0, np.int64)
         self.generation = 0
+        self._sort()
+
+    def _sort(self) -> None:
+        self.order = np.argsort(self.keys, kind="stable")
+        self.rising = self.keys[self.order]
+
+    def _look(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.rising, keys), len(self.keys) - 1)
+        return np.where(self.rising[at] == keys, self.order[at], -1)
+
+    def _forget(self) -> None:
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: MEMO // 2])
+        # Later uses count for more.
+        self.keys, self.hashes, self.uses = self.keys[stay], self.hashes[stay], self.uses[stay] // 2
+        self.generation += 1
+        self._sort()
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        self.keys = np.concatenate([self.keys, keys])
+        self.hashes = np.concatenate([self.hashes, units(words)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int64)])
+        self._sort()
 
     def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The numbers of each text's words, which are learned if they are new."""
-        found = [np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words)) for words in texts]
-        new = dict.fromkeys(words[i] for words, x in zip(texts, found, strict=True) for i in np.flatnonzero(x < 0).tolist())
-        if not new:
-            return found
-        if len(self.known) + len(new) > MEMO:
-            self.known, self.hashes = {}, self.hashes[:0]
-            self.generation += 1
-            new = dict.fromkeys(w for words in texts for w in words)
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.hashes = np.concatenate([self.hashes, units(list(new))])
-        return [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) if (x < 0).any() or len(new) == len(self.known) else x for words, x in zip(texts, found, strict=True)]
+        """The numbers of each text's distinct words, which are learned if they are new."""
+        words = list(chain.from_iterable(texts))
+        keys, first, place = np.unique(np.fromiter(map(hash, words), np.int64, len(words)), return_index=True, return_inverse=True)
+        found = self._look(keys)
+        if len(self.keys) + (found < 0).sum() > MEMO:
+            self._forget()
+            found = self._look(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            self._learn(keys[new], [words[i] for i in first[new].tolist()])
+            found[new] = np.arange(len(self.keys) - len(new), len(self.keys))
+        # Each text's distinct words, by their places among those of all these texts.
+        pairs = np.sort(np.repeat(np.arange(len(texts)), [len(x) for x in texts]) * len(keys) + place)
+        owner, place = np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], max(len(keys), 1))
+        numbers = found[place]
+        self.uses += np.bincount(numbers, minlength=len(self.keys))
+        ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+        return [numbers[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
 
 class Told:
@@ -120,8 +155,7 @@ def read(batch: pa.RecordBatch) -> Iterator[tuple[int, list[float], np.ndarray,
     for at in range(0, len(texts), 256):
         part = [x or "" for x in texts.slice(at, 256).to_pylist()]
         split = [x.lower().split() for x in part]
-        distinct = [list(set(x)) for x in split]
-        for i, (text, words, numbers) in enumerate(zip(part, split, book.numbers(distinct), strict=True)):
+        for i, (text, words, numbers) in enumerate(zip(part, split, book.numbers(split), strict=True)):
             yield at + i, shares(text, words, len(numbers)), numbers, len(words)
 
 

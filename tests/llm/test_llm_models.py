@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from assayer.llm import weak_labels
 from assayer.llm.hmm import Lanes, score_documents
 from assayer.llm.language import ORDER, Model, _letters, identify, windows
-from assayer.llm.weak_labels import ABSTAIN, BAD, GOOD, classify, label_model, read
+from assayer.llm.weak_labels import ABSTAIN, BAD, GOOD, Vocabulary, classify, label_model, read, units
 
 from .conftest import DOCUMENT, LABEL, prose
 
@@ -197,6 +198,22 @@ def test_letters_of_all_planes():
     assert len(codes) == len(owner) == 3
 
 
+def test_words_of_most_texts_are_learned_once(monkeypatch):
+    """However many words are met once, those met again and again stay known; each text has its own distinct words."""
+    monkeypatch.setattr(weak_labels, "MEMO", 100)
+    learned = []
+    monkeypatch.setattr(weak_labels, "units", lambda words: learned.extend(words) or units(words))
+    book, common = Vocabulary(), [f"common{i}" for i in range(20)]
+    for part in range(40):
+        texts = [[*common, *(f"once{part}.{i}.{j}" for j in range(5)), *common] for i in range(3)] + [[]]
+        for words, numbers in zip(texts, book.numbers(texts), strict=True):
+            assert sorted(map(bytes, book.hashes[numbers])) == sorted(map(bytes, units(list(set(words)))))
+        assert len(book.hashes) <= 100
+    assert sum(w in common for w in learned) == 20
+    many = [[f"many{i}" for i in range(500)], common]
+    assert [len(x) for x in book.numbers(many)] == [500, 20]
+
+
 def test_a_batch_of_texts_is_read_in_parts():
     """A worker holds the words it met and a part of a batch's texts, not all of them, beside the batch itself."""
     batch = pa.RecordBatch.from_arrays([pa.array([f"{i}" + " " * 8000 for i in range(4000)])], names=["text"])
