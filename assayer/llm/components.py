@@ -12,34 +12,57 @@ from pyspark.sql import functions as F
 from .common import kept
 
 
+# Links that one task contracts at a time.
+LINKS = 1 << 18
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links' nodes that aren't the smallest they reach, each with the smallest."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = np.arange(len(names))
+    x, y = ends[: len(a)], ends[len(a) :]
+    while True:
+        low = np.minimum(parent[x], parent[y])
+        before = parent.copy()
+        np.minimum.at(parent, parent[x], low)
+        np.minimum.at(parent, parent[y], low)
+        parent = parent[parent]
+        if (parent == before).all():
+            break
+    moved = np.flatnonzero(parent != np.arange(len(names)))
+    return names[moved], names[parent[moved]]
+
+
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The partition's links as a forest: each node with the smallest it reaches within a batch."""
+    """The partition's links as forests, each of at most about LINKS of them: each node with the smallest it reaches there."""
+    held, n = [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-        names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-        parent = np.arange(len(names))
-        x, y = ends[: len(a)], ends[len(a) :]
-        while True:
-            low = np.minimum(parent[x], parent[y])
-            before = parent.copy()
-            np.minimum.at(parent, parent[x], low)
-            np.minimum.at(parent, parent[y], low)
-            parent = parent[parent]
-            if (parent == before).all():
-                break
-        moved = np.flatnonzero(parent != np.arange(len(names)))
-        yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[parent[moved]])], names=["a", "b"])
+        held.append(tuple(batch.column(c).to_numpy() for c in ("a", "b")))
+        n += batch.num_rows
+        if n >= LINKS:
+            a, b = _forest(*map(np.concatenate, zip(*held, strict=True)))
+            held, n = [(a, b)], len(a)
+            if n >= LINKS // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                held, n = [], 0
+    if n:
+        a, b = _forest(*map(np.concatenate, zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every node of the links (a, b) that isn't the smallest of its component.
 
-    Links are contracted within batches, then large and small stars alternate until every node hangs on the
-    smallest: a number of rounds logarithmic in the longest chain. Each round's links are kept in the shared folder.
+    Links are contracted within blocks of LINKS at most. If there are more blocks than one, large and small stars
+    alternate until every node hangs on the smallest: a number of rounds logarithmic in the longest chain. Each round's
+    links are kept in the shared folder.
     """
-    edges = kept(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_local, "a long, b long").distinct())
+    found = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    n = links.count()
+    edges = kept(found.coalesce(n // LINKS + 1).mapInArrow(_local, "a long, b long"))
+    if n < LINKS:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    edges = kept(edges.distinct())
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))

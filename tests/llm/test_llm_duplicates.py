@@ -163,6 +163,21 @@ def test_long_chains_and_stars(spark):
     assert {r.id: r.component for r in found} == want and len(found) == len(want)
 
 
+@pytest.mark.parametrize("block", [16, 1 << 18])
+def test_links_of_many_blocks_and_of_one(spark, monkeypatch, block):
+    """Links that fit one block are contracted in one task, without rounds; those of many blocks meet in rounds."""
+    from assayer.llm import components as module
+
+    rounds, real = [], module._stars
+    monkeypatch.setattr(module, "LINKS", block)
+    monkeypatch.setattr(module, "_stars", lambda edges: rounds.append(1) or real(edges))
+    chain = [(i, i + 1) for i in range(1000, 1100)]
+    found = components(spark.createDataFrame([*chain, (7, 7), (9, 8), (8, 9), (8, 9)], "a long, b long").repartition(7)).collect()
+    want = {i: 1000 for i in range(1001, 1101)} | {9: 8}
+    assert {r.id: r.component for r in found} == want and len(found) == len(want)
+    assert bool(rounds) == (block == 16)
+
+
 def brute_removed(rows, window):
     order = sorted((r for r in {r[0]: r for r in rows if r[0] is not None}.values()), key=lambda r: r[0])
     seen, out = set(), {}
