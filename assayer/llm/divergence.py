@@ -236,12 +236,13 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, terms: int = TERMS
     terms_of = F.coalesce("terms", F.lit(0))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     facts = found.select("lang", "source", terms_of.alias("terms"), (F.coalesce("own", F.lit(0)) + 2 * terms_of).alias("whole"), (F.coalesce("all", F.lit(0)) + 2 * terms_of).alias("lang_whole"), place.alias("s"))
-    facts = kept(facts.select("*", F.floor(F.col("s") / PAIR_SOURCES).cast("int").alias("tile"), F.ceil(F.greatest("terms", F.lit(1)) / PAIR_TERMS).cast("int").alias("blocks")))
-    tiles = facts.groupBy("lang").agg((F.max("tile") + 1).alias("tiles"))
-    facts = facts.join(tiles, "lang")
-    met = known.join(facts, ["lang", "source"])
+    facts = facts.select("*", F.floor(F.col("s") / PAIR_SOURCES).cast("int").alias("tile"), F.ceil(F.greatest("terms", F.lit(1)) / PAIR_TERMS).cast("int").alias("blocks"))
+    facts = kept(facts.withColumn("tiles", F.max("tile").over(Window.partitionBy("lang")) + 1))
+    # Every term's row has its source's facts. As a left join this never broadcasts the terms, whose files are a
+    # hundredth of their rows' size in memory; so nothing below may drop rows for a fact that is null.
+    met = known.join(facts, ["lang", "source"], "left")
 
-    excess = met.select("lang", "source", F.col("term").cast("string").alias("item"), share("n", "whole").alias("p"), share("total", "lang_whole").alias("q")).filter("p > q")
+    excess = met.select("lang", "source", F.col("term").cast("string").alias("item"), share("n", "whole").alias("p"), share("total", "lang_whole").alias("q")).filter("coalesce(p > q, true)")
     excess = excess.select("lang", "source", F.lit("term").alias("part"), "item", F.expr("(p - q) * (p - q) div (p + q)").alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     excess = excess.withColumn("rank", rank).filter(F.col("rank") <= terms)

@@ -104,3 +104,12 @@ def test_shares_are_exact():
 
 def test_no_rows(spark):
     assert d.divergence(spark.createDataFrame([], ROW)).count() == 0
+
+
+def test_terms_are_not_broadcast(spark, texts):
+    """The terms' files are a hundredth of their rows in memory: Spark would take them for a small table."""
+    rows = [(i, *row, 1, 2, 3, 4, 5, 6) for i, row in enumerate(texts)]
+    found = d.divergence(spark.createDataFrame(rows, ROW), least=4, terms=6)
+    assert found.collect()
+    joins = re.findall("BroadcastHashJoin .*", found._jdf.queryExecution().executedPlan().toString())
+    assert joins and not [join for join in joins if "BuildLeft" in join]
