@@ -1,9 +1,13 @@
 """What must hold for tables that are larger than one machine: plans and steps, not only rows."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from assayer.functions import tape, text
-from assayer.operators import requests, rules, seals
+from assayer.operators import ledger, requests, rules, seals
+from assayer.operators.findings import summary
+from assayer.plans import QUERIES
 from assayer.plans.tables import Given
 from assayer.sources import bundle
 
@@ -87,3 +91,59 @@ def test_words_of_odd_texts(spark):
             assert r.w is None
         else:
             assert [(w.start, w.word) for w in r.w] == [(m.start(), m.group().casefold()) for m in re.finditer(r"\w+", r.t)], r.t
+
+
+def shuffled(spark):
+    """Files of shuffles on disk."""
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {str(files.apply(i).getName()) for i in range(files.size()) if str(files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_a_logs_rows_are_dealt_out_twice_for_its_seal(spark):
+    """Once with all levels of the tree under a prefix, once for the root."""
+    parts = F.when(F.col("id") % 9 == 0, "canaries").otherwise("items").alias("part")
+    rows = spark.range(2000).select((F.col("id") % 3).alias("log_id"), parts, F.concat(F.lit("r"), F.col("id") % 1500).alias("canonical"))
+    roots = seals.nodes(rows).where("digits = 0")
+    assert plan(roots).count("Exchange hashpartitioning") == 2 and roots.count() == 4
+
+
+def test_code_of_tools_is_dealt_out_once_a_side(spark, tmp_path):
+    tables(spark, tmp_path)
+    found = QUERIES["code_mismatch"](Given(spark, str(tmp_path)))
+    assert plan(found).count("Exchange hashpartitioning") == 2
+    assert {r.code for r in found.collect()} == {"tools.code"}
+
+
+def tables(spark, path):
+    """Some rows of each table that the findings read."""
+    day = datetime.datetime(2024, 1, 1)
+    frames = {
+        "events": ([(i, day + datetime.timedelta(seconds=i), i % 5, "view" if i % 3 else "click", i / 9) for i in range(600)], "event_id long, ts timestamp, user_id long, event_type string, value double"),
+        "orders": ([(i, day) for i in range(200)], "o_orderkey long, o_orderdate timestamp"),
+        "lineitem": ([(i // 3, i % 40, i % 7, i % 3, "RAN"[i % 3]) for i in range(600)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string"),
+        "part": ([(i, f"p{i}", "b", i % 9) for i in range(40)], "p_partkey long, p_name string, p_brand string, p_size int"),
+        "documents": ([(i, "text") for i in range(50)], "doc_id long, text string"),
+    }
+    for name, (rows, schema) in frames.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(path / f"{name}.parquet"))
+
+
+def test_findings_are_written_part_by_part(spark, tmp_path):
+    """What one part shuffles is gone before the next begins."""
+    tables(spark, tmp_path)
+    g = Given(spark, str(tmp_path))
+    before = shuffled(spark)
+    found = QUERIES["all_findings"](g)
+    assert "Exchange" not in plan(found)
+    # What is left are the shuffles of the few rows of runs and canaries.
+    assert len(shuffled(spark) - before) <= 2 * 2 * 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert plan(summary(found)).count("Exchange") <= 3 and found.count() > 600
+
+
+def test_unanswered_calls_are_written_part_by_part(spark):
+    turns = spark.createDataFrame([(1, 0, "done", 2), (1, 1, "done", 2), (2, 3, "done", 2)], "item int, round int, answer_tool string, max_rounds int")
+    pending = spark.createDataFrame([(1, 1, "ask"), (2, 3, "done")], "item int, round int, name string")
+    before = shuffled(spark)
+    found = ledger.unanswered(turns, pending)
+    assert "Exchange" not in plan(found) and not shuffled(spark) - before
+    assert sorted(r.code for r in found.collect()) == ["tools.rounds", "tools.unanswered"]
